@@ -1,15 +1,18 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, line_dedup, mixing, quality_rules, secrets
+from . import chat_format, decontaminate, line_dedup, mixing, quality_rules, secrets, token_counts
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_chat_format": chat_format.query,
+    "op3_token_counts": token_counts.query,
     "op5_source_mixing": mixing.query,
     "op6_line_dedup": line_dedup.query,
     "op7_secret_scan": secrets.query,
     "op9_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.SQL,
     "op2_chat_format": chat_format.SQL,
     "op5_source_mixing": mixing.SQL,
     "op6_line_dedup": line_dedup.SQL,
