@@ -96,7 +96,7 @@ def format_chats(convs: DataFrame, template: Template = inst_template, loss_role
     yields spans of -1 and ``rewritten`` above 0."""
     schema = "conv_id long, n_turns long, formatted string, spans array<struct<start:long,end:long,text_start:long,text_end:long>>, loss_spans array<struct<start:long,end:long>>, rewritten long"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         turns = sorted(zip(pdf["t"].tolist(), pdf["r"].tolist(), pdf["x"].tolist(), strict=True))
         turns = [(r, x) for _, r, x in turns]
         out, spans, rewritten = turn_spans(turns, template)

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, line_dedup, mixing, quality_rules, secrets, token_counts
+from . import chat_format, decontaminate, line_dedup, lm_score, mixing, quality_rules, secrets, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_source_mixing": mixing.query,
     "op6_line_dedup": line_dedup.query,
     "op7_secret_scan": secrets.query,
+    "op8_lm_score": lm_score.query,
     "op9_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {
