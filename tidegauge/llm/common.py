@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +58,11 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = 8 << 20) -> int:
     """Blocks of about block_bytes of text, so that one block fits a task at any size of the corpus."""
     return max(shuffle_width(docs.sparkSession), -(-text_bytes(docs, text_col) // block_bytes))
+
+
+def kept_table(df: DataFrame) -> DataFrame:
+    """Like checkpointed, for wide rows: a Parquet table in the shared folder, so that later readers prune columns."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

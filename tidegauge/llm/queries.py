@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, line_dedup, lm_score, mixing, quality_rules, secrets, token_counts
+from . import chat_format, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality_rules, secrets, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_secret_scan": secrets.query,
     "op8_lm_score": lm_score.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_near_dedup": near_dedup.query,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
