@@ -99,7 +99,7 @@ def word_ngrams(hashes: np.ndarray, owners: np.ndarray, k: int, short: bool = Tr
     at = np.arange(n) - np.repeat(heads, sizes)
     left = np.repeat(sizes, sizes) - at
     acc = np.zeros(n, U)
-    for j in range(k):
+    for j in range(min(k, n)):
         seen = hashes[j:] if j else hashes
         inside = left[: n - j] > j
         acc[: n - j] = np.where(inside, mix(acc[: n - j] * U(_STEP) + seen), acc[: n - j])

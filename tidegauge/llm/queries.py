@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality_rules, secrets, token_counts
+from . import chat_format, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality_rules, secrets, substring_dedup, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_chat_format": chat_format.query,
     "op3_token_counts": token_counts.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_source_mixing": mixing.query,
     "op6_line_dedup": line_dedup.query,
     "op7_secret_scan": secrets.query,
