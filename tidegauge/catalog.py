@@ -1,10 +1,529 @@
-"""Named queries over the test tables, with the SQL that gives the same rows."""
+"""Named queries over the test tables, with the SQL that gives the same rows.
+
+Trade comes from the order tables (sources.trade.from_orders). Queries about estimates run on ``estimates``: values by
+plain arithmetic on the keys, so that both sides agree on them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as X
+from .operators import moments as M
+from .operators import panel as P
+from .operators import reports as R
+from .plans import stage1 as S1
+from .plans import stage2 as S2
+from .sources import trade as T
+
+CFG = P.Config()
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def trade(spark: SparkSession, d: str) -> DataFrame:
+    return T.rename(T.from_orders(spark, d))
+
+
+def raw(spark, d):
+    return P.raw_panel(trade(spark, d), CFG)
+
+
+def prepared(spark, d):
+    return P.prepare(raw(spark, d), CFG)
+
+
+def regions(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    return n.filter("n_nationkey < 20").select(F.col("n_nationkey").cast("int").alias("cty_code"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("region"))
+
+
+def estimates(spark, d) -> DataFrame:
+    flows = raw(spark, d).groupBy("importer", "exporter", "good").agg(F.avg("cusval").alias("avg_trade"))
+    g = F.substring("good", 4, 1).cast("int")
+    out = flows.withColumns({
+        "sigma": 1.2 + ((F.col("importer") * 11 + g * 3) % 40) / 8, "gamma": 0.2 + ((F.col("importer") * 7 + F.col("exporter") * 13 + g * 5) % 97) / 4, "tier": (F.col("importer") + F.col("exporter")) % 4,
+        "gamma_se": 0.05 + ((F.col("exporter") * 3 + F.col("importer")) % 11) / 16, "sigma_se": F.when(F.col("importer") % 7 != 0, 0.0625 + (F.col("importer") % 9) / 64),
+        "dgamma_dsigma": ((F.col("exporter") * 5 + F.col("importer")) % 13 - 6) / 8, "adjust": (F.col("importer") + g) % 6,
+    })
+    status = F.when(F.col("tier") == 3, "tier3_prior").when(F.col("gamma") > 20, "plateau").when(F.col("gamma") < 1, "boundary").otherwise("ok")
+    source = F.when(F.col("adjust") == 0, "hliml").when(F.col("adjust") < 4, "hliml_boundary").otherwise("step2_weighted")
+    return out.withColumns({"gamma_se_status": status, "final_source": source, "status": F.when(F.col("adjust") == 3, "all_inversions_failed").when(F.col("adjust") == 5, "thin_panel_e1_t2").otherwise("ok")})
+
+
+def estimate_cells(spark, d) -> DataFrame:
+    return estimates(spark, d).groupBy("importer", "good").agg(*[F.min(c).alias(c) for c in ("sigma", "adjust", "final_source", "status", "sigma_se")], F.lit(1.0).alias("gamma"))
+
+
+_TRADE = """trade AS (SELECT year(l_shipdate)::INT AS year, s_nationkey::INT AS exporter, c_nationkey::INT AS importer,
+  '10' || list_position(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD'], p_type) || lpad(p_size::VARCHAR, 2, '0') AS good, l_extendedprice::DOUBLE AS cusval, l_quantity::DOUBLE AS quantity
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE c_nationkey <> s_nationkey)"""
+_RAW = _TRADE + """,
+raw AS (SELECT year, substr(lpad(good, 6, '0'), 1, 4) AS good, importer, exporter, sum(cusval) AS cusval, sum(quantity) AS quantity FROM trade WHERE cusval > 0 AND quantity > 0 AND year >= 1995 GROUP BY ALL)"""
+_SH = _RAW + """,
+sh AS (SELECT year, good, importer, exporter, cusval, quantity, year - 1994 AS t, ln(cusval / quantity) AS lp,
+  sum(cusval) OVER (PARTITION BY importer, good, year) AS imp_total, sum(cusval) OVER (PARTITION BY exporter, good, year) AS exp_total FROM raw),
+sl AS (SELECT *, cusval / imp_total AS s_imp, ln(cusval / imp_total) AS ls_imp, cusval / exp_total AS s_exp, ln(cusval / exp_total) AS ls_exp FROM sh)"""
+_DIF = _SH + """,
+dif AS (SELECT *, CASE WHEN t - lag(t) OVER w = 1 THEN lp - lag(lp) OVER w END AS lp_dif, CASE WHEN t - lag(t) OVER w = 1 THEN ls_imp - lag(ls_imp) OVER w END AS ls_imp_dif,
+  CASE WHEN t - lag(t) OVER w = 1 THEN ls_exp - lag(ls_exp) OVER w END AS ls_exp_dif, count(*) OVER (PARTITION BY importer, exporter, good) AS period_count
+  FROM sl WINDOW w AS (PARTITION BY importer, exporter, good ORDER BY t)),
+prep AS (SELECT * REPLACE (importer::VARCHAR AS importer, exporter::VARCHAR AS exporter) FROM dif WHERE abs(lp_dif) < 2.0)"""
+_REF = """,
+rs AS (SELECT importer, good, exporter, count(DISTINCT t) AS n_periods, sum(cusval) AS total_value FROM prep GROUP BY ALL),
+ref AS (SELECT importer, good, exporter AS ref_exporter, n_periods, total_value FROM rs QUALIFY row_number() OVER (PARTITION BY importer, good ORDER BY n_periods DESC, total_value DESC, exporter) = 1)"""
+_LAG = """,
+lagged AS (SELECT p.*, q.cusval AS cusval_lag FROM prep p LEFT JOIN prep q ON q.importer = p.importer AND q.exporter = p.exporter AND q.good = p.good AND q.t = p.t - 1)"""
+_BW = "CASE WHEN cusval_lag IS NULL THEN 1.0 ELSE pow({n}, 1.5) / sqrt(1 / cusval + 1 / cusval_lag) END"
+_IMP = _DIF + _REF + _LAG + """,
+im AS (SELECT l.*, ref.ref_exporter, r.lp_dif AS rp, r.ls_imp_dif AS rl, """ + _BW.format(n="l.period_count").replace("cusval", "l.cusval") + """ AS bw FROM lagged l JOIN ref USING (importer, good)
+  JOIN prep r ON r.importer = l.importer AND r.good = l.good AND r.exporter = ref.ref_exporter AND r.t = l.t WHERE l.exporter <> ref.ref_exporter),
+imom AS (SELECT importer, good, exporter, ref_exporter, sum(bw * (lp_dif - rp) ** 2) / sum(bw) AS imp_y, sum(bw * (ls_imp_dif - rl) ** 2) / sum(bw) AS imp_x1,
+  sum(bw * (ls_imp_dif - rl) * (lp_dif - rp)) / sum(bw) AS imp_x2, sum(bw * (ls_imp_dif - rl) * lp_dif) / sum(bw) AS imp_x3, sum(bw * (ls_imp_dif - rl) * rp) / sum(bw) AS imp_x4,
+  sum(bw * (lp_dif - rp) * rp) / sum(bw) AS imp_x5, count(DISTINCT t) AS n_periods, sum(cusval) AS value FROM im GROUP BY ALL),
+dests AS (SELECT good, exporter, count(DISTINCT importer) AS n_dests_total FROM prep GROUP BY ALL),
+tiers AS (SELECT imom.*, greatest(coalesce(n_dests_total, 0) - 1, 0) AS n_dests,
+  CASE WHEN n_periods >= 3 AND greatest(coalesce(n_dests_total, 0) - 1, 0) >= 2 THEN 1 WHEN n_periods >= 3 THEN 2 ELSE 3 END AS tier FROM imom LEFT JOIN dests USING (good, exporter))"""
+_EXP = _DIF + _LAG + """,
+dv AS (SELECT good, exporter, importer, sum(cusval) AS v FROM prep GROUP BY ALL),
+pick AS (SELECT f.good, f.exporter, f.importer, d.importer AS ref_dest FROM dv f JOIN dv d ON d.good = f.good AND d.exporter = f.exporter AND d.importer <> f.importer
+  QUALIFY row_number() OVER (PARTITION BY f.good, f.exporter, f.importer ORDER BY d.v DESC, d.importer) = 1),
+ex AS (SELECT l.*, pick.ref_dest, r.lp_dif AS rp, r.ls_exp_dif AS rl, count(*) OVER (PARTITION BY l.good, l.exporter, l.importer) AS pd FROM lagged l JOIN pick USING (good, exporter, importer)
+  JOIN prep r ON r.importer = pick.ref_dest AND r.good = l.good AND r.exporter = l.exporter AND r.t = l.t),
+ew AS (SELECT *, """ + _BW.format(n="pd") + """ AS bw FROM ex),
+emom AS (SELECT importer, good, exporter, ref_dest, sum(bw * (lp_dif - rp) ** 2) / sum(bw) AS exp_y, sum(bw * ls_exp_dif ** 2) / sum(bw) AS exp_x1, sum(bw * ls_exp_dif * lp_dif) / sum(bw) AS exp_x2,
+  sum(bw * rl ** 2) / sum(bw) AS exp_x3, sum(bw * rl * lp_dif) / sum(bw) AS exp_x4, sum(bw * rl * rp) / sum(bw) AS exp_x5, sum(bw * ls_exp_dif * rp) / sum(bw) AS exp_x6,
+  sum(bw * ls_exp_dif * rl) / sum(bw) AS exp_x7, sum(bw * rp ** 2) / sum(bw) AS exp_x8, sum(bw * rp * lp_dif) / sum(bw) AS exp_x9 FROM ew GROUP BY ALL)"""
+_M1 = _RAW + """,
+c AS (SELECT importer, good, exporter, year AS t, cusval, ln(cusval / quantity) AS lp, ln(cusval / sum(cusval) OVER (PARTITION BY importer, good, year)) AS ls FROM raw),
+cd AS (SELECT *, CASE WHEN t - lag(t) OVER w = 1 THEN lp - lag(lp) OVER w END AS p, CASE WHEN t - lag(t) OVER w = 1 THEN ls - lag(ls) OVER w END AS s FROM c WINDOW w AS (PARTITION BY importer, good, exporter ORDER BY t)),
+cr AS (SELECT importer, good, exporter AS ref_exporter FROM (SELECT importer, good, exporter, count(*) AS n, sum(cusval) AS v FROM c GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY importer, good ORDER BY n DESC, v DESC, exporter) = 1),
+mo AS (SELECT a.importer, a.good, a.exporter, cr.ref_exporter, a.t, (a.p - b.p) ** 2 AS y, (a.s - b.s) ** 2 AS x1, (a.p - b.p) * (a.s - b.s) AS x2 FROM cd a JOIN cr USING (importer, good)
+  JOIN cd b ON b.importer = a.importer AND b.good = a.good AND b.exporter = cr.ref_exporter AND b.t = a.t),
+m1 AS (SELECT * FROM mo WHERE y IS NOT NULL AND x1 IS NOT NULL AND NOT (y = 0 AND x1 = 0 AND x2 = 0)),
+gs AS (SELECT importer, good, exporter, count(*) AS n, sum(y) AS s_y, sum(x1) AS s_x1, sum(x2) AS s_x2, sum(y * y) AS s_y_y, sum(y * x1) AS s_y_x1, sum(y * x2) AS s_y_x2, sum(x1 * x1) AS s_x1_x1, sum(x1 * x2) AS s_x1_x2, sum(x2 * x2) AS s_x2_x2 FROM m1 GROUP BY ALL)"""
+_EST = _RAW + """,
+e0 AS (SELECT importer, exporter, good, avg(cusval) AS avg_trade, substr(good, 4, 1)::INT AS g FROM raw GROUP BY ALL),
+e1 AS (SELECT importer, exporter, good, avg_trade, 1.2::DOUBLE + ((importer * 11 + g * 3) % 40) / 8::DOUBLE AS sigma, 0.2::DOUBLE + ((importer * 7 + exporter * 13 + g * 5) % 97) / 4::DOUBLE AS gamma, (importer + exporter) % 4 AS tier,
+  0.05::DOUBLE + ((exporter * 3 + importer) % 11) / 16::DOUBLE AS gamma_se, CASE WHEN importer % 7 <> 0 THEN 0.0625::DOUBLE + (importer % 9) / 64::DOUBLE END AS sigma_se,
+  ((exporter * 5 + importer) % 13 - 6) / 8::DOUBLE AS dgamma_dsigma, (importer + g) % 6 AS adjust FROM e0),
+est AS (SELECT *, CASE WHEN tier = 3 THEN 'tier3_prior' WHEN gamma > 20 THEN 'plateau' WHEN gamma < 1 THEN 'boundary' ELSE 'ok' END AS gamma_se_status,
+  CASE WHEN adjust = 0 THEN 'hliml' WHEN adjust < 4 THEN 'hliml_boundary' ELSE 'step2_weighted' END AS final_source,
+  CASE WHEN adjust = 3 THEN 'all_inversions_failed' WHEN adjust = 5 THEN 'thin_panel_e1_t2' ELSE 'ok' END AS status FROM e1),
+ecell AS (SELECT importer, good, min(sigma) AS sigma, min(adjust) AS adjust, min(final_source) AS final_source, min(status) AS status, min(sigma_se) AS sigma_se FROM est GROUP BY ALL)"""
+
+
+def query(name: str, sql: str | None = None, places: int = 6, money: tuple[str, ...] = ()):
+    """Registers a query; doubles are rounded on both sides (money to 2 places)."""
+
+    def add(f):
+        def run(spark, d):
+            df = f(spark, d)
+            return df.select(*[F.round(c, 2 if c in money else places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def r(*cols: str, places: int = 6) -> str:
+    return ", ".join(f"round({c}, {places}) + 0.0::DOUBLE AS {c.split('.')[-1]}" for c in cols)
+
+
+@query("panel_scan_project", f"WITH {_TRADE} SELECT year, good, importer, exporter, count(*) AS n, round(sum(cusval), 2) AS cusval FROM trade GROUP BY ALL", money=("cusval",))
+def _(s, d):
+    return trade(s, d).groupBy("year", "good", "importer", "exporter").agg(F.count("*").alias("n"), F.sum("cusval").alias("cusval"))
+
+
+@query("hs6_pad_rollup", f"WITH {_RAW} SELECT year, good, importer, exporter, round(cusval, 2) AS cusval, round(quantity, 2) AS quantity FROM raw", money=("cusval", "quantity"))
+def _(s, d):
+    return raw(s, d)
+
+
+@query("clean_filter", f"WITH {_TRADE} SELECT year, count(*) AS n, round(sum(cusval), 2) AS cusval FROM trade WHERE cusval > 1000 AND quantity > 0 AND year BETWEEN 1996 AND 1998 AND length(lpad(good, 6, '0')) = 6 GROUP BY year", money=("cusval",))
+def _(s, d):
+    return P.clean(trade(s, d), CFG.with_(minyear=1996, maxyear=1998)).filter("cusval > 1000").groupBy("year").agg(F.count("*").alias("n"), F.sum("cusval").alias("cusval"))
+
+
+_RMAP = "rm AS (SELECT n_nationkey::INT AS c, 'R' || n_regionkey AS region FROM nation WHERE n_nationkey < 20)"
+
+
+@query("region_rollup", f"WITH {_RAW}, {_RMAP} SELECT year, good, coalesce(a.region, 'OTHER') AS importer, coalesce(b.region, 'OTHER') AS exporter, round(sum(cusval), 2) AS cusval, round(sum(quantity), 2) AS quantity FROM raw LEFT JOIN rm a ON importer = a.c LEFT JOIN rm b ON exporter = b.c GROUP BY ALL", money=("cusval", "quantity"))
+def _(s, d):
+    return P.regional_panel(raw(s, d), regions(s, d))
+
+
+@query("unit_values_shares", f"WITH {_SH} SELECT year, good, importer, exporter, t, {r('lp', 's_imp', 'ls_imp', 's_exp', 'ls_exp')} FROM sl")
+def _(s, d):
+    return P.shares(raw(s, d), CFG).select("year", "good", "importer", "exporter", "t", "lp", "s_imp", "ls_imp", "s_exp", "ls_exp")
+
+
+@query("first_diff_guarded", f"WITH {_DIF} SELECT good, importer, exporter, t, period_count::INT AS period_count, {r('lp_dif', 'ls_imp_dif', 'ls_exp_dif')} FROM dif WHERE lp_dif IS NOT NULL")
+def _(s, d):
+    return P.differences(P.shares(raw(s, d), CFG)).filter("lp_dif is not null").select("good", "importer", "exporter", "t", "period_count", "lp_dif", "ls_imp_dif", "ls_exp_dif")
+
+
+@query("uv_outlier", f"WITH {_DIF} SELECT importer, good, count(*) AS n, round(max(abs(lp_dif)), 6) AS largest FROM prep GROUP BY ALL")
+def _(s, d):
+    return prepared(s, d).groupBy("importer", "good").agg(F.count("*").alias("n"), F.max(F.abs("lp_dif")).alias("largest"))
+
+
+@query("cell_viability", f"WITH {_DIF} SELECT importer, good, count(DISTINCT exporter) AS n_exporters, max(period_count)::INT AS max_periods, count(DISTINCT exporter) >= 2 AND max(period_count) >= 3 AS viable FROM prep GROUP BY ALL")
+def _(s, d):
+    return P.cell_viability(prepared(s, d), CFG)
+
+
+@query("cell_stats", f"WITH {_DIF}, k AS (SELECT count(DISTINCT exporter) AS e, count(DISTINCT t) AS p FROM prep GROUP BY importer, good) SELECT count(*) AS cells, median(e::DOUBLE) AS median_exporters, round(avg(e), 6) AS mean_exporters, median(p::DOUBLE) AS median_periods, round(avg(p), 6) AS mean_periods FROM k")
+def _(s, d):
+    return P.cell_stats(prepared(s, d))
+
+
+@query("choose_reference", f"WITH {_DIF}{_REF} SELECT importer, good, ref_exporter, n_periods, round(total_value, 2) AS total_value FROM ref", money=("total_value",))
+def _(s, d):
+    return M.choose_reference(prepared(s, d))
+
+
+@query("stage1_moments", f"WITH {_M1} SELECT importer, good, exporter, ref_exporter, t, {r('y', 'x1', 'x2')} FROM m1")
+def _(s, d):
+    return M.stage1_moments(raw(s, d))
+
+
+@query("stage1_group_sums", f"WITH {_M1} SELECT importer, good, exporter, n, {r('s_y', 's_x1', 's_x2', 's_y_y', 's_y_x1', 's_y_x2', 's_x1_x1', 's_x1_x2', 's_x2_x2', places=5)} FROM gs", places=5)
+def _(s, d):
+    return M.group_sums(M.stage1_moments(raw(s, d)))
+
+
+_CD = _M1 + """,
+cs AS (SELECT importer, good, sum(n) AS n, count(*) AS k, sum(s_x1) AS t1, sum(s_x2) AS t2, sum(s_x1_x1) AS t11, sum(s_x1_x2) AS t12, sum(s_x2_x2) AS t22, sum(s_x1 * s_x1 / n) AS b11, sum(s_x1 * s_x2 / n) AS b12, sum(s_x2 * s_x2 / n) AS b22 FROM gs GROUP BY ALL),
+cm AS (SELECT *, b11 - t1 * t1 / n AS a11, b12 - t1 * t2 / n AS a12, b22 - t2 * t2 / n AS a22, (t11 - b11) / nullif(n - k, 0) AS c11, (t12 - b12) / nullif(n - k, 0) AS c12, (t22 - b22) / nullif(n - k, 0) AS c22 FROM cs),
+cz AS (SELECT *, (a11 * c22 + a22 * c11 - 2 * a12 * c12) / nullif(c11 * c22 - c12 * c12, 0) AS tr, (a11 * a22 - a12 * a12) / nullif(c11 * c22 - c12 * c12, 0) AS dt FROM cm)"""
+
+
+@query("cragg_donald_2x2", f"WITH {_CD} SELECT importer, good, n::BIGINT AS n, k AS n_exporters, round((tr / 2 - sqrt(greatest(tr * tr / 4 - dt, 0.0))) / nullif(k - 1, 0), 4) AS f FROM cz WHERE n > k + 3", places=4)
+def _(s, d):
+    return M.cragg_donald(M.group_sums(M.stage1_moments(raw(s, d)))).filter("n > n_exporters + 3")
+
+
+_ETA = "eta AS (SELECT importer, exporter, good, ((importer * 3 + exporter * 5 + g) % 31 - 3) / 8::DOUBLE AS eta1, ((importer * 7 + exporter + g * 2) % 29 - 14) / 16::DOUBLE AS eta2 FROM e0)"
+
+
+def _etas(s, d):
+    g = F.substring("good", 4, 1).cast("int")
+    return estimates(s, d).select("importer", "exporter", "good", (((F.col("importer") * 3 + F.col("exporter") * 5 + g) % 31 - 3) / 8).alias("eta1"), (((F.col("importer") * 7 + F.col("exporter") + g * 2) % 29 - 14) / 16).alias("eta2"))
+
+
+_INV = _EST + f""", {_ETA},
+i1 AS (SELECT *, CASE WHEN eta1 > 0 THEN 0.25 - 1 / (4 + eta2 * eta2 / eta1) END AS disc FROM eta),
+i2 AS (SELECT *, CASE WHEN disc >= 0 THEN least(greatest(CASE WHEN eta2 > 0 THEN 0.5 + sqrt(disc) ELSE 0.5 - sqrt(disc) END, 1e-4::DOUBLE), 0.999::DOUBLE) END AS rho0 FROM i1),
+i3 AS (SELECT *, CASE WHEN rho0 IS NOT NULL AND eta2 <> 0 THEN 1 + (2 * rho0 - 1) / ((1 - rho0) * eta2) END AS s0 FROM i2),
+i4 AS (SELECT *, CASE WHEN s0 > 1 THEN least(s0, 1000.0::DOUBLE) END AS s1 FROM i3),
+i5 AS (SELECT *, s1 - 1 - s1 * rho0 AS den FROM i4),
+i6 AS (SELECT *, CASE WHEN eta1 <= 0 THEN 'eta1_nonpositive' WHEN disc < 0 THEN 'neg_discriminant' WHEN s1 IS NULL THEN 'sigma_below_1' WHEN abs(den) < 1e-12 THEN 'omega_div_zero' WHEN rho0 < (s1 - 1) / s1 THEN 'ok' ELSE 'constraint_violated' END AS status FROM i5),
+inv AS (SELECT importer, exporter, good, s1 AS sigma, rho0 AS rho, CASE WHEN status IN ('ok', 'constraint_violated') THEN least(greatest(rho0 / den, 1e-4::DOUBLE), 1000.0::DOUBLE) END AS omega, status FROM i6)"""
+
+
+@query("invert_structural", f"WITH {_INV} SELECT importer, exporter, good, {r('sigma', 'rho', 'omega', places=5)}, status FROM inv", places=5)
+def _(s, d):
+    return X.invert_structural(_etas(s, d), "eta1", "eta2").drop("eta1", "eta2")
+
+
+@query("delta_method", f"""WITH {_INV}, v AS (SELECT *, 0.01::DOUBLE AS v11, 0.002::DOUBLE AS v12, 0.03::DOUBLE AS v22, -pow(sigma - 1, 3) * (1 - rho) AS a, pow(sigma - 1, 2) * (1 - rho) AS b, (1 - 2 * rho) * pow(sigma - 1, 2) * pow(1 - rho, 2) AS c,
+ 2 * rho * (sigma - 1) * pow(1 - rho, 2) AS e FROM inv), w AS (SELECT *, greatest(a * a * v11 + 2 * a * b * v12 + b * b * v22, 0.0) AS vs, greatest(c * c * v11 + 2 * c * e * v12 + e * e * v22, 0.0) AS vr,
+ a * c * v11 + (a * e + b * c) * v12 + b * e * v22 AS cov, pow(sigma * (rho - 1) + 1, 4) AS d4 FROM v), z AS (SELECT *, (pow(rho, 2) * pow(1 - rho, 2) * vs + pow(sigma - 1, 2) * vr - 2 * (sigma - 1) * rho * (1 - rho) * cov) / nullif(d4, 0) AS vo FROM w)
+ SELECT importer, exporter, good, CASE WHEN status = 'ok' AND sigma < 50 AND d4 >= 1e-3 THEN round(sqrt(vs), 4) END AS sigma_se, CASE WHEN status = 'ok' AND sigma < 50 AND d4 >= 1e-3 THEN round(sqrt(vr), 4) END AS rho_se, CASE WHEN status = 'ok' AND sigma < 50 AND d4 >= 1e-3 AND vo >= 0 THEN round(sqrt(vo), 4) END AS omega_se FROM z""", places=4)
+def _(s, d):
+    se = X.delta_ses(X.invert_structural(_etas(s, d), "eta1", "eta2"), "sigma", "rho", F.lit(0.01), F.lit(0.002), F.lit(0.03))
+    ok = (F.col("status") == "ok") & (F.col("sigma") < 50) & (F.pow(F.col("sigma") * (F.col("rho") - 1) + 1, F.lit(4)) >= 1e-3)
+    return se.select("importer", "exporter", "good", *[F.when(ok, F.col(c)).alias(c) for c in ("sigma_se", "rho_se", "omega_se")])
+
+
+_SY = ", ".join(f"({i + 2}, {v}::DOUBLE)" for i, v in enumerate(S1.STOCK_YOGO[0.10]))
+
+
+@query("stock_yogo_lookup", f"WITH {_RAW}, sy(n, cv) AS (VALUES {_SY}), k AS (SELECT importer, good, count(DISTINCT exporter) + any_value(importer) AS suppliers FROM raw GROUP BY ALL) SELECT importer, good, suppliers, cv FROM k LEFT JOIN sy ON n = least(suppliers, 30)")
+def _(s, d):
+    k = raw(s, d).groupBy("importer", "good").agg(F.countDistinct("exporter").alias("n")).withColumn("suppliers", F.col("n") + F.col("importer")).drop("n")
+    return S1.with_critical(k, "suppliers", "cv_10", "cv")
+
+
+@query("calendar_lag", f"WITH {_DIF}{_LAG} SELECT importer, good, exporter, t, round(cusval_lag, 2) AS cusval_lag FROM lagged", money=("cusval_lag",))
+def _(s, d):
+    return M.with_lag(prepared(s, d), CFG).select("importer", "good", "exporter", "t", "cusval_lag")
+
+
+@query("positional_lag", f"WITH {_DIF} SELECT importer, good, exporter, t, round(lag(cusval) OVER (PARTITION BY importer, good, exporter ORDER BY t), 2) AS cusval_lag FROM prep", money=("cusval_lag",))
+def _(s, d):
+    return prepared(s, d).select("importer", "good", "exporter", "t", X.positional_lag("cusval", ["importer", "good", "exporter"]).alias("cusval_lag"))
+
+
+@query("bw_weights", f"WITH {_DIF}{_LAG} SELECT importer, good, exporter, t, round({_BW.format(n='period_count')}, 4) AS bw FROM lagged", places=4)
+def _(s, d):
+    return M.with_lag(prepared(s, d), CFG).select("importer", "good", "exporter", "t", X.bw_weight(F.col("cusval"), F.col("cusval_lag"), F.col("period_count")).alias("bw"))
+
+
+@query("import_moments", f"WITH {_IMP} SELECT importer, good, exporter, ref_exporter, n_periods, round(value, 2) AS value, {r(*M.IMPORT_MOMENTS)} FROM imom", money=("value",))
+def _(s, d):
+    return M.import_moments(prepared(s, d), CFG)
+
+
+@query("ref_destination_top2", f"WITH {_EXP}, rk AS (SELECT *, row_number() OVER (PARTITION BY good, exporter ORDER BY v DESC, importer) AS k FROM dv) SELECT good, exporter, max(importer) FILTER (WHERE k = 1) AS first_dest, max(importer) FILTER (WHERE k = 2) AS second_dest FROM rk WHERE k <= 2 GROUP BY ALL")
+def _(s, d):
+    return M.reference_destinations(prepared(s, d))
+
+
+@query("export_moments", f"WITH {_EXP} SELECT importer, good, exporter, ref_dest, {r(*M.EXPORT_MOMENTS)} FROM emom")
+def _(s, d):
+    return M.export_moments(prepared(s, d), CFG)
+
+
+@query("dest_counts", f"WITH {_IMP} SELECT * FROM dests")
+def _(s, d):
+    return M.destination_counts(prepared(s, d))
+
+
+def _tiers(s, d):
+    panel = prepared(s, d)
+    return M.exporter_tiers(M.import_moments(panel, CFG), M.destination_counts(panel), CFG)
+
+
+@query("exporter_tiers", f"WITH {_IMP} SELECT importer, good, exporter, n_periods, n_dests, tier FROM tiers")
+def _(s, d):
+    return _tiers(s, d).select("importer", "good", "exporter", "n_periods", "n_dests", "tier")
+
+
+@query("exporter_weights", f"""WITH {_IMP}, w AS (SELECT *, value * least(n_periods, 10) / 10::DOUBLE AS adj FROM tiers), z AS (SELECT *, adj * count(*) FILTER (WHERE tier < 3) OVER (PARTITION BY importer, good) / sum(adj) FILTER (WHERE tier < 3) OVER (PARTITION BY importer, good) AS u FROM w)
+ SELECT importer, good, exporter, tier, round(CASE WHEN tier < 3 THEN CASE WHEN u > 0 THEN u ELSE 1.0 END END, 6) AS weight FROM z""")
+def _(s, d):
+    return M.exporter_weights(_tiers(s, d), CFG).select("importer", "good", "exporter", "tier", "weight")
+
+
+@query("lookup_fallback", f"""WITH {_EST}, lk AS (SELECT importer, good, sigma FROM ecell WHERE importer % 3 <> 0), fb AS (SELECT median(sigma) AS m FROM lk)
+ SELECT e.importer, e.good, round(coalesce(lk.sigma, (SELECT m FROM fb)), 6) AS sigma, count(*) AS n FROM est e LEFT JOIN lk ON lk.importer = e.importer AND lk.good = e.good GROUP BY ALL""")
+def _(s, d):
+    known = estimate_cells(s, d).filter("importer % 3 <> 0").select("importer", "good", "sigma")
+    default = F.broadcast(known.agg(F.median("sigma").alias("m")))  # one row
+    flows = estimates(s, d).select("importer", "good").join(known, ["importer", "good"], "left").join(default, F.lit(True))
+    return flows.groupBy("importer", "good", F.coalesce("sigma", "m").alias("sigma")).agg(F.count("*").alias("n"))
+
+
+@query("good_priors", f"WITH {_EST} SELECT good, round(median(ln(gamma)), 6) AS ln_gamma_prior FROM est WHERE gamma > 0 AND tier < 3 AND adjust <> 5 GROUP BY good")
+def _(s, d):
+    return estimates(s, d).filter("gamma > 0 and tier < 3 and adjust <> 5").groupBy("good").agg(F.median(F.log("gamma")).alias("ln_gamma_prior"))
+
+
+@query("regional_sigma", f"WITH {_EST}, {_RMAP} SELECT coalesce(region, 'OTHER') AS importer, good, round(median(sigma), 6) AS sigma FROM ecell LEFT JOIN rm ON importer = c GROUP BY ALL")
+def _(s, d):
+    return S2.regional_sigma(estimate_cells(s, d), regions(s, d))
+
+
+@query("gamma_v_fanout", f"WITH {_EST}, {_RMAP}, rg AS (SELECT coalesce(region, 'OTHER') AS region, good, median(gamma) AS gamma FROM est LEFT JOIN rm ON importer = c WHERE tier < 3 GROUP BY ALL), ct AS (SELECT DISTINCT importer, coalesce(region, 'OTHER') AS region FROM est LEFT JOIN rm ON importer = c) SELECT importer::VARCHAR AS importer, good, round(gamma, 6) AS gamma FROM ct JOIN rg USING (region)")
+def _(s, d):
+    est = estimates(s, d)
+    regional = S2.regional_gamma(P.assign_regions(est, regions(s, d), "importer"))
+    return S2.by_country(regional, est.select(F.col("importer").cast("string").alias("importer")), regions(s, d))
+
+
+@query("optimal_tariff", f"""WITH {_EST} SELECT importer, good, round(sum(avg_trade * gamma / (1 + gamma * sigma)) FILTER (WHERE gamma > 0 AND avg_trade > 0 AND tier < 3) / sum(avg_trade / (1 + gamma * sigma)) FILTER (WHERE gamma > 0 AND avg_trade > 0 AND tier < 3), 6) AS opt_tariff,
+ round(sum(avg_trade * gamma / (1 + gamma * sigma)) / sum(avg_trade / (1 + gamma * sigma)), 6) AS opt_tariff_all FROM est GROUP BY ALL""")
+def _(s, d):
+    args = [F.col(c) for c in ("gamma", "sigma", "avg_trade")]
+    return estimates(s, d).groupBy("importer", "good").agg(X.optimal_tariff(*args, F.col("tier") < 3).alias("opt_tariff"), X.optimal_tariff(*args).alias("opt_tariff_all"))
+
+
+@query("tail_trim", f"""WITH {_EST}, b AS (SELECT quantile_cont(sigma, 0.05) AS sl, quantile_cont(sigma, 0.95) AS sh, quantile_cont(gamma, 0.05) AS gl, quantile_cont(gamma, 0.95) AS gh FROM est WHERE tier < 3)
+ SELECT importer, exporter, good, round(sigma, 6) AS sigma, round(gamma, 6) AS gamma FROM est, b WHERE sigma BETWEEN sl AND sh AND gamma BETWEEN gl AND gh""")
+def _(s, d):
+    return S2.tail_trim(estimates(s, d), 0.05).select("importer", "exporter", "good", "sigma", "gamma")
+
+
+@query("plateau_replace", f"""WITH {_EST}, pr AS (SELECT good, median(ln(gamma)) AS p FROM est WHERE tier < 3 AND good <> '0103' GROUP BY good), h AS (SELECT est.*, p, coalesce(gamma > 20 AND tier <> 3 AND p IS NOT NULL, false) AS hit FROM est LEFT JOIN pr USING (good)),
+ n AS (SELECT *, CASE WHEN hit THEN exp(p) ELSE gamma END AS ng FROM h), z AS (SELECT importer, exporter, good, ng, hit, CASE WHEN max(hit::INT) OVER w = 1 THEN sum(avg_trade * ng / (1 + ng * sigma)) OVER w / sum(avg_trade / (1 + ng * sigma)) OVER w END AS ot FROM n WINDOW w AS (PARTITION BY importer, good))
+ SELECT importer, exporter, good, round(ng, 6) AS gamma, round(ot, 6) AS opt_tariff_all FROM z""")
+def _(s, d):
+    est = estimates(s, d).withColumns({c: F.lit(None).cast("double") for c in ("gamma_se_total", "opt_tariff", "opt_tariff_all")})
+    priors = est.filter("tier < 3 and good <> '0103'").groupBy("good").agg(F.median(F.log("gamma")).alias("ln_gamma_prior"))
+    return S2.plateau_fallback(est, priors, 20.0).select("importer", "exporter", "good", "gamma", "opt_tariff_all")
+
+
+@query("boundary_flags", f"WITH {_EST}, e AS (SELECT *, CASE importer % 3 WHEN 0 THEN 'sigma_cap' WHEN 1 THEN 'omega_cap' END AS edge FROM est) SELECT importer, exporter, good, coalesce(edge = 'sigma_cap', false) OR sigma >= 6 - 1e-3 AS sigma_capped, coalesce(edge = 'omega_cap', false) OR gamma >= 20 - 1e-3 AS omega_capped FROM e")
+def _(s, d):
+    edge = F.when(F.col("importer") % 3 == 0, "sigma_cap").when(F.col("importer") % 3 == 1, "omega_cap")
+    a, b = X.boundary_flags(edge, F.col("sigma"), F.col("gamma"), 6.0, 20.0)
+    return estimates(s, d).select("importer", "exporter", "good", a.alias("sigma_capped"), b.alias("omega_capped"))
+
+
+@query("sigma_robust", f"""WITH {_EST}, w AS (SELECT importer, good, max(sigma) AS sigma, max(sigma_se) AS sigma_se, max(adjust) AS adjust, max(CASE WHEN gamma_se > 0 THEN sqrt(gamma_se * gamma_se + (abs(dgamma_dsigma) * sigma_se) * (abs(dgamma_dsigma) * sigma_se)) / gamma_se END) AS worst FROM est WHERE tier < 3 GROUP BY ALL)
+ SELECT importer, good, adjust <> 4 AND sigma_se IS NOT NULL AND coalesce(sigma - 2.5 * sigma_se > 1 + 1e-6, false) AND coalesce(worst <= 2, true) AS sigma_robust FROM w""")
+def _(s, d):
+    c = estimates(s, d).filter("tier < 3").withColumn("i", R.inflation()).groupBy("importer", "good").agg(F.max("sigma").alias("sigma"), F.max("sigma_se").alias("sigma_se"), F.max("adjust").alias("adjust"), F.max("i").alias("worst"))
+    return c.select("importer", "good", X.sigma_robust(F.col("sigma"), F.col("sigma_se"), F.col("adjust"), F.col("worst")).alias("sigma_robust"))
+
+
+@query("structural_ratios", f"WITH {_EST} SELECT good, round(median(gamma / (1 + gamma)), 6) AS pass_through, round(median(1 / (sigma - 1)), 6) AS markup, round(median(gamma / ((1 + gamma) * (sigma - 1))), 6) AS joint FROM est GROUP BY good")
+def _(s, d):
+    g, sg = F.col("gamma"), F.col("sigma")
+    return estimates(s, d).groupBy("good").agg(F.median(g / (1 + g)).alias("pass_through"), F.median(1 / (sg - 1)).alias("markup"), F.median(g / ((1 + g) * (sg - 1))).alias("joint"))
+
+
+_T2 = "count(*) AS n, count(DISTINCT good) AS goods, round(median(sigma), 6) AS sigma_median, round(median(gamma), 6) AS gamma_median, round(quantile_cont(gamma, 0.25), 6) AS gamma_q25, round(quantile_cont(gamma, 0.75), 6) AS gamma_q75"
+
+
+@query("table2_grouping_sets", f"WITH {_EST} SELECT importer::VARCHAR AS importer, {_T2} FROM est GROUP BY importer UNION ALL SELECT 'World', {_T2} FROM est")
+def _(s, d):
+    return R.country_table(estimates(s, d))
+
+
+_PS = "ps AS (SELECT importer, good, count(*) AS n_exporters, median(gamma) AS within_med, stddev_samp(gamma) AS within_sd, mad(gamma) AS within_mad FROM est WHERE gamma > 0 GROUP BY ALL HAVING count(*) >= 2)"
+
+
+@query("within_pair_stats", f"WITH {_EST}, {_PS} SELECT count(*) AS n_pairs, " + ", ".join(f"round(median({c}), 6) AS median_{c}, round(quantile_cont({c}, 0.25), 6) AS q25_{c}, round(quantile_cont({c}, 0.75), 6) AS q75_{c}" for c in ("within_med", "within_sd", "within_mad")) + " FROM ps")
+def _(s, d):
+    return R.within_pair_summary(estimates(s, d))
+
+
+_VD = "vg AS (SELECT ln(gamma) AS l, avg(ln(gamma)) OVER (PARTITION BY importer, good) AS m, avg(ln(gamma)) OVER () AS a, importer, good FROM est WHERE gamma > 0), vd AS (SELECT 1 - sum((l - m) ** 2) / sum((l - a) ** 2) AS r_squared, count(*) AS n_obs, count(DISTINCT importer || '-' || good) AS n_groups FROM vg)"
+
+
+@query("variance_decomposition", f"WITH {_EST}, {_VD} SELECT round(r_squared, 6) AS r_squared, n_obs, n_groups FROM vd")
+def _(s, d):
+    return R.variance_decomposition(estimates(s, d))
+
+
+@query("lambda_calibration", f"""WITH {_EST}, {_PS}, {_VD}, a AS (SELECT count(*) AS n_estimates, avg((gamma > 20)::INT) AS plateau_share, median(gamma) FILTER (WHERE tier = 1) AS t1, median(gamma) FILTER (WHERE tier = 3) AS t3 FROM est)
+ SELECT 0.1::DOUBLE AS lambda, n_estimates, round(plateau_share, 6) AS plateau_share, round(t1, 6) AS tier1_gamma_median, round(t3, 6) AS tier3_gamma_median, (SELECT count(*) FROM ps) AS n_pairs, round((SELECT median(within_mad) FROM ps), 6) AS within_pair_mad, round((SELECT r_squared FROM vd), 6) AS r_squared, round(abs(ln(t1) - ln(t3)), 6) AS tier_distinctness FROM a""")
+def _(s, d):
+    return R.calibration(estimates(s, d), 0.1)
+
+
+_PROV = "CASE WHEN final_source = 'hliml' THEN 'interior' WHEN final_source = 'hliml_boundary' THEN 'boundary' WHEN adjust = 4 THEN 'sigma_capped' WHEN adjust = 5 THEN 'omega_capped' WHEN final_source = 'step2_weighted' THEN 'second_step' ELSE 'failed' END"
+
+
+@query("provenance_share", f"WITH {_EST}, p AS (SELECT {_PROV} AS provenance FROM ecell) SELECT provenance, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM p GROUP BY provenance")
+def _(s, d):
+    return R.shares(estimate_cells(s, d).select(X.sigma_provenance(F.col("final_source"), F.col("adjust")).alias("provenance")), "provenance")
+
+
+@query("provenance_medians", f"WITH {_EST} SELECT {_PROV} AS provenance, count(*) AS n, round(median(sigma), 6) AS sigma_median, round(quantile_cont(sigma, 0.25), 6) AS sigma_q25, round(quantile_cont(sigma, 0.75), 6) AS sigma_q75 FROM ecell GROUP BY 1")
+def _(s, d):
+    return R.provenance_medians(estimate_cells(s, d))
+
+
+@query("se_status_crosstab", f"WITH {_EST} SELECT tier, gamma_se_status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY tier), 6)::DOUBLE AS pct FROM est GROUP BY tier, gamma_se_status")
+def _(s, d):
+    return R.shares(estimates(s, d), "tier", "gamma_se_status", within=("tier",))
+
+
+@query("hs_chapter_gamma", f"WITH {_EST} SELECT substr(good, 1, 2) AS chapter, count(*) AS n, round(median(gamma), 6) AS gamma_median, round(quantile_cont(gamma, 0.25), 6) AS gamma_q25, round(quantile_cont(gamma, 0.75), 6) AS gamma_q75 FROM est WHERE gamma > 0 GROUP BY 1")
+def _(s, d):
+    return R.chapter_gamma(estimates(s, d))
+
+
+@query("gap_census", f"""WITH {_DIF}, g AS (SELECT p.*, q.t IS NULL AS fb, q.t IS NULL AND p.t <> min(p.t) OVER (PARTITION BY p.importer, p.exporter, p.good) AS st FROM prep p LEFT JOIN prep q ON q.importer = p.importer AND q.exporter = p.exporter AND q.good = p.good AND q.t = p.t - 1),
+ s AS (SELECT importer, exporter, good, count(*) AS n, count(*) FILTER (WHERE st) AS st, count(*) FILTER (WHERE fb) AS fb FROM g GROUP BY ALL)
+ SELECT importer, good, count(*) AS n_series, count(*) FILTER (WHERE st > 0) AS n_series_holed, round(avg((st > 0)::INT), 6) AS share_holed, sum(n)::BIGINT AS n_rows, sum(st)::BIGINT AS n_stale_rows, sum(fb)::BIGINT AS n_fallback_rows FROM s GROUP BY ALL""")
+def _(s, d):
+    return R.gap_census(prepared(s, d))
+
+
+@query("survivorship_census", f"""WITH {_TRADE}, lv AS (SELECT 'HS6' AS hs_level, lpad(good, 6, '0') AS g, * FROM trade UNION ALL SELECT 'HS4', substr(lpad(good, 6, '0'), 1, 4), * FROM trade),
+ y AS (SELECT hs_level, importer, g, exporter, year, sum(cusval) AS v FROM lv GROUP BY ALL), l AS (SELECT *, (year - lag(year) OVER (PARTITION BY hs_level, importer, g, exporter ORDER BY year) = 1)::INT AS pr FROM y),
+ rt AS (SELECT hs_level, importer, g, exporter, coalesce(sum(pr), 0) AS pairs, sum(v) AS v FROM l GROUP BY ALL), gr AS (SELECT * FROM (VALUES (2), (4)) a(min_exporters), (VALUES (1), (3)) b(min_pairs)),
+ c AS (SELECT hs_level, min_exporters, min_pairs, importer, g, count(*) FILTER (WHERE pairs >= min_pairs) >= min_exporters AS ok, count(*) AS r, sum(v) AS v FROM rt, gr GROUP BY hs_level, min_exporters, min_pairs, importer, g)
+ SELECT hs_level, min_exporters, min_pairs, count(*) AS cells_total, count(*) FILTER (WHERE ok) AS cells_estimable, round(avg(ok::INT), 6) AS share_cells, round(coalesce(sum(r) FILTER (WHERE ok), 0)::DOUBLE / sum(r)::DOUBLE, 6) AS share_routes, round(coalesce(sum(v) FILTER (WHERE ok), 0) / sum(v), 6) AS share_value FROM c GROUP BY ALL""")
+def _(s, d):
+    return R.survivorship_census(trade(s, d), [2, 4], [1, 3])
+
+
+@query("sensitivity_pivot", f"""WITH {_EST}, c AS (SELECT importer, good, count(*) AS n, max(sigma) AS sigma, max(sigma_se) AS sigma_se, max(CASE WHEN gamma_se > 0 THEN sqrt(gamma_se * gamma_se + (abs(dgamma_dsigma) * sigma_se) * (abs(dgamma_dsigma) * sigma_se)) / gamma_se END) AS worst FROM est WHERE tier < 3 GROUP BY ALL),
+ g AS (SELECT c.*, k::DOUBLE AS k_pole, i::DOUBLE AS lim FROM c, (VALUES (1.5), (2.5), (3.0)) a(k), (VALUES (1.5), (2.0), (5.0)) b(i)),
+ z AS (SELECT k_pole, lim, 100.0 * sum(CASE WHEN sigma >= 9.999 OR sigma_se IS NULL OR k_pole * sigma_se >= sigma - 1 - 1e-6 OR coalesce(worst, 0) > lim THEN 0 ELSE n END) / sum(n) AS p FROM g GROUP BY ALL)
+ SELECT k_pole, round(max(p) FILTER (WHERE lim = 1.5), 6)::DOUBLE AS infl_1_5, round(max(p) FILTER (WHERE lim = 2), 6)::DOUBLE AS infl_2_0, round(max(p) FILTER (WHERE lim = 5), 6)::DOUBLE AS infl_5_0 FROM z GROUP BY k_pole""")
+def _(s, d):
+    return R.sensitivity(estimates(s, d), [1.5, 2.5, 3.0], [1.5, 2.0, 5.0])
+
+
+@query("composition_full_outer", f"WITH {_EST}, a AS (SELECT gamma_se_status, count(*) AS n FROM est WHERE gamma <= 20 GROUP BY 1), b AS (SELECT gamma_se_status, count(*) AS n FROM est WHERE gamma >= 1 GROUP BY 1) SELECT coalesce(a.gamma_se_status, b.gamma_se_status) AS gamma_se_status, coalesce(a.n, 0) AS n_old, coalesce(b.n, 0) AS n_new FROM a FULL JOIN b USING (gamma_se_status)")
+def _(s, d):
+    est = estimates(s, d)
+    return R.composition(est.filter("gamma <= 20"), est.filter("gamma >= 1"), "gamma_se_status")
+
+
+@query("pairing_diagnostic", f"WITH {_EST}, a AS (SELECT importer, good, median(gamma) AS g FROM est WHERE tier < 3 GROUP BY ALL), b AS (SELECT importer, good, avg(gamma) AS g FROM est GROUP BY ALL) SELECT count(*) AS n, round(median(abs(a.g - b.g)), 6) AS mad, round(corr(a.g, b.g) ** 2, 6) AS r_squared FROM a JOIN b USING (importer, good)")
+def _(s, d):
+    est = estimates(s, d)
+    return R.pairing(est.filter("tier < 3").groupBy("importer", "good").agg(F.median("gamma").alias("gamma")), est.groupBy("importer", "good").agg(F.avg("gamma").alias("gamma")), ["importer", "good"])
+
+
+_MET = "count(*)::DOUBLE AS n, count(DISTINCT good)::DOUBLE AS goods, median(sigma) AS sigma_median, median(gamma) AS gamma_median, quantile_cont(gamma, 0.25) AS gamma_q25, quantile_cont(gamma, 0.75) AS gamma_q75, avg((gamma > 20)::INT) AS plateau"
+
+
+@query("run_comparison", f"WITH {_EST}, o AS (SELECT {_MET} FROM est), w AS (SELECT {_MET} FROM est WHERE tier < 3), ol AS (UNPIVOT o ON COLUMNS(*) INTO NAME metric VALUE v), wl AS (UNPIVOT w ON COLUMNS(*) INTO NAME metric VALUE v) SELECT metric, round(ol.v, 6) AS old, round(wl.v, 6) AS new, round(wl.v - ol.v, 6) AS delta FROM ol JOIN wl USING (metric)")
+def _(s, d):
+    est = estimates(s, d)
+    return R.run_comparison(est, est.filter("tier < 3"))
+
+
+@query("flag_transitions", f"WITH {_EST} SELECT sigma >= 4 AS old, sigma >= 3 AS new, count(*) AS n FROM ecell GROUP BY ALL")
+def _(s, d):
+    c = estimate_cells(s, d)
+    return R.transitions(c.withColumn("f", F.col("sigma") >= 4), c.withColumn("f", F.col("sigma") >= 3), "f")
+
+
+@query("failure_counts", f"WITH {_EST} SELECT status, count(*) AS n FROM ecell WHERE status <> 'ok' GROUP BY status")
+def _(s, d):
+    return R.failure_counts(estimate_cells(s, d))
+
+
+@query("mode_spike", f"WITH {_EST} SELECT round(sigma, 6) AS sigma, count(*) AS n FROM est WHERE sigma < 10 GROUP BY sigma ORDER BY n DESC, sigma LIMIT 1")
+def _(s, d):
+    return R.spike(estimates(s, d))
+
+
+@query("quality_log", f"""WITH {_DIF}, q AS (SELECT 1 AS step, 'raw' AS stage, count(*) AS n_obs, sum(cusval) AS v FROM trade UNION ALL SELECT 2, 'positive', count(*), sum(cusval) FROM trade WHERE cusval > 0 AND quantity > 0 UNION ALL SELECT 3, 'years', count(*), sum(cusval) FROM trade WHERE cusval > 0 AND quantity > 0 AND year >= 1995
+ UNION ALL SELECT 4, 'codes', count(*), sum(cusval) FROM trade WHERE cusval > 0 AND quantity > 0 AND year >= 1995 UNION ALL SELECT 5, 'rolled_up', count(*), sum(cusval) FROM dif UNION ALL SELECT 6, 'differenced', count(*), sum(cusval) FROM dif WHERE lp_dif IS NOT NULL UNION ALL SELECT 7, 'outliers', count(*), sum(cusval) FROM prep)
+ SELECT step, stage, n_obs, coalesce(lag(n_obs) OVER (ORDER BY step) - n_obs, 0) AS n_dropped, round(v, 2) AS trade_value FROM q""", money=("trade_value",))
+def _(s, d):
+    return P.quality_log(trade(s, d), CFG)
+
+
+@query("manifest_anti_join", f"WITH {_EST}, l AS (SELECT DISTINCT good || '-' || importer AS local_path FROM est WHERE importer < 20), p AS (SELECT DISTINCT good || '-' || importer AS local_path FROM est WHERE importer > 3) SELECT local_path, 'missing' AS problem FROM l ANTI JOIN p USING (local_path) UNION ALL SELECT local_path, 'unlisted' FROM p ANTI JOIN l USING (local_path)")
+def _(s, d):
+    paths = lambda cond: estimates(s, d).filter(cond).select(F.concat_ws("-", "good", F.col("importer").cast("string")).alias("local_path")).distinct()
+    return T.manifest_drift(paths("importer < 20"), paths("importer > 3"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return S1.run_stage1(raw(spark, d), CFG)
+
+
+@query("stage1_liml")
+def _(s, d):
+    return flagship(s, d)
+
+
+def _stage2_inputs(s, d):
+    panel = prepared(s, d)
+    cells = estimate_cells(s, d).select(F.col("importer").cast("string").alias("importer"), "good", (1.5 + F.col("sigma") / 2).alias("sigma"), F.lit(0.7).alias("gamma"))
+    priors = cells.groupBy("good").agg(F.log(F.median("gamma")).alias("ln_gamma_prior"))
+    return panel, cells.select("importer", "good", "sigma"), priors, cells.select("importer", "good", "gamma")
+
+
+@query("stage2_fixed_sigma")
+def _(s, d):
+    panel, sigma, priors, gamma = _stage2_inputs(s, d)
+    return S2.run_stage2(panel, CFG, CFG.shrinkage, sigma, 2.88, priors, gamma, 0.69)
+
+
+@query("lambda_sweep")
+def _(s, d):
+    panel, sigma, priors, gamma = _stage2_inputs(s, d)
+    inputs = S2.cell_inputs(panel, CFG, sigma, 2.88, priors, gamma, 0.69, None, 0.69)
+    out = None
+    for lam in (0.05, 0.1, 0.5):
+        row = R.calibration(S2.solve_cells(inputs, lam), lam)
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -81,43 +81,42 @@ def sigma_provenance(source: Column, adjust: Column) -> Column:
     )
 
 
-def invert_structural(eta1: Column, eta2: Column, rho_floor=1e-4, rho_ceil=0.999, sigma_ceil=1000.0, omega_floor=1e-4, omega_ceil=1000.0) -> Column:
-    """struct(sigma, rho, omega, status) from the two reduced-form coefficients.
+def invert_structural(df: DataFrame, eta1: str, eta2: str, rho_floor=1e-4, rho_ceil=0.999, sigma_ceil=1000.0, omega_floor=1e-4, omega_ceil=1000.0) -> DataFrame:
+    """df plus sigma, rho, omega, status from two columns of reduced-form coefficients.
 
     The quadratic's root on the side of eta2's sign gives rho, then sigma and omega follow; each is clamped, and the
-    status names the first step that fails (constraint_violated keeps its values)."""
-    ok_eta = eta1.isNotNull() & eta2.isNotNull() & ~F.isnan(eta1) & ~F.isnan(eta2) & (F.abs(eta1) < float("inf")) & (F.abs(eta2) < float("inf"))
-    disc = 0.25 - F.try_divide(F.lit(1.0), 4 + F.try_divide(eta2 * eta2, eta1))
-    root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-    rho = F.least(F.greatest(F.when(eta2 > 0, 0.5 + root).otherwise(0.5 - root), F.lit(rho_floor)), F.lit(rho_ceil))
-    raw = 1 + F.try_divide(2 * rho - 1, (1 - rho) * eta2)
-    sigma = F.least(raw, F.lit(sigma_ceil))
-    denom = sigma - 1 - sigma * rho
-    omega = F.least(F.greatest(F.try_divide(rho, denom), F.lit(omega_floor)), F.lit(omega_ceil))
+    status names the first step that fails (constraint_violated keeps its values). One projection per step keeps each
+    intermediate value from being written out again wherever it is used."""
+    e1, e2 = F.col(eta1), F.col(eta2)
+    ok_eta = e1.isNotNull() & e2.isNotNull() & ~F.isnan(e1) & ~F.isnan(e2) & (F.abs(e1) < float("inf")) & (F.abs(e2) < float("inf"))
+    out = df.withColumn("__disc", F.when(ok_eta & (e1 > 0), 0.25 - F.try_divide(F.lit(1.0), 4 + e2 * e2 / e1)))
+    out = out.withColumn("__root", F.sqrt(F.greatest("__disc", F.lit(0.0))))
+    out = out.withColumn("rho", F.when(F.col("__disc") >= 0, F.least(F.greatest(F.when(e2 > 0, 0.5 + F.col("__root")).otherwise(0.5 - F.col("__root")), F.lit(rho_floor)), F.lit(rho_ceil))))
+    out = out.withColumn("__raw", 1 + F.try_divide(2 * F.col("rho") - 1, (1 - F.col("rho")) * e2))
+    out = out.withColumn("sigma", F.when(F.col("__raw") > 1, F.when(F.col("__raw") > sigma_ceil, sigma_ceil).otherwise(F.col("__raw"))))
+    out = out.withColumn("__denom", F.col("sigma") - 1 - F.col("sigma") * F.col("rho"))
+    out = out.withColumn("omega", F.when(F.abs("__denom") >= 1e-12, F.least(F.greatest(F.col("rho") / F.nullif("__denom", F.lit(0.0)), F.lit(omega_floor)), F.lit(omega_ceil))))
     status = (
-        F.when(~ok_eta, "non_finite_eta").when(eta1 <= 0, "eta1_nonpositive").when(disc < 0, "neg_discriminant")
-        .when(raw.isNull() | (raw <= 1), "sigma_below_1").when(F.abs(denom) < 1e-12, "omega_div_zero")
-        .when(rho < (sigma - 1) / sigma, "ok").otherwise("constraint_violated")
+        F.when(~ok_eta, "non_finite_eta").when(e1 <= 0, "eta1_nonpositive").when(F.col("__disc") < 0, "neg_discriminant").when(F.col("sigma").isNull(), "sigma_below_1")
+        .when(F.col("omega").isNull(), "omega_div_zero").when(F.col("rho") < (F.col("sigma") - 1) / F.col("sigma"), "ok").otherwise("constraint_violated")
     )
-    final = status.isin("ok", "constraint_violated")
-    return F.struct(
-        F.when(final | (status == "omega_div_zero"), sigma).alias("sigma"),
-        F.when(final | status.isin("omega_div_zero", "sigma_below_1"), rho).alias("rho"),
-        F.when(final, omega).alias("omega"), status.alias("status"),
-    )
-
-
-def delta_ses(sigma: Column, rho: Column, v11: Column, v12: Column, v22: Column) -> Column:
-    """struct(sigma_se, rho_se, omega_se): delta-method standard errors from the coefficients' covariance."""
-    s1, r1 = sigma - 1, 1 - rho
-    a11, a12 = -F.pow(s1, 3) * r1, F.pow(s1, 2) * r1
-    a21, a22 = (1 - 2 * rho) * F.pow(s1, 2) * F.pow(r1, 2), 2 * rho * s1 * F.pow(r1, 2)
-    vs = F.greatest(a11 * a11 * v11 + 2 * a11 * a12 * v12 + a12 * a12 * v22, F.lit(0.0))
-    vr = F.greatest(a21 * a21 * v11 + 2 * a21 * a22 * v12 + a22 * a22 * v22, F.lit(0.0))
-    cov = a11 * a21 * v11 + (a11 * a22 + a12 * a21) * v12 + a12 * a22 * v22
-    d4 = F.pow(sigma * (rho - 1) + 1, 4)
-    vo = F.try_divide(F.pow(rho, 2) * F.pow(r1, 2) * vs + F.pow(s1, 2) * vr - 2 * s1 * rho * r1 * cov, d4)
-    return F.struct(F.sqrt(vs).alias("sigma_se"), F.sqrt(vr).alias("rho_se"), F.when((d4 >= 1e-20) & (vo >= 0), F.sqrt(vo)).alias("omega_se"))
+    return out.withColumn("status", status).drop("__disc", "__root", "__raw", "__denom")
+
+
+def delta_ses(df: DataFrame, sigma: str, rho: str, v11: Column, v12: Column, v22: Column) -> DataFrame:
+    """df plus sigma_se, rho_se, omega_se: delta-method standard errors from the coefficients' covariance."""
+    out = df.withColumns({"__s": F.col(sigma) - 1, "__r": 1 - F.col(rho), "__p": F.col(rho), "__v11": v11, "__v12": v12, "__v22": v22})
+    s, r, p = F.col("__s"), F.col("__r"), F.col("__p")
+    out = out.withColumns({"__a": -s * s * s * r, "__b": s * s * r, "__c": (1 - 2 * p) * s * s * r * r, "__e": 2 * p * s * r * r})
+    a, b, c, e, v1, v2, v3 = (F.col(f"__{x}") for x in ("a", "b", "c", "e", "v11", "v12", "v22"))
+    out = out.withColumns({
+        "__vs": F.greatest(a * a * v1 + 2 * a * b * v2 + b * b * v3, F.lit(0.0)), "__vr": F.greatest(c * c * v1 + 2 * c * e * v2 + e * e * v3, F.lit(0.0)),
+        "__cov": a * c * v1 + (a * e + b * c) * v2 + b * e * v3, "__d4": F.pow((s + 1) * (p - 1) + 1, F.lit(4)),
+    })
+    vs, vr = F.col("__vs"), F.col("__vr")
+    out = out.withColumn("__vo", F.try_divide(p * p * r * r * vs + s * s * vr - 2 * s * p * r * F.col("__cov"), F.col("__d4")))
+    done = out.withColumns({"sigma_se": F.sqrt(vs), "rho_se": F.sqrt(vr), "omega_se": F.when((F.col("__d4") >= 1e-20) & (F.col("__vo") >= 0), F.sqrt("__vo"))})
+    return done.drop(*[x for x in done.columns if x.startswith("__")])
 
 
 def min_eigen_2x2(a11: Column, a12: Column, a22: Column, b11: Column, b12: Column, b22: Column) -> Column:
