@@ -39,7 +39,7 @@ def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage:
         sigma = S2.regional_sigma(clean, regions)
         none = sigma.select("importer", "good", F.lit(None).cast("double").alias("gamma"))
         fits = S2.run_stage2(panel, cfg, cfg.shrinkage_regional, sigma, middle["s"], priors, none, middle["g"])
-        return S2.plateau_fallback(fits, priors, cfg.plateau)
+        return S2.plateau_fallback(fits, priors, cfg.plateau).select(*S2.COLUMNS)
 
     found["stage2a"] = step("stage2a", regional, stage == "2a")
     if stage == "2a":
