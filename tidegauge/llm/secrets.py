@@ -35,12 +35,12 @@ ALLOWED = (
     re.compile(r"(?:[A-Za-z]+[_/=+-]+)+[A-Za-z]*"),  # paths and compound identifiers
     re.compile(r"(.)\1+"),
 )
-_BITS = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+_BITS = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 2)]  # one more while a window moves on
 
 
-def hot_span(s: str, limit: float, window: int = WINDOW) -> tuple[int, int] | None:
+def hot_span(s: str, limit: float) -> tuple[int, int] | None:
     """From the first to the last window whose entropy reaches the limit; counts change by one character a step."""
-    counts: dict[str, int] = {}
+    window, counts = WINDOW, {}
     total, first, last = 0.0, None, 0  # total: sum of c * log2(c)
     for i, ch in enumerate(s):
         c = counts.get(ch, 0)
