@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -63,6 +64,13 @@ def chunks(offsets: np.ndarray, size: int = CHUNK):
         first = stop
 
 
+def pieces(batch: pa.RecordBatch, column: str, size: int = CHUNK):
+    """A batch cut by rows into pieces of about ``size`` bytes of the column, to bound what a task holds."""
+    sizes = pa.compute.binary_length(batch[column]).to_numpy(zero_copy_only=False)
+    for a, b in chunks(np.r_[0, np.cumsum(sizes)].astype(np.int64), size):
+        yield batch.slice(a, b - a)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document index) of every word, in order. Words are runs of bytes other than ASCII white space."""
     hashes, owners = [], []

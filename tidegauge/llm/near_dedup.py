@@ -78,13 +78,13 @@ def _shingles(table: pa.Table):
     return own["node"].to_pylist(), h[heads], owner[heads], np.diff(np.r_[heads, len(h)])
 
 
-def signatures(rows: DataFrame, copies: DataFrame, n_texts: int, block_bytes: int = 8 << 20, n_buckets: int | None = None) -> DataFrame:
+def signatures(rows: DataFrame, copies: DataFrame, n_texts: int, block_bytes: int = 4 << 20, n_buckets: int | None = None) -> DataFrame:
     """(node, bands, samples, hashes, weights) of every text that is not a known exact copy.
 
     Document frequencies of shingles come from all texts (module blocks). hashes: 32 bits of each shingle, those with a
     weight other than 2 first; weights: 32-bit floats of these first ones."""
     n_blocks = C.block_count(rows, block_bytes=block_bytes)
-    n_buckets = n_buckets or 4 * C.shuffle_width(rows.sparkSession)
+    n_buckets = n_buckets or 2 * C.shuffle_width(rows.sparkSession)
     at = F.pmod(F.xxhash64("node"), F.lit(n_blocks))
     blocked = rows.select(at.alias("block"), "node", "text", F.lit(False).alias("copy")).unionByName(
         copies.select(at.alias("block"), "node", F.lit("").alias("text"), F.lit(True).alias("copy"))
@@ -159,47 +159,81 @@ def _verified(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(part, "a long, b long")
 
 
-def _unmet(members: DataFrame, sigs: DataFrame, comps: DataFrame, least: float, chunk: int = 512) -> DataFrame:
-    """Pairs (a, b) that share a band, lie in different components and agree in enough samples to reach ``least``.
+_WORK = ["task", "band", "key", "lo", "hi", "chunk", "node", "comp", "samples"]
+
+
+def _candidates(table: pa.Table, least_equal: int):
+    """(sorted table, [(i, partners)]): rows of one segment and their later partners in other components that agree in
+    enough samples, each pair only in the first band that it shares."""
+    table = table.sort_by([(c, "ascending") for c in ("band", "key", "lo", "hi", "node")])
+    cols = {c: table[c].to_numpy() for c in ("band", "key", "lo", "hi", "chunk", "comp")}
+    drawn = np.frombuffer(b"".join(table["samples"].to_pylist()), "<u4").reshape(len(table), -1)
+    tag = np.stack([cols[c].astype(np.int64) for c in ("band", "key", "lo", "hi")], 1)
+    heads = np.flatnonzero(np.r_[True, (tag[1:] != tag[:-1]).any(1)]) if len(tag) else []
+    found = []
+    for a, b in zip(heads, [*heads[1:], len(tag)], strict=True):
+        comp, own, s = cols["comp"][a:b], cols["chunk"][a:b], drawn[a:b]
+        band, same_chunk = int(cols["band"][a]), cols["lo"][a] == cols["hi"][a]
+        for i in range(b - a - 1):
+            js = np.flatnonzero((comp[i + 1 :] != comp[i]) & (same_chunk | (own[i + 1 :] != own[i]))) + i + 1
+            if not len(js):
+                continue
+            equal = s[js] == s[i]
+            js, equal = js[near := equal.sum(1) >= least_equal], equal[near]
+            if band and len(js):
+                js = js[~equal.reshape(-1, ROUNDS, BINS).all(1)[:, :band].any(1)]
+            if len(js):
+                found.append((a + i, js + a))
+    return table, found
+
+
+def _unmet(members: DataFrame, sigs: DataFrame, comps: DataFrame, least: float, chunk: int = 256) -> DataFrame:
+    """Links (a, b) that join different components: all verified pairs that share a band, less those that close a ring.
 
     Only bands' buckets that hold several components count. A bucket of any size is cut into chunks of about ``chunk``
-    members and each pair of chunks is a task's work; pairs are compared there by numpy and only the likely ones leave."""
+    members and each pair of chunks is a segment of a task's work. There numpy first marks the texts that agree with one
+    of another component in enough samples (so that a pair at ``least`` is passed over with probability 3e-5); then only
+    the marked texts' shingles come, and every such pair is verified on the spot. A segment returns a spanning forest of
+    its links, at most one row for each text in it, and no pairs."""
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     rows = placed.join(mixed.select("band", "key", "n"), ["band", "key"]).join(sigs.select("node", "samples"), "node")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
     few = 8 * C.shuffle_width(members.sparkSession)
     rows = rows.withColumn("task", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("band", "key"), F.lit(few))).otherwise(F.xxhash64("band", "key", "lo", "hi")))
     least_equal = int(ROUNDS * BINS * (least - 4 * (least * (1 - least) / (ROUNDS * BINS)) ** 0.5))
 
-    def within(table):
-        table = table.sort_by([("band", "ascending"), ("key", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("node", "ascending")])
-        cols = {c: table[c].to_numpy() for c in ("band", "key", "lo", "hi", "chunk", "node", "comp")}
-        drawn = np.frombuffer(b"".join(table["samples"].to_pylist()), "<u4").reshape(len(table), -1)
-        tag = np.stack([cols[c].astype(np.int64) for c in ("band", "key", "lo", "hi")], 1)
-        heads = np.flatnonzero(np.r_[True, (tag[1:] != tag[:-1]).any(1)]) if len(tag) else []
-        left, right = [], []
-        for a, b in zip(heads, [*heads[1:], len(tag)], strict=True):
-            comp, node, own, s = cols["comp"][a:b], cols["node"][a:b], cols["chunk"][a:b], drawn[a:b]
-            band, same_chunk = int(cols["band"][a]), cols["lo"][a] == cols["hi"][a]
-            for i in range(b - a - 1):
-                js = np.flatnonzero((comp[i + 1 :] != comp[i]) & (same_chunk | (own[i + 1 :] != own[i]))) + i + 1
-                if not len(js):
-                    continue
-                equal = s[js] == s[i]
-                js, equal = js[near := equal.sum(1) >= least_equal], equal[near]
-                if band and len(js):  # each pair only in the first band that it shares
-                    earlier = equal.reshape(-1, ROUNDS, BINS).all(1)[:, :band].any(1)
-                    js = js[~earlier]
-                left += [node[i]] * len(js)
-                right += node[js].tolist()
-        a, b = np.array(left, np.int64), np.array(right, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    cols = ["task", "band", "key", "lo", "hi", "chunk", "node", "comp", "samples"]
-    return rows.select(*cols).groupBy("task").applyInArrow(within, "a long, b long").filter("a <> b").distinct()
+    def mark(table):
+        table, found = _candidates(table, least_equal)
+        keep = np.zeros(len(table), bool)
+        for i, js in found:
+            keep[i] = True
+            keep[js] = True
+        return table.filter(pa.array(keep)).select(_WORK)
+
+    def verify(table):
+        table, found = _candidates(table, least_equal)
+        hashes, weights, node = table["hashes"].to_pylist(), table["weights"].to_pylist(), table["node"].to_pylist()
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        comp, links = table["comp"].to_pylist(), []
+        for i, js in found:
+            for j in js.tolist():
+                x, y = find(comp[i]), find(comp[j])
+                if x != y and jaccard(hashes[i], weights[i], hashes[j], weights[j]) >= least - 1e-6:
+                    root[y] = x
+                    links.append((node[i], node[j]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    schema = "task long, band int, key long, lo int, hi int, chunk int, node long, comp long, samples binary"
+    marked = C.kept_table(rows.select(*_WORK).groupBy("task").applyInArrow(mark, schema))
+    return marked.join(sigs.select("node", "hashes", "weights"), "node").groupBy("task").applyInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
@@ -232,8 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = firsts.join(by_node.filter("rep <> last").select("node", F.col("rep").alias("a")), "node").select("a", F.col("rep").alias("b")).union(by_node.filter("rep <> last").select("node", "rep"))
     links = C.checkpointed(_verified(first, sigs, least).union(repeated))
     comps = components(links)
-    rest = _unmet(members, sigs, comps, least).join(first, ["a", "b"], "left_anti")
-    more = C.checkpointed(_verified(rest, sigs, least))
+    more = C.checkpointed(_unmet(members, sigs, comps, least))
     if not more.isEmpty():
         comps = components(links.union(more))
     classes = firsts.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("class", F.coalesce("comp", "rep"))
