@@ -54,8 +54,10 @@ def ask_and_answer(
 
 def split_buckets(bucket: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
     """(bucket, slices of arrays...) for each bucket that occurs; order inside a bucket is kept."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+    heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     stops = np.r_[heads[1:], len(bucket)]
     return [(int(bucket[a]), order[a:b], *[x[order[a:b]] for x in arrays]) for a, b in zip(heads, stops, strict=True)]
