@@ -134,7 +134,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = named.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
     n_blocks = C.block_count(rows, block_bytes=block_bytes)
-    n_buckets = buckets or 4 * C.shuffle_width(docs.sparkSession)
+    n_buckets = buckets or C.shuffle_width(docs.sparkSession)
     pairs = _pair_counts(rows)
     blocked = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.substring("text", 1, 64)), F.lit(n_blocks)))
 
