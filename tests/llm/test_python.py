@@ -360,3 +360,17 @@ def test_minimizers_of_shared_runs_meet():
             g, o, at = word_ngrams(h, np.zeros(len(h), np.int64), substring_dedup.K, short=False)
             kept.append(set(g[substring_dedup.minimizers(g, o, at)].tolist()))
         assert kept[0] & kept[1]
+
+
+def test_short_equal_line_beside_a_longer_fuzzy_passage():
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    line, fuzzy = draw(45), draw(60)
+    changed = fuzzy.copy()
+    changed[[5, 15, 25, 35, 45, 55]] = draw(6)
+    a, b = np.concatenate([line, draw(16), fuzzy]), np.concatenate([line, draw(16), changed])
+    assert substring_dedup.passages(b, a, 100, 200, 0, 50) == [(161, 221, 261, 54)]
+    tail = fuzzy.copy()
+    tail[42:58] = np.where(np.arange(42, 58) % 4 < 3, draw(16), fuzzy[42:58])  # 48 of 60 the same
+    assert (tail == fuzzy).mean() == 0.8
+    assert substring_dedup.passages(tail, fuzzy, 0, 0, 0, 50) == [(0, 60, 0, 48)]
