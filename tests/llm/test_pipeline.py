@@ -63,3 +63,15 @@ def test_stages_return_the_columns_of_documents_and_take_awkward_rows(spark, tab
 def test_every_query_takes_awkward_tables(spark, tables):
     for name, query in QUERIES.items():
         assert query(spark, tables).count() >= 0, name
+
+
+def test_rows_that_share_an_id_stay_for_their_own_texts(spark, tmp_path):
+    rng = random.Random(9)
+    x, y, z, leak = (sentence(rng, 80) for _ in range(4))
+    rows = [(None, x), (None, y), (5, x), (9, y), (7, z), (7, leak), (7, z), (None, leak + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    spark.createDataFrame([(1, " ".join(leak.split()[20:60]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = sorted(((r.doc_id, r.text) for r in P.near_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert near == sorted([(None, x), (None, y), (7, z), (None, leak + " more")], key=str)
+    left = collections.Counter((r.doc_id, r.text) for r in P.leak_stage(spark, docs, str(tmp_path)).collect())
+    assert left == collections.Counter([(None, x), (None, y), (5, x), (9, y), (7, z), (7, z)])

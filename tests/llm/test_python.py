@@ -374,3 +374,11 @@ def test_short_equal_line_beside_a_longer_fuzzy_passage():
     tail[42:58] = np.where(np.arange(42, 58) % 4 < 3, draw(16), fuzzy[42:58])  # 48 of 60 the same
     assert (tail == fuzzy).mean() == 0.8
     assert substring_dedup.passages(tail, fuzzy, 0, 0, 0, 50) == [(0, 60, 0, 48)]
+
+
+def test_rows_that_share_an_id_are_searched_by_their_own_texts(spark):
+    rng = random.Random(11)
+    x, y = sentence(rng, 70), sentence(rng, 70)
+    df = spark.createDataFrame([(None, x), (None, y), (5, x), (9, y), (7, sentence(rng, 60)), (7, y)], "doc_id long, text string")
+    got = {(r.doc_id, r.first_doc_id, r.start, r.stop) for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == {(5, None, 0, 70), (9, None, 0, 70), (7, None, 0, 70)}
