@@ -64,7 +64,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "shard", "quota")
+    return mixing.mix(docs, by_source=True).select("doc_id", "source", "size", "source_size", "target", "taken", "shard", "quota")
 
 
 STAGES = [

@@ -53,7 +53,7 @@ def sainte_lague(df: DataFrame, group: list[str], weight: str, seats: Column, or
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64,
-    repeats: int = 3, shard_words: int = 500_000, seed: str = "mix-1",
+    repeats: int = 3, shard_words: int = 500_000, seed: str = "mix-1", by_source: bool = False,
 ) -> DataFrame:
     """(id, source, size, source_size, target, taken, shard, quota): how many words of each document the mix takes.
 
@@ -71,7 +71,10 @@ def mix(
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("draw"),
     ))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
+    shards = F.lit(max(1, -(-total // shard_words)))
+    if by_source:
+        many = C.checkpointed(sized.groupBy("skey").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / shard_words)).alias("shards")))
+        sized, shards = sized.join(F.broadcast(many), "skey"), F.col("shards")
     sized = sized.withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % shards)
     cells = C.checkpointed(sized.groupBy("skey", "shard").agg(F.first("source").alias("source"), F.sum("size").alias("shard_size")))
     sources = cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum("shard_size").alias("source_size"))
@@ -80,6 +83,12 @@ def mix(
     targets = sainte_lague(targets, ["all"], "target", F.lit((2 * total + block_words) // (2 * block_words)), ["rank"], "blocks")
     targets = C.checkpointed(targets.select("skey", "source_size", "target", "blocks"))
     quotas = sainte_lague(cells.drop("source").join(targets, "skey"), ["skey"], "shard_size", F.col("blocks"), ["shard"], "quota").withColumn("wanted", F.col("quota") * block_words)
+    if by_source:
+        room = repeats * F.col("shard_size") - F.col("wanted")
+        over, spare = F.greatest(-room, F.lit(0)), F.greatest(room, F.lit(0))
+        whole = W.partitionBy("skey")
+        ahead = F.coalesce(F.sum(spare).over(whole.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        quotas = quotas.withColumn("wanted", F.col("wanted") - over + F.greatest(F.lit(0), F.least(spare, F.sum(over).over(whole) - ahead)))
     quotas = quotas.withColumn("rounds", F.when(F.col("shard_size") > 0, F.least(F.floor(F.col("wanted") / F.nullif("shard_size", F.lit(0))), F.lit(repeats))).otherwise(0).cast("long"))
     quotas = quotas.withColumn("rest", F.when(F.col("rounds") >= repeats, 0).otherwise(F.col("wanted") - F.col("rounds") * F.col("shard_size")).cast("long"))
     stream = W.partitionBy("skey", "shard").orderBy("draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
