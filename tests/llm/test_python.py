@@ -382,3 +382,21 @@ def test_rows_that_share_an_id_are_searched_by_their_own_texts(spark):
     df = spark.createDataFrame([(None, x), (None, y), (5, x), (9, y), (7, sentence(rng, 60)), (7, y)], "doc_id long, text string")
     got = {(r.doc_id, r.first_doc_id, r.start, r.stop) for r in substring_dedup.repeated_passages(df).collect()}
     assert got == {(5, None, 0, 70), (9, None, 0, 70), (7, None, 0, 70)}
+
+
+def test_whole_copies_meet_though_their_pieces_lie_in_earlier_documents(spark):
+    rng = random.Random(13)
+    early, late, want = [], [], {}
+    for n, parts in [(60, 2), (60, 3), (100, 5)] * 12:
+        words = sentence(rng, n).split()
+        k = n // parts
+        early += [sentence(rng, 40) + " " + " ".join(words[i : i + k]) + " " + sentence(rng, 40) for i in range(0, n, k)]
+        for _ in range(2):
+            late.append((sentence(rng, 30) + " " + " ".join(words) + " " + sentence(rng, 30), n))
+    rows = list(enumerate(early + [t for t, _ in late]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    covered = collections.defaultdict(set)
+    for r in substring_dedup.repeated_passages(df).collect():
+        covered[r.doc_id] |= set(range(r.start, r.stop))
+    for j, (_, n) in enumerate(late):
+        assert len(covered[len(early) + j]) == (n if j % 2 else 0), (j, n)
