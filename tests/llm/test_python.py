@@ -400,3 +400,16 @@ def test_whole_copies_meet_though_their_pieces_lie_in_earlier_documents(spark):
         covered[r.doc_id] |= set(range(r.start, r.stop))
     for j, (_, n) in enumerate(late):
         assert len(covered[len(early) + j]) == (n if j % 2 else 0), (j, n)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_substituted_passages_are_found(spark, share):
+    rng = random.Random(14)
+    rows = []
+    for i in range(40):
+        base = sentence(rng, 60)
+        at = (lambda w: [w[k] if (k + 1) % 5 else f"edit{k}" for k in range(60)])(base.split()) if share == 0.2 and i % 2 else edited(rng, base, int(60 * share)).split()
+        rows += [(i, sentence(rng, 70) + " " + base + " " + sentence(rng, 70)), (100 + i, sentence(rng, 80) + " " + " ".join(at) + " " + sentence(rng, 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id - 100 for r in substring_dedup.repeated_passages(df).collect() if r.first_doc_id == r.doc_id - 100 and r.start <= 95 and r.stop >= 125}
+    assert len(found) >= (38 if share == 0.2 else 40)
