@@ -44,6 +44,7 @@ def tables(spark, odd, tmp_path_factory):
     convs = [(1, 0, "user", "hi & <b> [INST]"), (1, 1, "assistant", None), (1, 1, "assistant", "x"), (2, None, None, ""), (None, 3, "system", "s</s>"), (None, 1, "tool]", "t"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
     spark.createDataFrame(convs, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     rng = random.Random(3)
-    items = [(0, sentence(rng, 30)), (1, None), (2, "too short"), (3, ""), (0, sentence(rng, 40)), (None, sentence(rng, 20))]
+    long = max((r.text or "" for r in odd.collect()), key=len).split()
+    items = [(0, sentence(rng, 30)), (1, None), (2, "too short"), (3, ""), (0, sentence(rng, 40)), (None, sentence(rng, 20)), (None, " ".join(long[700:730])), (0, " ".join(long[40:60])), (0, " ".join(long[40:60])), (4, "same line here " * 9)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d

@@ -22,33 +22,49 @@ def _hashes(text) -> F.Column:
 
 
 def _seeds(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row for each mask at each position: keep, pos, mask, seed."""
-    at = rows.select(*keep, "hs", F.posexplode("hs").alias("pos", "__x")).filter(F.col("pos") <= F.size("hs") - SPAN)
+    """A row for each mask at each position: keep, pos, mask, seed. rows has the tokens' hashes, hs."""
+    at = rows.select("*", F.posexplode("hs").alias("pos", "__x")).filter(F.col("pos") <= F.size("hs") - SPAN)
     seeds = [F.xxhash64(*[F.get("hs", F.col("pos") + o) for o in mask]) for mask in MASKS]
-    return at.select(*keep, "hs", "pos", F.posexplode(F.array(*seeds)).alias("mask", "seed"))
+    return at.select(*keep, "pos", F.posexplode(F.array(*seeds)).alias("mask", "seed"))
+
+
+def _stretches(rows: DataFrame, seeds: DataFrame, narrow: bool) -> DataFrame:
+    """(doc_id, version, item, start, near): each place where a seed puts an item, once, and the document's tokens there.
+
+    narrow: the seeds are broadcast and a hit takes its tokens along from the row that it is found in. Else seeds meet in
+    a shuffle of numbers only, and the tokens come back by a join for the places that are left."""
+    start = F.col("pos") - F.col("item_pos")  # of the item's first token in the document
+    near = F.slice("hs", F.greatest("start", F.lit(0)) + 1, F.col("item_tokens"))
+    place = ["doc_id", "version", "item", "start"]
+    if narrow:
+        hits = _seeds(rows, "doc_id", "version", "hs").join(F.broadcast(seeds), ["mask", "seed"])
+        return hits.withColumn("start", start).groupBy(*place).agg(F.first(near).alias("near"))
+    hits = _seeds(rows, "doc_id", "version").join(seeds, ["mask", "seed"])
+    places = hits.select("doc_id", "version", "item", "item_tokens", start.alias("start")).distinct()
+    named = places.withColumnRenamed("doc_id", "__id")
+    return rows.join(named, (rows["version"] == named["version"]) & rows["doc_id"].eqNullSafe(named["__id"])).select("doc_id", rows["version"], "item", "start", near.alias("near"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_seeds: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, matched, item_tokens, aligned, start): documents that hold a benchmark item, maybe altered.
 
     Each of three masks hashes 7 of 11 successive tokens; equal hashes of benchmark and document align the item with
-    the document. Around a hit, the aligned tokens are compared one by one: the item is held when 75 % of all its
-    tokens agree, or 16 of 20 successive ones (a part of a longer item). Of several places in a document the best is
-    returned (most matches, then the earliest). Substituted tokens are tolerated; insertions split a match into parts.
-
-    The document side stays in one stage up to the few hits: the benchmark's seeds are broadcast if they are at most
-    ``broadcast_seeds`` (counted), else shuffled. Items and documents under 11 tokens, null or empty texts can't match;
-    repeated items match each by its id; repeated documents give one row; null ids are returned as null."""
-    items = C.checkpointed(benchmark.select(F.col(item_col).alias("item_id"), _hashes(F.col(item_text_col)).alias("hs")))
-    seeds = _seeds(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), "mask", "seed")
-    items = items.select("item_id", F.col("hs").alias("item_hs")).distinct()
-    if seeds.count() <= broadcast_seeds:
-        seeds, items = F.broadcast(seeds), F.broadcast(items)
-    rows = docs.select(F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("hs"))
-    hits = _seeds(rows, "doc_id").join(seeds, ["mask", "seed"])
-    shift = F.col("pos") - F.col("item_pos")  # of the item's first token in the document
-    # only the stretch that the item can cover leaves the row
-    near = hits.join(items, "item_id").select("doc_id", "item_id", shift.alias("start"), F.greatest(-shift, F.lit(0)).alias("skip"), F.slice("hs", F.greatest(shift, F.lit(0)) + 1, F.size("item_hs")).alias("near"), "item_hs")
+    the document. Each such place is verified once: the aligned tokens are compared one by one, and the item is held when
+    75 % of all its tokens agree, or 16 of 20 successive ones (a part of a longer item). Of several places in a document
+    the best is returned (most matches, then the earliest). Substituted tokens are tolerated as long as one of the masks
+    sees none of them (nearly always from 30 tokens on); insertions split a match into parts.
+
+    The benchmark's seeds and tokens are broadcast if the seeds are at most ``broadcast_seeds`` (counted); else both
+    sides are shuffled by seed, as numbers. Items and documents under 11 tokens, null or empty texts can't match; a null
+    item id is an id like others, repeated items match each by its id and text; repeated documents give one row; null
+    document ids are returned as null (all rows without an id as one document; the pipeline names its rows by text)."""
+    items = C.checkpointed(benchmark.select(F.col(item_col).alias("item_id"), _hashes(F.col(item_text_col)).alias("hs")).filter(F.size("hs") >= SPAN).distinct().withColumn("item", F.monotonically_increasing_id()))
+    narrow = len(MASKS) * (items.agg(F.sum(F.size("hs"))).first()[0] or 0) <= broadcast_seeds
+    seeds = _seeds(items.withColumn("item_tokens", F.size("hs")), "item", "item_tokens").withColumnRenamed("pos", "item_pos")
+    rows = docs.select(F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("hs")).withColumn("version", F.xxhash64("hs"))
+    found = _stretches(rows, seeds, narrow)
+    items = items.select("item", "item_id", F.col("hs").alias("item_hs"))
+    near = found.join(F.broadcast(items) if narrow else items, "item").withColumn("skip", F.greatest(-F.col("start"), F.lit(0)))
     length = F.least(F.size("near"), F.size("item_hs") - F.col("skip"))
     equal = F.zip_with(F.slice("near", 1, length), F.slice("item_hs", F.col("skip") + 1, length), lambda a, b: F.when(a == b, 1).otherwise(0))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
