@@ -41,12 +41,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their repeats there). ``dropped`` is a list of (start, stop) runs of line numbers from 0, stop exclusive; ``version``
     is the hash of the text, so that several rows with one id and different texts keep bitmaps of their own.
 
-    Plan: line hashes are range-partitioned by hash and sorted by document and position inside a partition; a window
-    streams over each key and compares every line with the key's first document. No text enters that exchange. Keys
+    Plan: line hashes are written once to the shared folder, range-partitioned by hash and sorted by document and
+    position inside a partition; a window streams over each key and compares every line with the key's first document. No text enters that exchange. Keys
     hot enough to outgrow a partition are found beforehand and resolved by a map-side-combined minimum instead.
 
     Null ids count as one document after all others, null texts as one empty line; an empty table gives no rows."""
-    lines = _lines(docs, id_col, text_col, min_chars)
+    lines = C.kept_table(_lines(docs, id_col, text_col, min_chars))
     hot = C.checkpointed(
         lines.join(F.broadcast(_hot_keys(lines)), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     )  # at most 2000 rows, see _hot_keys
@@ -73,7 +73,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with ``kept_text``, ``n_lines`` and ``n_dropped``; other columns stay as they are."""
+    """docs with ``kept_text``, ``n_lines`` and ``n_dropped``, which replace columns of these names; others stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col), F.lit(_LAST)), "__version": F.xxhash64(text)})
     marks = bitmaps.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("n_dropped").alias("__n"), F.col("dropped").alias("__runs"))
@@ -95,12 +95,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, hash(coalesce(text, '')) AS v FROM documents),
+WITH s AS (SELECT doc_id AS id, coalesce(doc_id, 9223372036854775807) AS doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, hash(coalesce(text, '')) AS v FROM documents),
 l AS (SELECT DISTINCT doc_id, v, pos, ls[pos] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS pos FROM s)),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{C.UPPER}', '{C.LOWER}') AS key FROM l),
 f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
 m AS (SELECT k.doc_id, k.v, k.pos, k.line, (f.first IS NOT NULL AND k.doc_id > f.first) AS gone FROM k LEFT JOIN f USING (key)),
 d AS (SELECT doc_id, v, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id, v)
-SELECT s.doc_id, d.n_lines, d.n_dropped, d.kept_sha256 FROM s JOIN d ON s.doc_id = d.doc_id AND s.v = d.v
+SELECT s.id AS doc_id, d.n_lines, d.n_dropped, d.kept_sha256 FROM s JOIN d ON s.doc_id = d.doc_id AND s.v = d.v
 """
