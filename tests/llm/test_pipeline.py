@@ -38,7 +38,7 @@ def test_run_equals_brute_force_and_decisions_take_effect(spark, tmp_path):
             kept[i] = t
     kept = {i: t for i, _, t in brute_lines(list(kept.items())) if t.strip()}
     classes = brute_classes(list(kept.items()))
-    kept = {i: t for i, t in kept.items() if classes[i] == i}
+    kept = {i: t for i, t in kept.items() if classes[i, t] == i}
     kept = {i: t for i, t in kept.items() if not 91 <= i < 95}
 
     out = P.run(spark, d).collect()
@@ -55,7 +55,7 @@ def test_stages_return_the_columns_of_documents_and_take_awkward_rows(spark, tab
         assert tuple(docs.columns) == P.COLUMNS, name
         assert stage(spark, docs.limit(0), tables).count() == 0
     kept = {r.doc_id: r for r in docs.collect()}
-    assert set(kept) <= {None, 4, 5, 7, 8, 9, 10} and 7 in kept and 8 in kept and 10 in kept
+    assert set(kept) <= {None, 4, 5, 8, 9, 10} and 8 in kept and 10 in kept  # document 7 holds benchmark items
     assert sum(r.doc_id == 5 for r in docs.collect()) <= 1
     assert P.mix_stage(spark, docs, tables).count() == docs.count()
 

@@ -4,7 +4,11 @@ Documents are dealt into blocks of a few MB. Each block sends the distinct keys
 contexts) to buckets by key, a bucket sees all blocks' counts of its keys and answers each block in the order of its
 question, and the block meets its answers again. Keys cross the network once per block and not once per occurrence, as
 packed arrays and not as rows; a key in every document costs one number per block. Texts are dealt once: both reads of
-the blocks share one exchange."""
+the blocks share one exchange.
+
+Beyond a fan of blocks, the questions to a bucket are merged by region (a fan of blocks), those of regions by regions of
+regions, and so on; answers take the same way back. A task then holds the questions of one fan only, however many blocks
+there are, and a key that many blocks hold reaches its bucket once per region."""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _ASKED = "bucket int, block long, keys binary, counts binary"
 _ANSWERED = "block long, bucket int, answers binary, extra long"
@@ -24,9 +29,15 @@ def ask_and_answer(
     answer: Callable[[int, list[bytes], list[bytes]], list[tuple[bytes, int]]],
     use: Callable[[int, pa.Table, dict[int, tuple[bytes, int]]], pa.Table],
     schema: str,
+    n_blocks: int,
+    merge: Callable[[list[bytes], list[bytes]], tuple[bytes, bytes, np.ndarray]],
+    fan: int = 64,
+    answer_bytes: int = 8,
 ) -> DataFrame:
-    """blocked has a long column ``block``. ask(block rows) -> (bucket, keys, counts) each; answer(bucket, keys of each
-    block, counts of each block) -> (answers, extra) for each block; use(block, rows, bucket -> answers) -> result."""
+    """blocked has a long column ``block``, below n_blocks. ask(block rows) -> (bucket, keys, counts) each; answer(bucket,
+    keys of each block, counts of each block) -> (answers, extra) for each block, answer_bytes per key; use(block, rows,
+    bucket -> answers) -> result. merge(keys, counts) of several questions -> (keys, counts, place of each asked key among
+    them); extras are only ever summed up."""
 
     def asking(key, rows):
         block, found = key[0].as_py(), ask(rows)
@@ -38,18 +49,43 @@ def ask_and_answer(
     def answering(key, rows):
         rows = rows.sort_by("block")
         found = answer(key[0].as_py(), rows["keys"].to_pylist(), rows["counts"].to_pylist())
+        return _answers(rows, found)
+
+    def _answers(rows, found):
         return pa.table({
             "block": rows["block"].cast(pa.int64()), "bucket": rows["bucket"].cast(pa.int32()),
             "answers": pa.array([x[0] for x in found], pa.binary()), "extra": pa.array([x[1] for x in found], pa.int64()),
         })
 
+    def merging(key, rows):
+        rows = rows.sort_by("block")
+        keys, counts, _ = merge(rows["keys"].to_pylist(), rows["counts"].to_pylist())
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "keys": pa.array([keys], pa.binary()), "counts": pa.array([counts], pa.binary())})
+
+    def handing(key, rows, answers):
+        rows = rows.sort_by("block")
+        keys = rows["keys"].to_pylist()
+        *_, places = merge(keys, rows["counts"].to_pylist())
+        values = np.frombuffer(answers["answers"][0].as_py(), f"V{answer_bytes}")[places]
+        width = len(places) and sum(map(len, keys)) // len(places)
+        stops = np.cumsum([0, *(len(k) // width if width else 0 for k in keys)])
+        extra = [answers["extra"][0].as_py()] + [0] * (len(keys) - 1)
+        return _answers(rows, [(values[a:b].tobytes(), x) for a, b, x in zip(stops[:-1], stops[1:], extra, strict=True)])
+
+    def answers_to(asked: DataFrame, n: int) -> DataFrame:
+        if n <= fan:
+            return asked.groupBy("bucket").applyInArrow(answering, _ANSWERED)
+        regions = -(-n // fan)
+        placed = asked.withColumn("region", F.col("block") % regions)
+        above = answers_to(placed.groupBy("bucket", "region").applyInArrow(merging, _ASKED), regions)
+        return placed.groupBy("bucket", "region").cogroup(above.groupBy("bucket", "block")).applyInArrow(handing, _ANSWERED)
+
     def using(key, rows, answers):
         got = dict(zip(answers["bucket"].to_pylist(), zip(answers["answers"].to_pylist(), answers["extra"].to_pylist(), strict=True), strict=True))
         return use(key[0].as_py(), rows, got)
 
     asked = blocked.groupBy("block").applyInArrow(asking, _ASKED)
-    answered = asked.groupBy("bucket").applyInArrow(answering, _ANSWERED)
-    return blocked.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(using, schema)
+    return blocked.groupBy("block").cogroup(answers_to(asked, n_blocks).groupBy("block")).applyInArrow(using, schema)
 
 
 def split_buckets(bucket: np.ndarray, *arrays: np.ndarray) -> list[tuple]:

@@ -34,10 +34,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; only where that is unset (tests) one is made."""
+    """The cluster names its shared folder in spark.checkpoint.dir. Where that is unset, a local master (tests) gets a
+    folder of its own; on a cluster, whose executors would each write to their own disks, it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -60,6 +64,23 @@ def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = 8 <<
     return max(shuffle_width(docs.sparkSession), -(-text_bytes(docs, text_col) // block_bytes))
 
 
+def bucket_count(docs: DataFrame, text_col: str = "text", bucket_bytes: int = 16 << 20) -> int:
+    """Buckets of keys that grow with the corpus, so that what one bucket holds does not."""
+    return max(shuffle_width(docs.sparkSession), -(-text_bytes(docs, text_col) // bucket_bytes))
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, null_id: int) -> tuple[DataFrame, DataFrame | None]:
+    """((node, text), ids): a node for each document. While ids are unique, a node is an id (null: ``null_id``) and ids
+    is None. Else rows that share an id are documents of their own by text (rows equal in both are one): nodes are numbers
+    in the order of id and a hash of the text, and ids has (id, v, node), v being xxhash64 of the text."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if rows.groupBy("node").count().filter("count > 1").isEmpty():
+        return rows, None
+    known = rows.select(F.col("node").alias("id"), F.xxhash64("text").alias("v"), "text")
+    ids = checkpointed(known.select("id", "v").distinct().sort("id", "v").withColumn("node", F.monotonically_increasing_id()))
+    return kept_table(known.join(ids, ["id", "v"]).groupBy("node").agg(F.first("text").alias("text"))), ids
+
+
 def kept_table(df: DataFrame) -> DataFrame:
     """Like checkpointed, for wide rows: a Parquet table in the shared folder, so that later readers prune columns."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -120,7 +120,7 @@ def _pair_counts(rows: DataFrame) -> np.ndarray:
     return counts
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 8 << 20, fan: int = 16) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per input row.
 
     Documents whose crc32(id as text) mod 7 is 2 are held out; the others train. Texts have A-Z lower-cased. Tokens of
@@ -130,13 +130,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
 
     Blocks of documents exchange their distinct words and byte contexts for corpus-wide counts (module blocks); the trie
     is dealt by the last two context bytes and never gathered, only its two lowest orders (65,536 numbers) are known to
-    all. Null texts are empty; a null id counts as the empty string; an empty table gives no rows."""
+    all. What blocks hold of one part of the trie is merged by fans of ``fan`` blocks on its way, so a part that all
+    blocks hold (a common pair of bytes) arrives as its distinct contexts and not as every block's. Null texts are empty; a null id counts as the empty string; an empty table gives no rows."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = named.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
     n_blocks = C.block_count(rows, block_bytes=block_bytes)
-    n_buckets = buckets or C.shuffle_width(docs.sparkSession)
+    n_buckets = buckets or C.bucket_count(rows, bucket_bytes=64 << 20)
     pairs = _pair_counts(rows)
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.substring("text", 1, 64)), F.lit(n_blocks)))
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.spark_partition_id()), F.lit(n_blocks)))
 
     def held(table: pa.Table) -> np.ndarray:
         return table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
@@ -179,6 +180,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
             values = log_probs(unique, total, pairs).astype("<f8")[inverse]
         return [(values[a:b].tobytes(), int(o)) for a, b, o in zip(stops[:-1], stops[1:], owned, strict=True)]
 
+    def merge(keys: list[bytes], counts: list[bytes]):
+        unique, inverse = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in keys]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<i8") for x in counts]), minlength=len(unique))
+        return unique.tobytes(), total.astype("<i8").tobytes(), inverse
+
     def use(block: int, table: pa.Table, got: dict[int, tuple[bytes, int]]) -> pa.Table:
         docs_here, out_words = table.num_rows, np.zeros(0)
         hashes, owners, keys, gram_keys, words, found = dictionary(table)
@@ -207,7 +213,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
         }).slice(0, n)
 
     schema = "doc_id long, held_out boolean, is_block boolean, n_tokens long, n_known long, base double, score double"
-    scored = C.checkpointed(B.ask_and_answer(blocked, ask, answer, use, schema))
+    scored = C.checkpointed(B.ask_and_answer(blocked, ask, answer, use, schema, n_blocks, merge, fan))
     sums = scored.agg(
         F.sum(F.when(F.col("is_block"), F.col("n_tokens"))).alias("n"), F.sum(F.when(F.col("is_block"), F.col("n_known"))).alias("v"),
         F.sum(F.when(~F.col("is_block") & ~F.col("held_out"), 1)).alias("ends"),

@@ -17,13 +17,17 @@ SHINGLE = 5
 ROUNDS, BINS = 4, 16  # 64 samples; band j holds bin j of every round
 NONE = np.uint32(0xFFFFFFFF)
 _SEEDS = seeded(8 * ROUNDS, 4242)
-_NULL_ID = -(1 << 63)
+_NULL_ID = (1 << 63) - 1  # after all others
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _most(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(counts, 0xFFFFFFFF).astype("<u4")
+
+
 def weigh(tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     """tf * (1 + idf), idf scaled to 1 for a shingle of one text; common shingles weigh down to half, so a text and its
     copy with a few new shingles stay alike however many copies there are."""
@@ -78,13 +82,13 @@ def _shingles(table: pa.Table):
     return own["node"].to_pylist(), h[heads], owner[heads], np.diff(np.r_[heads, len(h)])
 
 
-def signatures(rows: DataFrame, copies: DataFrame, n_texts: int, block_bytes: int = 4 << 20, n_buckets: int | None = None) -> DataFrame:
+def signatures(rows: DataFrame, copies: DataFrame, n_texts: int, block_bytes: int = 4 << 20, n_buckets: int | None = None, fan: int = 256) -> DataFrame:
     """(node, bands, samples, hashes, weights) of every text that is not a known exact copy.
 
     Document frequencies of shingles come from all texts (module blocks). hashes: 32 bits of each shingle, those with a
     weight other than 2 first; weights: 32-bit floats of these first ones."""
     n_blocks = C.block_count(rows, block_bytes=block_bytes)
-    n_buckets = n_buckets or 2 * C.shuffle_width(rows.sparkSession)
+    n_buckets = n_buckets or max(2 * C.shuffle_width(rows.sparkSession), C.bucket_count(rows))
     at = F.pmod(F.xxhash64("node"), F.lit(n_blocks))
     blocked = rows.select(at.alias("block"), "node", "text", F.lit(False).alias("copy")).unionByName(
         copies.select(at.alias("block"), "node", F.lit("").alias("text"), F.lit(True).alias("copy"))
@@ -101,10 +105,14 @@ def signatures(rows: DataFrame, copies: DataFrame, n_texts: int, block_bytes: in
     def answer(bucket, keys, counts):
         ks = [unpack5(k) for k in keys]
         unique, inverse = np.unique(np.concatenate(ks), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(c, "<u4") for c in counts]), minlength=len(unique)).astype("<u4")[inverse]
+        total = _most(np.bincount(inverse, weights=np.concatenate([np.frombuffer(c, "<u4") for c in counts]), minlength=len(unique)))[inverse]
         stops = np.cumsum([0, *map(len, ks)])
         return [(total[a:b].tobytes(), 0) for a, b in zip(stops[:-1], stops[1:], strict=True)]
 
+    def merge(keys, counts):
+        unique, inverse = np.unique(np.concatenate([unpack5(k) for k in keys]), return_inverse=True)
+        return pack5(unique), _most(np.bincount(inverse, weights=np.concatenate([np.frombuffer(c, "<u4") for c in counts]), minlength=len(unique))).tobytes(), inverse
+
     def use(block, table, got):
         nodes, h, owner, tf = _shingles(table)
         size, inverse, buckets = questions(h)
@@ -131,7 +139,7 @@ def signatures(rows: DataFrame, copies: DataFrame, n_texts: int, block_bytes: in
             "weights": pa.array([first[a : a + k].tobytes() for a, k in zip(stops[:-1], n_special, strict=True)], pa.binary()),
         })
 
-    return B.ask_and_answer(blocked, ask, answer, use, "node long, bands array<long>, samples binary, hashes binary, weights binary")
+    return B.ask_and_answer(blocked, ask, answer, use, "node long, bands array<long>, samples binary, hashes binary, weights binary", n_blocks, merge, fan, 4)
 
 
 def jaccard(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
@@ -187,22 +195,25 @@ def _candidates(table: pa.Table, least_equal: int):
     return table, found
 
 
-def _unmet(members: DataFrame, sigs: DataFrame, comps: DataFrame, least: float, chunk: int = 256) -> DataFrame:
+def _unmet(members: DataFrame, sigs: DataFrame, comps: DataFrame, least: float, chunk: int = 1024) -> DataFrame:
     """Links (a, b) that join different components: all verified pairs that share a band, less those that close a ring.
 
-    Only bands' buckets that hold several components count. A bucket of any size is cut into chunks of about ``chunk``
-    members and each pair of chunks is a segment of a task's work. There numpy first marks the texts that agree with one
-    of another component in enough samples (so that a pair at ``least`` is passed over with probability 3e-5); then only
-    the marked texts' shingles come, and every such pair is verified on the spot. A segment returns a spanning forest of
-    its links, at most one row for each text in it, and no pairs."""
+    Only bands' buckets that hold several components count. A bucket of any size is cut into chunks of ``chunk`` members
+    (of n / 64 beyond 64 chunks, of 16 ``chunk`` at most) and each pair of chunks is a segment of a task's work, so up to
+    a million members each is sent 64 times at most. There numpy first marks the texts that agree with one of another
+    component in as many samples as a pair at ``least`` has but for five standard deviations (35 of 64 at 0.8; were the
+    samples independent, 3 pairs in ten million at 0.8 would be passed over); then only the marked texts' shingles come,
+    and every such pair is verified on the spot. A segment returns a spanning forest of its links, at most one row for
+    each text in it, and no pairs."""
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     rows = placed.join(mixed.select("band", "key", "n"), ["band", "key"]).join(sigs.select("node", "samples"), "node")
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    size = F.least(F.greatest(F.lit(chunk), F.ceil(F.col("n") / 64)), F.lit(16 * chunk))
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / size).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
     few = 8 * C.shuffle_width(members.sparkSession)
     rows = rows.withColumn("task", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("band", "key"), F.lit(few))).otherwise(F.xxhash64("band", "key", "lo", "hi")))
-    least_equal = int(ROUNDS * BINS * (least - 4 * (least * (1 - least) / (ROUNDS * BINS)) ** 0.5))
+    least_equal = int(ROUNDS * BINS * (least - 5 * (least * (1 - least) / (ROUNDS * BINS)) ** 0.5))
 
     def mark(table):
         table, found = _candidates(table, least_equal)
@@ -237,41 +248,46 @@ def _unmet(members: DataFrame, sigs: DataFrame, comps: DataFrame, least: float,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, same_text_as): one row per input row; class_id is the smallest id of its near-duplicates.
+    """(doc_id, class_id, same_text_as, class_key): one row per input row; class_id is the smallest id of its
+    near-duplicates, class_key a number that only they share.
 
     Two texts are linked when the weighted Jaccard similarity of their five-word shingles is ``least`` or more, weights
     being tf * (1 + idf) (weigh) with document frequencies over all distinct texts; words are runs without ASCII white
-    space, A-Z lower-cased. Classes are the connected components. Exact copies join their text's smallest id first and
+    space, A-Z lower-cased. Classes are the connected components. Exact copies join their text's first document and
     only that one is compared. Then 16 bands of 4 samples give candidates: every text is verified against the one
-    neighbour it shares most bands with; components form; then all pairs that share a band and are still in different
-    components are verified as well (_unmet), so no candidate is skipped and none of a formed group is repeated. A pair
-    at 0.8 is a candidate with probability 0.9998.
-
-    Texts under five words have one shingle of all their words; texts without words are only equal to equal texts. A
-    null id stands for one document of its own; rows that share an id are one document; an empty table gives no rows."""
-    node = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
-    rows = docs.select(node.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    neighbour it shares most bands with; components form; then all pairs that share a band, are still in different
+    components and agree in enough samples (_unmet) are verified as well.
+
+    Texts under five words have one shingle of all their words; texts without words are only equal to equal texts. Rows
+    that share an id, or have none, are documents of their own by text (rows equal in both are one) and link nothing by
+    their id; null ids come last, so class_id is null only if no document of the class has an id (then class_key tells
+    classes apart). An empty table gives no rows."""
+    rows, ids = C.numbered(docs, id_col, text_col, _NULL_ID)
     exact = C.checkpointed(rows.select("node", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
-    texts = exact.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("n"))
+    texts = exact.groupBy("h1", "h2").agg(F.min("node").alias("rep"))
     firsts = C.checkpointed(exact.join(texts, ["h1", "h2"]).select("node", "rep"))
     n_texts = max(1, texts.count())
-    by_node = firsts.groupBy("node").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.max(F.col("node") == F.col("rep")).alias("stands"))
-    sigs = C.kept_table(signatures(rows, by_node.filter(~F.col("stands")).select("node"), n_texts))
+    sigs = C.kept_table(signatures(rows, firsts.filter("node <> rep").select("node"), n_texts))
     members = sigs.select("node", F.posexplode("bands").alias("band", "key"))
     order = F.struct(F.xxhash64("node", "band").alias("draw"), "node")
     buckets = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("n")).filter("n > 1")
     near = members.join(buckets.select("band", "key", F.col("c.node").alias("center")), ["band", "key"]).filter("node <> center")
     best = near.groupBy("node", "center").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("center", F.struct("n", F.xxhash64("center", "node"))).alias("center"))
     first = C.checkpointed(best.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct())
-    repeated = firsts.join(by_node.filter("rep <> last").select("node", F.col("rep").alias("a")), "node").select("a", F.col("rep").alias("b")).union(by_node.filter("rep <> last").select("node", "rep"))
-    links = C.checkpointed(_verified(first, sigs, least).union(repeated))
+    links = C.checkpointed(_verified(first, sigs, least))
     comps = components(links)
     more = C.checkpointed(_unmet(members, sigs, comps, least))
     if not more.isEmpty():
         comps = components(links.union(more))
-    classes = firsts.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("class", F.coalesce("comp", "rep"))
+    classes = firsts.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("class"))
     id_of = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return classes.select(id_of("node").alias("doc_id"), id_of("class").alias("class_id"), id_of("rep").alias("same_text_as"))
+    if ids is None:
+        return classes.select(id_of("node").alias("doc_id"), id_of("class").alias("class_id"), id_of("rep").alias("same_text_as"), F.col("class").alias("class_key"))
+    for c in ("class", "rep"):
+        classes = classes.join(ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")), c)
+    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("v"))
+    named = given.join(ids, ["id", "v"]).join(classes, "node")
+    return named.select(id_of("id").alias("doc_id"), id_of("class_id").alias("class_id"), id_of("rep_id").alias("same_text_as"), F.col("class").alias("class_key"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
