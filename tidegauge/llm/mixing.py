@@ -31,16 +31,20 @@ def sainte_lague(df: DataFrame, group: list[str], weight: str, seats: Column, or
     """Adds ``out``: seats of each row when the group's seats go one by one to the highest quotient weight / (2k + 1).
 
     All quotients from the threshold of the mean price on are granted at once (rounding weight / price); then the few
-    seats missing go to the next highest quotients, or those too many are taken from the lowest. Ties: ``order``.
-    Weightless groups get no seats; rows must be unique on group + order."""
+    seats missing go to the next highest quotients, or those too many are taken from the lowest. Of n rows with a weight
+    these are at most n / 2, and the price that settles them moves a row's seats by at most n w / 2 W + 1, so a row offers
+    no more quotients than that and all rows together at most 3 n. Ties: ``order``. Weightless groups get no seats; rows
+    must be unique on group + order."""
     all_of = W.partitionBy(*group)
     w = F.col(weight).cast("double")
     start = df.withColumn("__seats", seats.cast("long")).withColumn("__w", F.sum(w).over(all_of)).withColumn(
         "__base", F.when(F.col("__w") > 0, F.floor(w * F.col("__seats") / F.nullif("__w", F.lit(0.0)) + 0.5)).otherwise(0).cast("long")
     ).withColumn("__diff", F.when(F.col("__w") > 0, F.col("__seats") - F.sum("__base").over(all_of)).otherwise(0).cast("long"))
+    rows = F.count_if(w > 0).over(all_of)
+    start = start.withColumn("__most", F.least(F.abs("__diff"), F.ceil(rows * w / F.nullif(2 * F.col("__w"), F.lit(0.0))).cast("long") + 2))
     more, fewer = F.col("__diff") > 0, F.col("__diff") < 0
-    ks = F.when(more, F.sequence(F.col("__base"), F.col("__base") + F.col("__diff") - 1)).when(
-        fewer & (F.col("__base") > 0), F.sequence(F.greatest(F.col("__base") + F.col("__diff"), F.lit(0)), F.col("__base") - 1)
+    ks = F.when(more, F.sequence(F.col("__base"), F.col("__base") + F.col("__most") - 1)).when(
+        fewer & (F.col("__base") > 0), F.sequence(F.greatest(F.col("__base") - F.col("__most"), F.lit(0)), F.col("__base") - 1)
     )
     quotient = w / (2 * F.col("__k") + 1)
     keys = [*group, *order]
@@ -48,7 +52,7 @@ def sainte_lague(df: DataFrame, group: list[str], weight: str, seats: Column, or
     best = W.partitionBy(*group).orderBy(F.col("__q").desc(), *order, "__k")
     worst = W.partitionBy(*group).orderBy(F.col("__q"), *[F.col(c).desc() for c in order], F.col("__k").desc())
     moved = moved.withColumn("__r", F.when(more, F.row_number().over(best)).otherwise(F.row_number().over(worst))).filter(F.col("__r") <= F.abs("__diff")).groupBy(*keys).agg(F.sum(F.signum("__diff")).cast("long").alias("__move"))
-    return start.join(moved, keys, "left").withColumn(out, F.col("__base") + F.coalesce("__move", F.lit(0))).drop("__seats", "__w", "__base", "__diff", "__move")
+    return start.join(moved, keys, "left").withColumn(out, F.col("__base") + F.coalesce("__move", F.lit(0))).drop("__seats", "__w", "__base", "__diff", "__most", "__move")
 
 
 def mix(
@@ -63,12 +67,13 @@ def mix(
     by Sainte-Lague on the shard sizes. A shard's documents, in the order of a seeded hash, form a stream of blocks that
     is taken from its start, once around after the other, until the shard's quota is full; so no document is taken
     more than ``repeats`` times, and reruns agree. Shards follow from the corpus size, so one hot source is spread
-    over many tasks. Null ids and repeated rows are documents of their own; an empty table gives no rows."""
+    over many tasks. Null ids (drawn by their texts) and repeated rows are documents of their own; an empty table gives
+    no rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = C.checkpointed(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(C.WORD)).cast("long").alias("size"),
         F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col))).alias("skey"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("draw"),
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.md5(text)))).alias("draw"),
     ))
     total = sized.agg(F.sum("size")).first()[0] or 0
     shards = F.lit(max(1, -(-total // shard_words)))
@@ -104,7 +109,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql(docs: str = "documents", block: int = 64, repeats: int = 3, shard_words: int = 500_000, seed: str = "mix-1") -> str:
     return f"""
 WITH RECURSIVE z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+'))::BIGINT AS size,
-  md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM {docs}),
+  md5('{seed}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS draw FROM {docs}),
 tot AS (SELECT coalesce(sum(size), 0)::BIGINT AS t, greatest(1, ceil(coalesce(sum(size), 0) / {shard_words}.0))::BIGINT AS shards FROM z),
 d AS (SELECT z.*, coalesce('s' || source, 'n') AS skey, (('0x' || substr(draw, 1, 8))::BIGINT) % (SELECT shards FROM tot) AS shard FROM z),
 s0 AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY skey),
