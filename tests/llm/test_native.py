@@ -1,5 +1,6 @@
 """Operators with SQL: the same rows as DuckDB, on the test tables and on awkward ones."""
 
+import heapq
 import random
 
 import duckdb
@@ -147,6 +148,25 @@ def test_sainte_lague_equals_highest_quotients(spark):
         assert got == want
 
 
+def test_sainte_lague_offers_few_quotients(spark):
+    rng = random.Random(15)
+    rows = [(g, i, float(rng.choice([0, 3, 3, 3, 4, 1000 if g else 7]))) for g in (0, 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g int, i int, w double")
+    for seats in (200, 760, 4001):
+        out = mixing.sainte_lague(df, ["g"], "w", F.lit(seats), ["i"], "s")
+        got = {(r.g, r.i): r.s for r in out.collect()}
+        for g in (0, 1):
+            heap = [(-w, i, 0) for h, i, w in rows if h == g and w]
+            heapq.heapify(heap)
+            want = {i: 0 for h, i, _ in rows if h == g}
+            weight = {i: w for h, i, w in rows if h == g}
+            for _ in range(seats):
+                _, i, k = heapq.heappop(heap)
+                want[i] += 1
+                heapq.heappush(heap, (-weight[i] / (2 * k + 3), i, k + 1))
+            assert {i: got[g, i] for i in want} == want
+
+
 def test_quality_equals_brute_force(spark, odd, none):
     got = {}
     for r in quality_rules.judge(odd).collect():
@@ -195,6 +215,16 @@ def test_templates_that_rewrite_history_are_detected():
     assert chat_format.turn_spans(turns, strips)[2] > 0
 
 
+def test_texts_that_the_probe_cannot_place_are_counted(spark):
+    shout = lambda turns: "".join(f"{r}: {x.upper() if len(x) > 12 else x}\n" for r, x in turns)
+    convs = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "short"), (1, 2, "assistant", "longer than the probe")], "conv_id long, turn long, role string, text string")
+    row = chat_format.format_chats(convs, shout).first()
+    assert (row.unplaced, len(row.loss_spans), row.rewritten) == (0, 2, 0)
+    cut = lambda turns: "".join(f"{r}: {x[:3]}\n" for r, x in turns)
+    row = chat_format.format_chats(convs, cut).first()
+    assert (row.unplaced, row.loss_spans) == (2, [])
+
+
 def test_formatting_keeps_clashing_columns_out(spark):
     convs = awkward(spark, [(1, "a")]).withColumns({"conv_id": F.lit(1), "turn": F.lit(0), "role": F.lit("user"), "c": F.lit("x"), "t": F.lit("x"), "r": F.lit("x"), "x": F.lit(1)})
     row = chat_format.format_chats(convs).first()

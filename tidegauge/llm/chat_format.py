@@ -6,10 +6,12 @@ import hashlib
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
+
 #: Escapes inside texts; afterwards neither "<" nor "[" is left, so no control string of the template can appear.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
 _TURN = re.compile(r"<s>\[INST\] ([^<\[]*) \[/INST\]| ([^<\[]*)</s>|<s>\[ROLE ([^<\[\]]*)\] ([^<\[]*) \[/ROLE\]")
@@ -87,28 +89,44 @@ def turn_spans(turns: list[tuple[str, str]], template: Template) -> tuple[str, l
 
 
 def format_chats(convs: DataFrame, template: Template = inst_template, loss_roles: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, n_turns, formatted, spans, loss_spans, rewritten): one row per conversation.
+    """(conv_id, n_turns, formatted, spans, loss_spans, rewritten, unplaced): one row per conversation.
 
     Turns are rendered in the order of turn (null first, ties by role, then text); null roles and texts are empty. All
     rows with a null conversation id are one conversation. ``loss_spans`` are the texts (escaped, as rendered) of the
-    loss roles. A template is a black box from turns to output: any prefix may render differently from the last one,
-    so each conversation is rendered once per turn, inside one task per conversation; a template that rewrites history
-    yields spans of -1 and ``rewritten`` above 0."""
-    schema = "conv_id long, n_turns long, formatted string, spans array<struct<start:long,end:long,text_start:long,text_end:long>>, loss_spans array<struct<start:long,end:long>>, rewritten long"
-
-    def one(key, pdf):
-        turns = sorted(zip(pdf["t"].tolist(), pdf["r"].tolist(), pdf["x"].tolist(), strict=True))
-        turns = [(r, x) for _, r, x in turns]
+    loss roles; ``unplaced`` counts those whose place the probe could not tell, which the mask then lacks. A template is a
+    black box from turns to output: any prefix may render differently from the last one, so each conversation is rendered
+    twice per turn, which costs the square of its length; a template that rewrites history yields spans of -1 and
+    ``rewritten`` above 0. Conversations are dealt by id, sorted and streamed, one in memory at a time."""
+    span = pa.struct([(n, pa.int64()) for n in ("start", "end", "text_start", "text_end")])
+    fields = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(span)), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("rewritten", pa.int64()), ("unplaced", pa.int64())])
+    schema = "conv_id long, n_turns long, formatted string, spans array<struct<start:long,end:long,text_start:long,text_end:long>>, loss_spans array<struct<start:long,end:long>>, rewritten long, unplaced long"
+
+    def one(conv, turns):
         out, spans, rewritten = turn_spans(turns, template)
-        loss = [{"start": s[2], "end": s[3]} for (r, _), s in zip(turns, spans, strict=True) if r in loss_roles and s[2] >= 0]
-        spans = [dict(zip(("start", "end", "text_start", "text_end"), s, strict=True)) for s in spans]
-        return pd.DataFrame({"conv_id": [key[0]], "n_turns": [len(turns)], "formatted": [out], "spans": [spans], "loss_spans": [loss], "rewritten": [rewritten]}).astype({"conv_id": "Int64"})
+        wanted = [s for (r, _), s in zip(turns, spans, strict=True) if r in loss_roles]
+        loss = [{"start": s[2], "end": s[3]} for s in wanted if s[2] >= 0]
+        named = [dict(zip(("start", "end", "text_start", "text_end"), s, strict=True)) for s in spans]
+        return {"conv_id": conv, "n_turns": len(turns), "formatted": out, "spans": named, "loss_spans": loss, "rewritten": rewritten, "unplaced": len(wanted) - len(loss)}
+
+    def part(batches):
+        conv, turns = None, []
+        for batch in batches:
+            done = []
+            for c, r, x in zip(*(batch[n].to_pylist() for n in ("c", "r", "x")), strict=True):
+                if turns and c != conv:
+                    done.append(one(conv, turns))
+                    turns = []
+                conv = c
+                turns.append((r, x))
+            yield pa.RecordBatch.from_pylist(done, fields)
+        if turns:
+            yield pa.RecordBatch.from_pylist([one(conv, turns)], fields)
 
     rows = convs.select(
         F.col(conv_col).cast("long").alias("c"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 62))).alias("t"),
         F.coalesce(F.col(role_col), F.lit("")).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x"),
     )
-    return rows.groupBy("c").applyInPandas(one, schema)
+    return rows.repartition(C.shuffle_width(convs.sparkSession), "c").sortWithinPartitions("c", "t", "r", "x").mapInArrow(part, schema)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -116,16 +134,19 @@ def digests(formatted: DataFrame) -> DataFrame:
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def part(batches):
-        for pdf in batches:
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        for batch in batches:
             rows = []
-            for conv, out, spans in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_spans"], strict=True):
+            for conv, out, spans in zip(*(batch[n].to_pylist() for n in ("conv_id", "formatted", "loss_spans")), strict=True):
                 turns = read_back(out)
                 loss = "".join(unescape(out[s["start"] : s["end"]]) for s in spans)
                 said = "".join(f"{r}\n{x}\n" for r, x in turns)
                 rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(out)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(part, schema)
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(part, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
