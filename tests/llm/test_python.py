@@ -125,6 +125,81 @@ def test_entropy_counts_are_incremental_and_allow_list_suppresses():
     assert secrets.scan(f"{key}EXAMPLE") == [] and secrets.scan("an internationalizationalismsword and 12345678901234567890123") == []
 
 
+def brute_entropy(text):
+    """Spans of entropy with nothing counted incrementally and no regular expressions."""
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    only = lambda s, chars: all(c in chars for c in s)
+
+    def limit(s):
+        if only(s, dig):
+            return 99
+        if only(s, dig + "abcdefABCDEF-"):
+            return 3.2
+        if only(s, low + up + "_-"):
+            return 3.75 if sum(c in up for c in s) >= 4 and sum(c in low for c in s) >= 4 else 3.65
+        return 3.75
+
+    def hot(s):
+        h = [-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(s[i : i + 20]).values()) for i in range(len(s) - 19)]
+        at = [i for i, x in enumerate(h) if x >= limit(s) - 1e-9]
+        return (at[0], at[-1] + 20) if at else None
+
+    def allowed(s):
+        bits = s.split("-")
+        if [len(b) for b in bits] == [8, 4, 4, 4, 12] and only(s, dig + "abcdefABCDEF-"):
+            return True
+        if any(w in s for w in ("EXAMPLE", "example", "PLACEHOLDER", "placeholder", "CHANGEME", "changeme", "0123456789", "abcdefghij", "ABCDEFGHIJ")):
+            return True
+        return only(s, low + up + "_/=+-") and s[0] in low + up and any(c in "_/=+-" for c in s) or len(set(s)) == 1
+
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in low + up + dig + "+/_=-":
+            j += 1
+        s = text[i:j]
+        if len(s) >= 20 and (span := hot(s)):
+            for c in "/+=_":
+                parts = s.replace(c, "-") if c == "/" else parts.replace(c, "-")
+            parts = [p for p in parts.split("-") if 20 <= len(p) < len(s)]
+            if not allowed(s) or any(hot(p) and not allowed(p) for p in parts):
+                out.append((i + span[0], i + span[1], 3))
+        i = max(j, i + 1)
+    return out
+
+
+def test_secret_query_equals_brute_force(spark, tables):
+    import hashlib
+
+    for d, docs in ((SF, None), (tables, None)):
+        docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+        want = collections.Counter()
+        name = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in spans)
+        for r in docs:
+            base = brute_spans(r.text or "")
+            every = sorted(base + brute_entropy(r.text or ""), key=lambda x: (x[0], x[2], x[1]))
+            want[(r.doc_id, *(sum(k == x for *_, x in base) for k in range(3)), hashlib.sha256(name(base).encode()).hexdigest(), name(every))] += 1
+        got = secrets.query(spark, d).collect()
+        assert collections.Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in got) == want
+
+
+def test_entropy_spans_equal_brute_force_on_random_candidates():
+    rng = random.Random(21)
+    bits = ["example", "_", "-", "=", "/", "+", "key", "0123456789", "wJalrXUtnFEMIK7MDENG", "bPxRfiCYzQ3v8sT1kLm9", "QwErTyUiOpAsDfGhJkLzXcVb", "deadbeefcafe", "AAAA", " ", "12345678-9abc-def0-1234-56789abcdef0", "Kraftfahrzeughaftpflicht"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 6)))
+        assert [s for s in secrets.scan(text) if s[2] == 3] == brute_entropy(text), text
+
+
+def test_entropy_finds_random_strings_of_each_class():
+    import string
+
+    rng = random.Random(22)
+    for chars, n, least in (("0123456789abcdef", 32, 0.97), (string.ascii_letters + string.digits, 32, 0.99), (string.ascii_letters + string.digits, 20, 0.93), (string.ascii_letters, 32, 0.99), (string.ascii_letters, 24, 0.93), (string.ascii_lowercase, 32, 0.88), (string.ascii_lowercase, 24, 0.68)):
+        drawn = ["".join(rng.choice(chars) for _ in range(n)) for _ in range(1000)]
+        assert sum(bool(secrets.scan(f"see {s} end")) for s in drawn) >= 1000 * least, (chars, n)
+
+
 # --- language model
 
 
