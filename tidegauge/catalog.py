@@ -320,7 +320,7 @@ def _(s, d):
     return S2.regional_sigma(estimate_cells(s, d), regions(s, d))
 
 
-@query("gamma_v_fanout", f"WITH {_EST}, {_RMAP}, rg AS (SELECT coalesce(region, 'OTHER') AS region, good, median(gamma) AS gamma FROM est LEFT JOIN rm ON importer = c WHERE tier < 3 GROUP BY ALL), ct AS (SELECT DISTINCT importer, coalesce(region, 'OTHER') AS region FROM est LEFT JOIN rm ON importer = c) SELECT importer::VARCHAR AS importer, good, round(gamma, 6) AS gamma FROM ct JOIN rg USING (region)")
+@query("gamma_v_fanout", f"WITH {_EST}, {_RMAP}, rg AS (SELECT coalesce(region, 'OTHER') AS region, good, median(gamma) AS gamma FROM est LEFT JOIN rm ON importer = c WHERE gamma > 0 GROUP BY ALL), ct AS (SELECT DISTINCT importer, coalesce(region, 'OTHER') AS region FROM est LEFT JOIN rm ON importer = c) SELECT importer::VARCHAR AS importer, good, round(gamma, 6) AS gamma FROM ct JOIN rg USING (region)")
 def _(s, d):
     est = estimates(s, d)
     regional = S2.regional_gamma(P.assign_regions(est, regions(s, d), "importer"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as X
+from ..functions import keep
 from .panel import Config
 
 CELL = ["importer", "good"]
@@ -40,7 +41,7 @@ def stage1_moments(panel: DataFrame) -> DataFrame:
     against the cell's reference exporter. Rows without a partner and all-zero rows go."""
     rows = panel.filter(X.finite_positive(F.col("cusval")) & X.finite_positive(F.col("quantity")))
     rows = rows.groupBy(*CELL, "exporter", F.col("year").alias("t")).agg(F.sum("cusval").alias("cusval"), F.sum("quantity").alias("quantity"))
-    rows = rows.repartition(*CELL).withColumns({"lp": X.log_ratio(F.col("cusval"), F.col("quantity")), "ls": X.log_ratio(F.col("cusval"), F.sum("cusval").over(W.partitionBy(*CELL, "t")))})
+    rows = rows.repartition(keep.width(panel.sparkSession), *CELL).withColumns({"lp": X.log_ratio(F.col("cusval"), F.col("quantity")), "ls": X.log_ratio(F.col("cusval"), F.sum("cusval").over(W.partitionBy(*CELL, "t")))})
     series = [*CELL, "exporter"]
     rows = with_reference(rows).withColumns({f"{c}_dif": X.consecutive_diff(c, series) for c in ("lp", "ls")})
     rows = rows.withColumns({"p": F.col("lp_dif") - _of_reference("lp_dif"), "s": F.col("ls_dif") - _of_reference("ls_dif")})
@@ -84,7 +85,7 @@ def with_lag(panel: DataFrame, cfg: Config) -> DataFrame:
 
 def matched_rows(panel: DataFrame, cfg: Config) -> DataFrame:
     """Import-side moment rows of the non-reference exporters with their weights bw."""
-    rows = with_lag(with_reference(panel.repartition(*CELL)), cfg)
+    rows = with_lag(with_reference(panel.repartition(keep.width(panel.sparkSession), *CELL)), cfg)
     rows = rows.withColumns({"ref_ls": _of_reference("ls_imp_dif"), "ref_lp": _of_reference("lp_dif")}).filter("ref_ls is not null and ref_lp is not null")
     p, s = F.col("lp_dif") - F.col("ref_lp"), F.col("ls_imp_dif") - F.col("ref_ls")
     rows = rows.withColumns({"imp_y": p * p, "imp_x1": s * s, "imp_x2": s * p, "imp_x3": s * F.col("lp_dif"), "imp_x4": s * F.col("ref_lp"), "imp_x5": p * F.col("ref_lp")})
@@ -137,9 +138,9 @@ def export_moments(panel: DataFrame, cfg: Config) -> DataFrame:
     The two candidate destinations' differences come by windows over (good, exporter, t): one shuffle on (good,
     exporter) and no join of flows with flows."""
     flow, market, year = W.partitionBy("good", "exporter", "importer"), W.partitionBy("good", "exporter"), W.partitionBy("good", "exporter", "t")
-    rows = panel.repartition("good", "exporter").withColumn("__v", F.sum("cusval").over(flow))
+    rows = panel.repartition("good", "exporter").withColumns({"__v": F.sum("cusval").over(flow), "__one": (F.row_number().over(flow.orderBy("t")) == 1).cast("int")})
     order = F.struct((-F.col("__v")).alias("v"), "importer")
-    rows = rows.withColumns({"__first": F.min(order).over(market)["importer"], "__n": F.size(F.collect_set("importer").over(market))})
+    rows = rows.withColumns({"__first": F.min(order).over(market)["importer"], "__n": F.sum("__one").over(market)})
     rows = rows.withColumn("__second", F.min(F.when(F.col("importer") != F.col("__first"), order)).over(market)["importer"])
     if cfg.bw_lag == "calendar":
         rows = rows.withColumn("cusval_lag", X.calendar_lag("cusval", ["good", "exporter", "importer"]))

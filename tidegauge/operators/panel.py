@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as X
+from ..functions import keep
 
 SERIES = ["importer", "exporter", "good"]
 
@@ -36,6 +37,8 @@ class Config:
     shrinkage: float = 0.1
     shrinkage_regional: float = 0.05
     plateau: float = 20.0
+    stage1_hliml: str = "closed"
+    stage2_gradient: str = "analytic"
 
     def with_(self, **changes) -> Config:
         return replace(self, **changes)
@@ -45,6 +48,10 @@ class Config:
             raise ValueError("agg_level is hs4 or hs6")
         if self.bw_lag not in ("calendar", "legacy"):
             raise ValueError("bw_lag is calendar or legacy")
+        if self.stage1_hliml not in ("closed", "bfgs", "both"):
+            raise ValueError("stage1_hliml is closed, bfgs or both")
+        if self.stage2_gradient not in ("analytic", "numeric"):
+            raise ValueError("stage2_gradient is analytic or numeric")
         if self.exporter_weight not in ("trade_value", "uniform"):
             raise ValueError("exporter_weight is trade_value or uniform")
         if self.min_exporters < 2 or self.min_periods < 2:
@@ -77,10 +84,11 @@ def raw_panel(trade: DataFrame, cfg: Config) -> DataFrame:
 
 
 def assign_regions(df: DataFrame, regions: DataFrame, *cols: str) -> DataFrame:
-    """Country codes replaced by their region, OTHER where the map (a dimension table) has none."""
+    """Country codes replaced by their region, OTHER where the map has none. The map is a dimension table; Spark
+    broadcasts it while it is small, by its own measure."""
     for c in cols:
         side = regions.select(F.col("cty_code").alias(c), F.col("region").alias("__region"))
-        df = df.join(F.broadcast(side), c, "left").withColumn(c, F.coalesce("__region", F.lit("OTHER"))).drop("__region")
+        df = df.join(side, c, "left").withColumn(c, F.coalesce("__region", F.lit("OTHER"))).drop("__region")
     return df
 
 
@@ -120,9 +128,10 @@ def cell_viability(panel: DataFrame, cfg: Config) -> DataFrame:
 def viable_rows(panel: DataFrame, cfg: Config) -> DataFrame:
     """Rows of viable cells; one shuffle on the cell, which later windows by cell share."""
     cell = W.partitionBy("importer", "good")
-    n = F.size(F.collect_set("exporter").over(cell))
-    marked = panel.repartition("importer", "good").withColumns({"__n": n, "__p": F.max("period_count").over(cell)})
-    return marked.filter((F.col("__n") >= cfg.min_exporters) & (F.col("__p") >= cfg.min_periods)).drop("__n", "__p")
+    one = (F.row_number().over(W.partitionBy("importer", "good", "exporter").orderBy("t")) == 1).cast("int")
+    marked = panel.repartition(keep.width(panel.sparkSession), "importer", "good").withColumn("__one", one)
+    marked = marked.withColumns({"__n": F.sum("__one").over(cell), "__p": F.max("period_count").over(cell)})
+    return marked.filter((F.col("__n") >= cfg.min_exporters) & (F.col("__p") >= cfg.min_periods)).drop("__n", "__p", "__one")
 
 
 def cell_stats(panel: DataFrame) -> DataFrame:

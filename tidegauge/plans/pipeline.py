@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import keep
 from ..operators.panel import Config, prepare, raw_panel, regional_panel
 from ..sources import trade as T
 from . import stage1 as S1
@@ -16,12 +18,14 @@ STAGES = ("1", "2a", "2b", "all")
 
 
 def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage: str = "all") -> dict[str, DataFrame]:
-    """Runs the stages up to ``stage``. With "all", finished tables under ``out`` are reused; a named stage is computed
-    anew and needs the tables before it."""
+    """Runs the stages up to ``stage``. With "all", finished tables under ``out`` are reused if they were made with the same
+    settings, region map and input files; a named stage is computed anew and needs the tables before it."""
     spark = trade.sparkSession
+    mapped = regions.agg(F.bit_xor(F.xxhash64("cty_code", "region")), F.count("*")).first()
+    made_of = hashlib.sha256(repr((cfg, tuple(mapped), trade.schema.simpleString(), sorted(trade.inputFiles()))).encode()).hexdigest()[:12]
 
     def step(name: str, build, redo: bool) -> DataFrame:
-        path = f"{out}/{name}"
+        path = f"{out}/{name}-{made_of}"
         if not redo and T.stage_exists(spark, path):
             return spark.read.parquet(path)
         return T.write_stage(build(), path)
@@ -30,7 +34,7 @@ def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage:
     found = {"stage1": step("stage1", lambda: S1.run_stage1(raw, cfg), stage == "1")}
     clean = S1.clean_sigma(found["stage1"])
     priors = S1.good_priors(found["stage1"])
-    middle = clean.agg(F.median("sigma").alias("s"), F.median("gamma").alias("g")).first()
+    middle = {"s": keep.quantiles(clean, "sigma", [0.5])[0], "g": keep.quantiles(clean, "gamma", [0.5])[0]}
     if stage == "1" or middle["s"] is None:
         return found
 
@@ -48,11 +52,10 @@ def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage:
     def country() -> DataFrame:
         panel = prepare(raw, cfg)
         texts = clean.withColumn("importer", F.col("importer").cast("string"))
-        estimated = found["stage2a"].filter("gamma > 0 and tier < 3")
-        anchored = estimated.groupBy("good").agg(F.median(F.log("gamma")).alias("ln_gamma_prior"))
+        anchored = S2.regional_priors(found["stage2a"])
         centre = anchored.agg(F.exp(F.median("ln_gamma_prior"))).first()[0] or middle["g"]
-        starts = S2.by_country(S2.regional_gamma(found["stage2a"]), panel, regions)
-        return S2.run_stage2(panel, cfg, cfg.shrinkage, texts.select("importer", "good", "sigma"), middle["s"], anchored, starts, centre, starts, centre, found["stage1"].withColumn("importer", F.col("importer").cast("string")))
+        gamma_v, starts = (S2.by_country(f(found["stage2a"]), panel, regions) for f in (S2.regional_gamma, S2.regional_starts))
+        return S2.run_stage2(panel, cfg, cfg.shrinkage, texts.select("importer", "good", "sigma"), middle["s"], anchored, gamma_v, centre, starts, centre, found["stage1"].withColumn("importer", F.col("importer").cast("string")))
 
     found["stage2b"] = step("stage2b", country, stage == "2b")
     return found
@@ -68,13 +71,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--maxyear", type=int)
     p.add_argument("--shrinkage-lambda", type=float, default=0.1)
     p.add_argument("--bw-lag", choices=("calendar", "legacy"), default="calendar")
+    p.add_argument("--stage1-hliml", choices=("closed", "bfgs", "both"), default="closed")
+    p.add_argument("--stage2-gradient", choices=("analytic", "numeric"), default="analytic")
     p.add_argument("--stage", choices=STAGES, default="all")
     return p
 
 
 def main(argv: list[str] | None = None) -> None:
     o = parser().parse_args(argv)
-    cfg = Config(agg_level=o.agg_level, minyear=o.minyear, maxyear=o.maxyear, shrinkage=o.shrinkage_lambda, bw_lag=o.bw_lag)
+    cfg = Config(agg_level=o.agg_level, minyear=o.minyear, maxyear=o.maxyear, shrinkage=o.shrinkage_lambda, bw_lag=o.bw_lag, stage1_hliml=o.stage1_hliml, stage2_gradient=o.stage2_gradient)
     spark = SparkSession.builder.getOrCreate()
     regions = T.region_map(spark, o.regions) if o.regions else spark.createDataFrame([], "cty_code int, region string")
     estimate(T.rename(T.read_trade(spark, o.data)), regions, f"{o.out_dir}/{T.output_prefix(o.data, cfg.agg_level, 'country')}", cfg, o.stage)

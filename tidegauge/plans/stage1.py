@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +40,21 @@ def with_critical(df: DataFrame, suppliers: str, size: str, out: str) -> DataFra
     return df.withColumn("__n", F.least(F.col(suppliers), F.lit(30))).join(F.broadcast(table), "__n", "left").drop("__n")
 
 
-def fit_cells(moments: DataFrame) -> DataFrame:
-    """One row per cell of moment rows; a cell holds at most exporters x years rows and is fitted in one task."""
+_KINDS = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
-    def one(key, pdf):
-        row = fit_cell(*(pdf[c].to_numpy(float) for c in ("y", "x1", "x2")), pdf["exporter"].to_numpy(), int(pdf["ref_exporter"].iloc[0]))
-        row = {"importer": int(key[0]), "good": key[1]} | row
-        out = pd.DataFrame([{n: row.get(n) for n in _NAMES}])
-        return out.astype({c: "float64" for c, kind in (x.split() for x in _FIT.split(", ")) if kind == "double"})
 
-    fitted = moments.groupBy("importer", "good").applyInPandas(one, _FIT)
+def fit_cells(moments: DataFrame, method: str = "closed") -> DataFrame:
+    """One row per cell of moment rows; a cell holds at most exporters x years rows. Moments come dealt by cell into a
+    fixed number of partitions (stage1_moments), so the fits, which are heavy on few bytes, are not merged into one task."""
+    kinds = [_KINDS[c.split()[1]] for c in _FIT.split(", ")]
+
+    def one(key, rows):
+        row = fit_cell(*(rows[c].to_numpy() for c in ("y", "x1", "x2")), rows["exporter"].to_numpy(), rows["ref_exporter"][0].as_py(), method=method)
+        row = {"importer": key[0].as_py(), "good": key[1].as_py()} | row
+        plain = lambda v: v.item() if hasattr(v, "item") else v
+        return pa.table([pa.array([plain(row.get(n))], k) for n, k in zip(_NAMES, kinds, strict=True)], names=_NAMES)
+
+    fitted = moments.groupBy("importer", "good").applyInArrow(one, _FIT)
     return fitted.select(*[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in fitted.dtypes])
 
 
@@ -65,15 +70,34 @@ def diagnostics(fits: DataFrame) -> DataFrame:
     return out.withColumn("gs_pass_both", both).drop("j_df", "gs_df", "sy_row", "gs_row")
 
 
+def recompute_diagnostics(stage1: DataFrame) -> DataFrame:
+    """The test columns of a stored stage 1 table computed anew from its statistics and exporter counts."""
+    n = F.col("n_exporters")
+    made = ("gamma_common", "stockyogo_cv", "stockyogo_cv_gs25", "stockyogo_pass", "stockyogo_pass_gs25", "jstat_pval", "jstat_h_pval_gs", "sargan_pass", "sargan_pass_gs", "gs_pass_both")
+    rows = stage1.drop(*made).withColumns({"sy_row": n - 1, "j_df": n - 3, "gs_row": n + 1, "gs_df": n - 2})
+    return diagnostics(rows).select(*stage1.columns)
+
+
+def estimate_elasticities(trade: DataFrame, exporter: str = "exporter", t: str = "t", value: str = "value", quantity: str = "quantity", min_year: int | None = None, method: str = "closed") -> DataFrame:
+    """The fit of a single cell, one row, from its trade rows of any column names (whole years in ``t``)."""
+    rows = trade.filter(F.col(t) >= min_year) if min_year is not None else trade
+    panel = rows.select(F.col(t).cast("int").alias("year"), F.lit("cell").alias("good"), F.lit(0).alias("importer"), F.col(exporter).alias("exporter"), F.col(value).cast("double").alias("cusval"), F.col(quantity).cast("double").alias("quantity"))
+    return run_stage1(panel, Config(stage1_hliml=method, min_exporters=2, min_periods=2)).drop("importer", "good")
+
+
 def run_stage1(panel: DataFrame, cfg: Config) -> DataFrame:
     """panel: the raw panel. Every cell comes back, thin ones with the status that stopped them."""
-    cells = panel.groupBy("importer", "good").agg(F.countDistinct("exporter").alias("__e"), F.countDistinct("year").alias("__t"))
+    cells = panel.groupBy("importer", "good").agg(F.countDistinct("exporter").alias("__e"), F.countDistinct("year").alias("__t"), F.count("*").alias("__rows"))
     thin = (F.col("__e") < cfg.min_exporters) | (F.col("__t") < cfg.min_periods)
     cells = cells.withColumn("__thin", F.when(thin, F.format_string("thin_panel_e%d_t%d", "__e", "__t")))
-    fits = diagnostics(fit_cells(M.stage1_moments(panel)))
-    joined = cells.join(fits, ["importer", "good"], "left").withColumn("status", F.coalesce("__thin", "status", F.lit("prep_thin_n0")))
+    fits = diagnostics(fit_cells(M.stage1_moments(panel), cfg.stage1_hliml))
+    joined = cells.join(fits, ["importer", "good"], "left")
+    few = F.coalesce("n_obs", F.lit(0)) < 5
+    joined = joined.withColumn("status", F.coalesce("__thin", F.when(few, F.format_string("prep_thin_n%d", F.coalesce("n_obs", F.lit(0)))), "status"))
+    unfitted = F.col("__thin").isNotNull() | few
+    given = {"n_obs": F.col("__rows").cast("int"), "n_exporters": F.when(F.col("__thin").isNotNull(), F.col("__e")).cast("int")}
     kept = [c for c in fits.columns if c not in ("importer", "good", "status")]
-    out = joined.select("importer", "good", "status", *[F.when(F.col("__thin").isNull(), F.col(c)).alias(c) for c in kept])
+    out = joined.select("importer", "good", "status", *[F.when(~unfitted, F.col(c)).otherwise(given.get(c)).alias(c) for c in kept])
     return out.withColumns({"gamma": F.col("omega"), "convergence": F.when(F.col("status") == "ok", 0).otherwise(-99)})
 
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as X
+from ..functions import keep
 from ..operators import moments as M
 from ..operators.panel import Config, assign_regions, viable_rows
-from .cell_fit import Stage2
+from .cell_fit import Stage2, joint
 
 COLUMNS = (
     "importer", "exporter", "good", "sigma", "gamma", "gamma_se", "gamma_se_status", "gamma_exposure", "gamma_shrink_wt", "gamma_se_total", "sigma_robust", "sigma_se",
@@ -41,57 +42,90 @@ def cell_inputs(panel: DataFrame, cfg: Config, sigma: DataFrame, sigma_default:
     return out
 
 
-def solve_cells(inputs: DataFrame, lam: float) -> DataFrame:
+_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
+def _by_cell(inputs: DataFrame, one, schema: str) -> DataFrame:
+    """one(key, numpy columns) -> list of dicts, for each (importer, good), its exporters in order of tier and code. Cells
+    are dealt into a fixed number of partitions, so that adaptive execution does not merge fits by their few bytes."""
+    fields = [c.split() for c in schema.split(", ")]
+
+    def fit(key, rows):
+        rows = rows.sort_by([("tier", "ascending"), ("exporter", "ascending")])
+        out = one(tuple(k.as_py() for k in key), {c: rows[c].to_numpy() for c in rows.column_names})
+        plain = lambda v: v.item() if hasattr(v, "item") else v
+        return pa.table([pa.array([plain(r.get(n)) for r in out], _KINDS[k]) for n, k in fields], names=[n for n, _ in fields])
+
+    solved = inputs.repartition(keep.width(inputs.sparkSession), "importer", "good").groupBy("importer", "good").applyInArrow(fit, schema)
+    return solved.select(*[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in solved.dtypes])
+
+
+def _problem(cell: dict, rows: np.ndarray, side: np.ndarray, weight: np.ndarray, prior: float, lam: float, numeric: bool) -> Stage2:
+    """The cell's second-stage problem over these rows; side: those of them with an export side."""
+    col = lambda c: cell[c][rows].astype(float)
+    many = lambda cs: np.column_stack([col(c) for c in cs])
+    return Stage2(
+        float(cell["sigma"][0]), col("imp_y"), many(M.IMPORT_MOMENTS[1:]), weight, col("exp_y")[side], many(M.EXPORT_MOMENTS[1:])[side], side, col("sv")[side], col("gv")[side], prior, lam, numeric,
+    )
+
+
+def solve_cells(inputs: DataFrame, lam: float, gradient: str = "analytic") -> DataFrame:
     """Fits each cell; the reference exporter is returned with tier 0, exporters of tier 3 with the prior (else the
     median of the cell's estimates), a cell with only tier 3 with the prior throughout, or nothing without one."""
-    xi, xe = M.IMPORT_MOMENTS, M.EXPORT_MOMENTS
-    names = [c.split()[0] for c in _FIT.split(", ")]
-
-    def one(key, pdf):
-        pdf = pdf.sort_values(["tier", "exporter"])
-        imp, good = key
-        sigma, prior, ref = float(pdf["sigma"].iloc[0]), float(pdf["ln_gamma_prior"].iloc[0]), pdf["ref_exporter"].iloc[0]
-        est, rest = pdf[pdf["tier"] < 3], pdf[pdf["tier"] == 3]
+
+    def one(key, cell):
+        (imp, good), ref, tiers = key, cell["ref_exporter"][0], cell["tier"]
+        sigma, prior = float(cell["sigma"][0]), float(cell["ln_gamma_prior"].astype(float)[0])
         blank = {"importer": imp, "good": good, "ref_exporter": ref, "sigma": sigma}
-        if est.empty:
-            if prior != prior:
-                return pd.DataFrame(columns=names)
-            out = [blank | {"exporter": e, "tier": t, "gamma": float(np.exp(prior)), "convergence": -1} for e, t in [*zip(rest["exporter"], rest["tier"], strict=True), (ref, 0)]]
+        est, rest = np.flatnonzero(tiers < 3), np.flatnonzero(tiers == 3)
+        known = prior == prior
+        left_to_prior = lambda g, who: [blank | {"exporter": e, "tier": t, "gamma": g, "convergence": -1} | ({"gamma_se_status": "tier3_prior"} if len(est) else {}) for e, t in who]
+        if not len(est):
+            return left_to_prior(float(np.exp(prior)), [*[(cell["exporter"][i], 3) for i in rest], (ref, 0)]) if known else []
+        side = np.flatnonzero((tiers[est] == 1) & ~np.isnan(cell["exp_y"].astype(float)[est]))
+        p = _problem(cell, est, side, cell["weight"][est].astype(float), prior, lam, gradient == "numeric")
+        gk, gj, value, code = p.fit(float(cell["start"][0]))
+        k = len(gj) + 1
+        if code == 0:
+            se, status, exposure, shrink = p.errors(gk, gj)
+            slope = p.slopes(gk, gj)
         else:
-            side = np.flatnonzero((est["tier"].to_numpy() == 1) & est["exp_y"].notna().to_numpy())
-            ex = est.iloc[side]
-            p = Stage2(
-                sigma, est["imp_y"].to_numpy(float), est[xi[1:]].to_numpy(float), est["weight"].to_numpy(float),
-                ex["exp_y"].to_numpy(float), ex[xe[1:]].to_numpy(float), side, ex["sv"].to_numpy(float), ex["gv"].to_numpy(float), prior, lam,
-            )
-            gk, gj, value, code = p.fit(float(est["start"].iloc[0]))
-            k = len(gj) + 1
-            if code == 0:
-                se, status, exposure, shrink = p.errors(gk, gj)
-                slope = p.slopes(gk, gj)
-            else:
-                se, status, exposure, shrink, slope = np.full(k, np.nan), ["non_converged"] * k, [None] * k, np.full(k, np.nan), np.full(k, np.nan)
-            out = []
-            for i, (e, t, g) in enumerate([(ref, 0, gk), *zip(est["exporter"], est["tier"], gj, strict=True)]):
-                out.append(blank | {"exporter": e, "tier": t, "gamma": g, "gamma_se": se[i], "gamma_se_status": status[i], "gamma_exposure": exposure[i], "gamma_shrink_wt": shrink[i], "dgamma_dsigma": slope[i], "convergence": code, "obj_value": value})
-            fallback = float(np.exp(prior)) if prior == prior else float(np.median(gj))
-            out += [blank | {"exporter": e, "tier": 3, "gamma": fallback, "gamma_se_status": "tier3_prior", "convergence": -1} for e in rest["exporter"]]
-        frame = pd.DataFrame([{n: r.get(n) for n in names} for r in out])
-        return frame.astype({c: kind for c, kind in {"gamma_exposure": "Int64", "gamma_se": float, "gamma_shrink_wt": float, "dgamma_dsigma": float, "obj_value": float}.items()})
-
-    solved = inputs.groupBy("importer", "good").applyInPandas(one, _FIT)
-    return solved.select(*[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in solved.dtypes])
+            se, status, exposure, shrink, slope = np.full(k, np.nan), ["non_converged"] * k, [None] * k, np.full(k, np.nan), np.full(k, np.nan)
+        who = [(ref, 0, gk), *zip(cell["exporter"][est], tiers[est], gj, strict=True)]
+        out = [
+            blank | {"exporter": e, "tier": t, "gamma": g, "gamma_se": se[i], "gamma_se_status": status[i], "gamma_exposure": exposure[i], "gamma_shrink_wt": shrink[i], "dgamma_dsigma": slope[i], "convergence": code, "obj_value": value}
+            for i, (e, t, g) in enumerate(who)
+        ]
+        return out + left_to_prior(float(np.exp(prior)) if known else float(np.median(gj)), [(cell["exporter"][i], 3) for i in rest])
+
+    return _by_cell(inputs, one, _FIT)
+
+
+def solve_joint(inputs: DataFrame) -> DataFrame:
+    """(importer, exporter, good, sigma, gamma, ref_exporter, convergence, obj_value): sigma and all gammas of a cell in one
+    problem, every exporter with its export side, unweighted and without a prior. inputs as for solve_cells."""
+
+    def one(key, cell):
+        rows = np.arange(len(cell["exporter"]))
+        p = _problem(cell, rows, np.flatnonzero(~np.isnan(cell["exp_y"].astype(float))), np.ones(len(rows)), float("nan"), 0.0, False)
+        sigma, gk, gj, value, code = joint(p, float(cell["start"][0]))
+        who = [*zip(cell["exporter"], gj, strict=True), (cell["ref_exporter"][0], gk)]
+        return [{"importer": key[0], "good": key[1], "exporter": e, "sigma": sigma, "gamma": g, "ref_exporter": cell["ref_exporter"][0], "convergence": code, "obj_value": value} for e, g in who]
+
+    return _by_cell(inputs, one, "importer string, exporter string, good string, sigma double, gamma double, ref_exporter string, convergence int, obj_value double")
 
 
 def with_sigma_errors(fits: DataFrame, sigma_se: DataFrame | None) -> DataFrame:
     """sigma_se, sigma_robust and gamma_se_total: sigma's own error carried into gamma where the cell allows it.
 
-    sigma_se: (importer, good, sigma_se, adjust). Rows of tier 3 have none of the three."""
+    sigma_se: (importer, good, sigma_se, adjust). Rows of tier 3 have none of the three; a slope without an error of sigma
+    to carry is not reported."""
     if sigma_se is None:
         fits = fits.withColumns({"sigma_se": F.lit(None).cast("double"), "adjust": F.lit(None).cast("int")})
     else:
         fits = fits.join(sigma_se.select("importer", "good", "sigma_se", "adjust"), ["importer", "good"], "left")
     used = F.col("tier") < 3
+    fits = fits.withColumn("dgamma_dsigma", F.when(F.abs("sigma_se") < float("inf"), F.col("dgamma_dsigma")))
     carried = F.abs("dgamma_dsigma") * F.col("sigma_se")
     inflation = F.sqrt(F.pow("gamma_se", 2) + carried * carried) / F.col("gamma_se")
     worst = F.max(F.when(used & (F.col("gamma_se") > 0) & carried.isNotNull(), inflation)).over(W.partitionBy("importer", "good"))
@@ -115,20 +149,22 @@ def cell_tariffs(fits: DataFrame) -> DataFrame:
     return fits.withColumns({"opt_tariff": tariff(ok & (F.col("tier") < 3)), "opt_tariff_all": tariff(ok)})
 
 
-def trim_bounds(fits: DataFrame, share: float, least: int = 100) -> DataFrame:
-    """One row: quantiles of sigma and gamma over rows below tier 3, or over all rows if these are fewer than least."""
-    used = F.coalesce(F.col("tier") < 3, F.lit(True))
-    q = lambda c, p: F.when(F.count_if(used) >= least, F.percentile(F.when(used, F.col(c)), F.lit(p))).otherwise(F.percentile(c, F.lit(p)))
-    return fits.agg(*[q(c, p).alias(f"{c}_{side}") for c in ("sigma", "gamma") for side, p in (("lo", share), ("hi", 1 - share))])
+def trim_bounds(fits: DataFrame, share: float, least: int = 100) -> dict[str, list[float | None]]:
+    """Quantiles of sigma and gamma over rows below tier 3, or over all rows if these are fewer than least; exact, by range
+    partitions, whatever the number of rows."""
+    used = fits.filter("coalesce(tier < 3, true)")
+    base = used if used.limit(least).count() >= least else fits
+    return {c: keep.quantiles(base, c, [share, 1 - share]) for c in ("sigma", "gamma")}
 
 
 def tail_trim(fits: DataFrame, share: float | None) -> DataFrame:
     """Rows within the bounds of both sigma and gamma. The bounds, four numbers, need all estimates: a barrier."""
     if not share:
         return fits
-    have = fits.filter("sigma is not null and gamma is not null")
-    b = F.broadcast(trim_bounds(have, share))  # one row
-    return have.join(b, F.col("sigma").between(F.col("sigma_lo"), F.col("sigma_hi")) & F.col("gamma").between(F.col("gamma_lo"), F.col("gamma_hi"))).drop(*b.columns)
+    have = keep.kept(fits.filter("sigma is not null and gamma is not null"))
+    for c, (lo, hi) in trim_bounds(have, share).items():
+        have = have.filter(F.col(c).between(lo, hi))
+    return have
 
 
 def plateau_fallback(fits: DataFrame, priors: DataFrame, threshold: float) -> DataFrame:
@@ -143,19 +179,38 @@ def plateau_fallback(fits: DataFrame, priors: DataFrame, threshold: float) -> Da
 
 
 def run_stage2(panel: DataFrame, cfg: Config, lam: float, sigma: DataFrame, sigma_default: float, priors: DataFrame, gamma_v: DataFrame, gamma_v_default: float, starts: DataFrame | None = None, start: float | None = None, sigma_se: DataFrame | None = None) -> DataFrame:
-    """panel: prepared. The published columns, one row per (importer, exporter, good)."""
+    """panel: prepared; it is written once, as several branches read it. The published columns, one row per (importer,
+    exporter, good)."""
+    panel = keep.kept(panel)
     inputs = cell_inputs(panel, cfg, sigma, sigma_default, priors, gamma_v, gamma_v_default, starts, gamma_v_default if start is None else start)
-    fits = with_tariffs(with_sigma_errors(solve_cells(inputs, lam), sigma_se), panel)
+    fits = with_tariffs(with_sigma_errors(solve_cells(inputs, lam, cfg.stage2_gradient), sigma_se), panel)
     return tail_trim(fits.select(*COLUMNS), cfg.tail_trim)
 
 
+def run_joint(panel: DataFrame, cfg: Config, sigma: DataFrame, sigma_default: float, gamma_v: DataFrame, gamma_v_default: float, start: float | None = None) -> DataFrame:
+    """The joint path: sigma is estimated with the gammas; the lookups only serve the reference destinations."""
+    panel = keep.kept(panel)
+    none = panel.select("good").distinct().withColumn("ln_gamma_prior", F.lit(None).cast("double"))
+    return solve_joint(cell_inputs(panel, cfg, sigma, sigma_default, none, gamma_v, gamma_v_default, None, gamma_v_default if start is None else start))
+
+
 def regional_sigma(clean: DataFrame, regions: DataFrame) -> DataFrame:
     return assign_regions(clean, regions, "importer").groupBy("importer", "good").agg(F.median("sigma").alias("sigma"))
 
 
 def regional_gamma(regional: DataFrame) -> DataFrame:
-    """Median estimated gamma by (importer region, good)."""
-    return regional.filter("tier < 3").groupBy("importer", "good").agg(F.median("gamma").alias("gamma"))
+    """Median gamma by (importer region, good), of rows of every tier that have a sigma and a positive gamma."""
+    return regional.filter("sigma is not null and gamma > 0").groupBy("importer", "good").agg(F.median("gamma").alias("gamma"))
+
+
+def regional_starts(regional: DataFrame) -> DataFrame:
+    """Starting gammas by (importer region, good): the same over rows whose sigma is above 1."""
+    return regional_gamma(regional.filter("sigma > 1"))
+
+
+def regional_priors(regional: DataFrame) -> DataFrame:
+    """(good, ln_gamma_prior): median log gamma over rows of every tier that have a sigma and a positive gamma."""
+    return regional.filter("sigma is not null and gamma > 0").groupBy("good").agg(F.median(F.log("gamma")).alias("ln_gamma_prior"))
 
 
 def by_country(regional: DataFrame, countries: DataFrame, regions: DataFrame) -> DataFrame:
