@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
+from .functions import keep
+from .operators import census as N
+from .operators import feenstra as H
 from .operators import moments as M
 from .operators import panel as P
 from .operators import reports as R
+from .operators import summary as S
+from .plans import bootstrap as B
 from .plans import stage1 as S1
 from .plans import stage2 as S2
 from .sources import trade as T
@@ -305,14 +310,19 @@ def _(s, d):
  SELECT e.importer, e.good, round(coalesce(lk.sigma, (SELECT m FROM fb)), 6) AS sigma, count(*) AS n FROM est e LEFT JOIN lk ON lk.importer = e.importer AND lk.good = e.good GROUP BY ALL""")
 def _(s, d):
     known = estimate_cells(s, d).filter("importer % 3 <> 0").select("importer", "good", "sigma")
-    default = F.broadcast(known.agg(F.median("sigma").alias("m")))  # one row
-    flows = estimates(s, d).select("importer", "good").join(known, ["importer", "good"], "left").join(default, F.lit(True))
-    return flows.groupBy("importer", "good", F.coalesce("sigma", "m").alias("sigma")).agg(F.count("*").alias("n"))
+    flows = S2.looked_up(estimates(s, d).select("importer", "good"), known, ["importer", "good"], "sigma", "sigma", keep.quantiles(known, "sigma", [0.5])[0])
+    return flows.groupBy("importer", "good", "sigma").agg(F.count("*").alias("n"))
 
 
-@query("good_priors", f"WITH {_EST} SELECT good, round(median(ln(gamma)), 6) AS ln_gamma_prior FROM est WHERE gamma > 0 AND tier < 3 AND adjust <> 5 GROUP BY good")
+@query("good_priors", f"WITH {_EST} SELECT good, round(median(ln(gamma)), 6) AS ln_gamma_prior FROM est WHERE gamma > 0 AND adjust NOT IN (3, 5) AND importer % 4 <> 0 AND gamma < 20 AND sigma > 1 GROUP BY good")
 def _(s, d):
-    return estimates(s, d).filter("gamma > 0 and tier < 3 and adjust <> 5").groupBy("good").agg(F.median(F.log("gamma")).alias("ln_gamma_prior"))
+    flags = {"convergence": F.when(F.col("status") == "all_inversions_failed", -99).otherwise(0), "omega_floored": F.when(F.col("importer") % 4 == 0, True), "omega_capped": F.col("gamma") >= 20}
+    return S1.good_priors(estimates(s, d).withColumns(flags))
+
+
+@query("regional_priors", f"WITH {_EST} SELECT good, round(median(ln(gamma)), 6) AS ln_gamma_prior FROM est WHERE gamma > 0 AND sigma IS NOT NULL GROUP BY good")
+def _(s, d):
+    return S2.regional_priors(estimates(s, d))
 
 
 @query("regional_sigma", f"WITH {_EST}, {_RMAP} SELECT coalesce(region, 'OTHER') AS importer, good, round(median(sigma), 6) AS sigma FROM ecell LEFT JOIN rm ON importer = c GROUP BY ALL")
@@ -365,8 +375,7 @@ def _(s, d):
 
 @query("structural_ratios", f"WITH {_EST} SELECT good, round(median(gamma / (1 + gamma)), 6) AS pass_through, round(median(1 / (sigma - 1)), 6) AS markup, round(median(gamma / ((1 + gamma) * (sigma - 1))), 6) AS joint FROM est GROUP BY good")
 def _(s, d):
-    g, sg = F.col("gamma"), F.col("sigma")
-    return estimates(s, d).groupBy("good").agg(F.median(g / (1 + g)).alias("pass_through"), F.median(1 / (sg - 1)).alias("markup"), F.median(g / ((1 + g) * (sg - 1))).alias("joint"))
+    return R.structural_ratios(estimates(s, d), "good")
 
 
 _T2 = "count(*) AS n, count(DISTINCT good) AS goods, round(median(sigma), 6) AS sigma_median, round(median(gamma), 6) AS gamma_median, round(quantile_cont(gamma, 0.25), 6) AS gamma_q25, round(quantile_cont(gamma, 0.75), 6) AS gamma_q75"
@@ -417,7 +426,7 @@ def _(s, d):
     return R.shares(estimates(s, d), "tier", "gamma_se_status", within=("tier",))
 
 
-@query("hs_chapter_gamma", f"WITH {_EST} SELECT substr(good, 1, 2) AS chapter, count(*) AS n, round(median(gamma), 6) AS gamma_median, round(quantile_cont(gamma, 0.25), 6) AS gamma_q25, round(quantile_cont(gamma, 0.75), 6) AS gamma_q75 FROM est WHERE gamma > 0 GROUP BY 1")
+@query("hs_chapter_gamma", f"WITH {_EST}, {_PS} SELECT substr(good, 1, 2) AS chapter, count(*) AS n, round(median(gamma), 6) AS gamma_median, round(quantile_cont(gamma, 0.25), 6) AS gamma_q25, round(quantile_cont(gamma, 0.75), 6) AS gamma_q75, any_value(w) AS within_pair_mad FROM est, (SELECT round(median(within_mad), 6) AS w FROM ps) WHERE gamma > 0 GROUP BY 1")
 def _(s, d):
     return R.chapter_gamma(estimates(s, d))
 
@@ -521,9 +530,176 @@ def _(s, d):
 @query("lambda_sweep")
 def _(s, d):
     panel, sigma, priors, gamma = _stage2_inputs(s, d)
-    inputs = S2.cell_inputs(panel, CFG, sigma, 2.88, priors, gamma, 0.69, None, 0.69)
+    inputs = keep.kept(S2.cell_inputs(keep.kept(panel), CFG, sigma, 2.88, priors, gamma, 0.69, None, 0.69))
     out = None
     for lam in (0.05, 0.1, 0.5):
-        row = R.calibration(S2.solve_cells(inputs, lam), lam)
+        row = R.calibration(keep.kept(S2.solve_cells(inputs, lam)), lam)
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("stage1_both")
+def _(s, d):
+    return S1.run_stage1(raw(s, d), CFG.with_(stage1_hliml="both"))
+
+
+@query("stage2_joint")
+def _(s, d):
+    panel, sigma, _, gamma = _stage2_inputs(s, d)
+    return S2.run_joint(panel, CFG, sigma, 2.88, gamma, 0.69)
+
+
+@query("bootstrap_sigma")
+def _(s, d):
+    panel = keep.kept(raw(s, d))
+    cells = N.stratified_sample(N.strata(keep.kept(S1.run_stage1(panel, CFG))), 8, 1)  # a sample is the feature
+    return B.bootstrap(panel, cells, replicates=20, least_ok=5)
+
+
+@query("one_cell")
+def _(s, d):
+    return S1.estimate_elasticities(raw(s, d).filter("importer = 3 and good = '0102'"), t="year", value="cusval")
+
+
+_FEEN = _IMP + """,
+vi AS (SELECT importer, good FROM prep GROUP BY ALL HAVING count(DISTINCT exporter) >= 2 AND max(period_count) >= 3),
+fa AS (SELECT imom.*, value * least(n_periods, 10) / 10::DOUBLE AS adj FROM imom JOIN vi USING (importer, good)),
+fw AS (SELECT *, adj * count(*) OVER (PARTITION BY importer, good) / sum(adj) OVER (PARTITION BY importer, good) AS w, imp_x3 - imp_x4 AS z FROM fa),
+fs AS (SELECT importer, good, count(*) AS n_exporters, sum(w * imp_y * imp_x1) AS ya, sum(w * imp_y * imp_x2) AS yc, sum(w * imp_x1 * imp_x1) AS aa, sum(w * imp_x1 * imp_x2) AS ac, sum(w * imp_x2 * imp_x2) AS cc FROM fw GROUP BY ALL),
+ft AS (SELECT *, (ya * cc - yc * ac) / (aa * cc - ac * ac) AS t1, (yc * aa - ya * ac) / (aa * cc - ac * ac) AS t2 FROM fs WHERE n_exporters > 2),
+fi AS (SELECT *, (sqrt(t2 * t2 + 4 * t1) - t2) / 2 AS inv FROM ft WHERE t1 > 0),
+fo AS (SELECT *, inv + t2 AS g FROM fi)"""
+
+
+@query("feenstra_baseline", f"WITH {_FEEN} SELECT importer, good, n_exporters, round(inv, 5) AS inv, round(g, 5) AS g FROM fo WHERE g BETWEEN 0.001 AND 0.999", places=5)
+def _(s, d):
+    fits = H.baseline(prepared(s, d), CFG).withColumns({"inv": 1 / (F.col("sigma") - 1), "g": F.col("gamma") / (1 + F.col("gamma"))})
+    return fits.filter("edge = 'none' and n_exporters > 2 and g between 0.001 and 0.999").select("importer", "good", "n_exporters", "inv", "g")
+
+
+def both_cells(spark, d) -> DataFrame:
+    """A stage 1 table of a "both" run by arithmetic on the keys."""
+    i, e = F.col("importer"), F.col("exporter")
+    c = estimates(spark, d).select("importer", "exporter", "good", "sigma", "gamma", "adjust", "status", "final_source", "sigma_se")
+    return c.withColumns({
+        "hliml_status": F.when((i + e) % 7 < 4, "ok").when((i + e) % 7 < 6, "hliml_fail_no_convergence").when(e % 3 > 0, "step1_fail"), "hliml_cf_status": F.when(e % 11 > 0, F.when(i % 10 > 0, "ok").otherwise("cf_fail_degenerate_b1")),
+        "hliml_cf_admissible": (i * 3 + e) % 5 > 1, "sigma_hliml": F.col("sigma"), "sigma_hliml_cf": F.col("sigma") * (1 + ((i + e * 2) % 9) / 64), "hliml_Q": ((i + e) % 13) / 16, "hliml_Q_cf": ((i * 5 + e) % 13) / 16,
+        "hliml_bd_edge": F.when(e % 4 == 0, "omega_floor").when(e % 4 == 1, "sigma_cap").when(e % 4 == 2, "omega_cap"), "hliml_bd_usable": F.when(e % 4 < 3, i % 3 > 0), "sigma_hliml_bd": F.col("sigma") + 1,
+        "n_exporters": (i * 5 + e * 3) % 60, "fstat_kp": F.when(e % 6 > 0, ((i * 7 + e) % 40) / 4), "sigma_capped": F.when(i % 5 == 0, e % 2 == 0), "omega": F.col("gamma"), "omega_capped": F.lit(False), "hliml_boundary_edge": F.when(e % 4 == 1, "sigma_cap"),
+    })
+
+
+_BOTH = _EST + """,
+bc AS (SELECT importer, exporter, good, sigma, gamma, adjust, status, final_source, sigma_se, CASE WHEN (importer + exporter) % 7 < 4 THEN 'ok' WHEN (importer + exporter) % 7 < 6 THEN 'hliml_fail_no_convergence' WHEN exporter % 3 > 0 THEN 'step1_fail' END AS hliml_status,
+  CASE WHEN exporter % 11 > 0 THEN CASE WHEN importer % 10 > 0 THEN 'ok' ELSE 'cf_fail_degenerate_b1' END END AS cfs, (importer * 3 + exporter) % 5 > 1 AS adm, sigma AS sh, sigma * (1 + ((importer + exporter * 2) % 9) / 64::DOUBLE) AS sc,
+  ((importer + exporter) % 13) / 16::DOUBLE AS q, ((importer * 5 + exporter) % 13) / 16::DOUBLE AS qc, CASE exporter % 4 WHEN 0 THEN 'omega_floor' WHEN 1 THEN 'sigma_cap' WHEN 2 THEN 'omega_cap' END AS edge, exporter % 4 < 3 AND importer % 3 > 0 AS usable, sigma + 1 AS sb,
+  (importer * 5 + exporter * 3) % 60 AS nx, CASE WHEN exporter % 6 > 0 THEN ((importer * 7 + exporter) % 40) / 4::DOUBLE END AS f, importer % 5 = 0 AND exporter % 2 = 0 AS sigma_capped FROM est),
+cl AS (SELECT *, CASE WHEN hliml_status = 'ok' THEN 'bfgs_ok' WHEN hliml_status = 'hliml_fail_no_convergence' THEN 'bfgs_noconv' ELSE 'bfgs_other_fail' END AS bfgs_class,
+  CASE WHEN cfs IS NULL THEN 'cf_NA' WHEN cfs <> 'ok' THEN 'cf_fail' WHEN adm THEN 'cf_admissible' ELSE 'cf_inadmissible' END AS cf_class,
+  CASE WHEN status <> 'ok' THEN status WHEN adjust = 0 THEN 'hliml_interior' WHEN adjust = 1 THEN 'step2_clean' WHEN adjust IN (4, 5) THEN 'capped' WHEN adjust IN (2, 3) THEN 'omega_floored_or_fallback' ELSE 'adjust_' || adjust END AS shipped FROM bc WHERE hliml_status IS NOT NULL)"""
+
+
+@query("census_crosstab", f"WITH {_BOTH} SELECT bfgs_class, cf_class, count(*) AS n FROM cl GROUP BY ALL")
+def _(s, d):
+    return N.crosstab(N.classes(both_cells(s, d)))
+
+
+@query("census_reroutes", f"WITH {_BOTH} SELECT 'in' AS direction, shipped AS key, count(*) AS n FROM cl WHERE bfgs_class <> 'bfgs_ok' AND cf_class = 'cf_admissible' GROUP BY ALL UNION ALL SELECT 'out', cf_class, count(*) FROM cl WHERE bfgs_class = 'bfgs_ok' AND cf_class <> 'cf_admissible' GROUP BY ALL")
+def _(s, d):
+    return N.reroutes(N.classes(both_cells(s, d)))
+
+
+@query("census_agreement", f"""WITH {_BOTH}, b AS (SELECT *, abs(sh - sc) AS gap FROM cl WHERE bfgs_class = 'bfgs_ok' AND cf_class = 'cf_admissible') SELECT count(*) AS n_both, round(median(gap), 6) AS median_abs_delta_sigma, round(avg((gap / sc <= 0.01)::INT), 6) AS share_within_1pct,
+ round(avg((gap / sc <= 0.1)::INT), 6) AS share_within_10pct, round(avg((qc <= q + 1e-12)::INT), 6) AS "share_Qcf_le_Qbfgs", round(median(sh), 6) AS median_sigma_bfgs, round(median(sc), 6) AS median_sigma_cf FROM b""")
+def _(s, d):
+    return N.agreement(N.classes(both_cells(s, d)))
+
+
+@query("census_composition", f"WITH {_BOTH}, p AS (SELECT shipped AS dest, 1 AS s, 0 AS p FROM cl UNION ALL SELECT CASE WHEN cf_class = 'cf_admissible' THEN 'hliml_interior' ELSE shipped END, 0, 1 FROM cl) SELECT dest, sum(s)::BIGINT AS shipped, sum(p)::BIGINT AS projected FROM p GROUP BY dest")
+def _(s, d):
+    return N.projected_composition(N.classes(both_cells(s, d)))
+
+
+@query("census_boundary", f"WITH {_BOTH} SELECT coalesce(edge, 'bd_NA') AS edge, usable, shipped AS shipped_dest, count(*) AS n, round(median(sb), 6) AS sigma_median FROM cl WHERE cf_class IN ('cf_inadmissible', 'cf_fail') GROUP BY ALL")
+def _(s, d):
+    return N.boundary_rescue(N.classes(both_cells(s, d)))
+
+
+_BINS = "CASE WHEN nx > 3 AND nx <= 9 THEN '4-9' WHEN nx > 9 AND nx <= 19 THEN '10-19' WHEN nx > 19 AND nx <= 49 THEN '20-49' WHEN nx > 49 THEN '50+' ELSE 'nexp_NA' END AS nexp_bin, CASE WHEN f <= 2 THEN 'F<2' WHEN f > 2 AND f <= 7 THEN 'F2-7' WHEN f > 7 THEN 'F>=7' ELSE 'F_NA' END AS f_bin"
+
+
+@query("strata_bins", f"WITH {_BOTH}, z AS (SELECT *, {_BINS} FROM bc WHERE status = 'ok' AND sigma_se IS NOT NULL AND NOT sigma_capped) SELECT nexp_bin || ' | ' || f_bin || ' | ' || final_source AS stratum, count(*) AS n FROM z GROUP BY ALL")
+def _(s, d):
+    return N.counts(N.strata(both_cells(s, d)), "stratum")
+
+
+@query("stratified_sample")
+def _(s, d):
+    return N.stratified_sample(N.strata(both_cells(s, d)), 200).select("importer", "exporter", "good", "stratum")
+
+
+@query("patched_flags", f"WITH {_BOTH} SELECT importer, exporter, good, CASE WHEN final_source = 'hliml_boundary' THEN coalesce(exporter % 4 = 1, false) OR sigma >= 5 - 1e-3 WHEN importer % 5 = 0 THEN exporter % 2 = 0 END AS sigma_capped, CASE WHEN final_source = 'hliml_boundary' THEN gamma >= 5 - 1e-3 ELSE false END AS omega_capped FROM bc")
+def _(s, d):
+    return R.patch_flags(both_cells(s, d), 5.0).select("importer", "exporter", "good", "sigma_capped", "omega_capped")
+
+
+@query("spearman_external", f"WITH {_EST}, x AS (SELECT importer || '-' || exporter || '-' || good AS cell_id, sigma AS a FROM est WHERE importer < 20), y AS (SELECT importer || '-' || exporter || '-' || good AS cell_id, gamma AS b FROM est WHERE exporter > 2), z AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x JOIN y USING (cell_id)) SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman, round(corr(a, b), 6) AS pearson FROM z")
+def _(s, d):
+    cells = estimates(s, d).withColumn("cell_id", F.concat_ws("-", F.col("importer").cast("string"), F.col("exporter").cast("string"), "good"))
+    return N.spearman(N.external(cells.filter("importer < 20"), cells.filter("exporter > 2"), published_col="gamma"), "ours", "published")
+
+
+_GLOBAL = """count(*) AS n_estimates, count(DISTINCT good) AS n_products, count(DISTINCT importer) AS n_importers, count(DISTINCT exporter) AS n_exporters, count(DISTINCT good || '-' || importer) AS n_sigma, count(*) AS n_gamma,
+ round(median(sigma), 6) AS sigma_median, round(avg(sigma), 6) AS sigma_mean, round(stddev_samp(sigma), 6) AS sigma_sd, round(quantile_cont(sigma, 0.25), 6) AS sigma_q25, round(quantile_cont(sigma, 0.75), 6) AS sigma_q75, round(median(gamma), 6) AS gamma_median,
+ round(avg(gamma), 6) AS gamma_mean, round(stddev_samp(gamma), 6) AS gamma_sd, round(mad(gamma), 6) AS gamma_mad, round(quantile_cont(gamma, 0.25), 6) AS gamma_q25, round(quantile_cont(gamma, 0.75), 6) AS gamma_q75, round(median(gamma / 4), 6) AS opt_tariff_median, round(avg(gamma / 4), 6) AS opt_tariff_mean"""
+
+
+@query("summary_global", f"WITH {_EST} SELECT {_GLOBAL} FROM est")
+def _(s, d):
+    return S.global_stats(estimates(s, d).withColumn("opt_tariff", F.col("gamma") / 4))
+
+
+@query("summary_steps", f"""WITH {_EST}, a AS (SELECT * FROM est WHERE importer < 20), b AS (SELECT *, gamma * 1.5 + tier AS g2, sigma + adjust AS s2 FROM est WHERE exporter > 2), j AS (SELECT a.sigma AS s1, a.gamma AS g1, b.s2, b.g2 FROM a JOIN b USING (importer, exporter, good)),
+ m AS (SELECT (SELECT median(sigma) FROM a) AS sa, (SELECT median(gamma) FROM a) AS ga, (SELECT median(s2) FROM b) AS sb, (SELECT median(g2) FROM b) AS gb)
+ SELECT count(*) AS n_matched, round(any_value(sa), 6) AS step1_sigma_median, round(any_value(ga), 6) AS step1_gamma_median, round(any_value(sb), 6) AS step2_sigma_median, round(any_value(gb), 6) AS step2_gamma_median, round(any_value(sb - sa), 6) AS sigma_shift,
+ round(any_value(gb - ga), 6) AS gamma_shift, round(any_value(100 * (sb - sa) / sa), 6) AS sigma_shift_pct, round(any_value(100 * (gb - ga) / ga), 6) AS gamma_shift_pct, round(corr(s1, s2), 6) AS cor_sigma, round(corr(g1, g2), 6) AS cor_gamma FROM j, m""")
+def _(s, d):
+    est = estimates(s, d)
+    later = est.filter("exporter > 2").withColumns({"gamma": F.col("gamma") * 1.5 + F.col("tier"), "sigma": F.col("sigma") + F.col("adjust")})
+    return S.step_comparison(est.filter("importer < 20"), later)
+
+
+_RUNS = """count(*)::DOUBLE AS rows, median(gamma) AS gamma_median, quantile_cont(gamma, 0.25) AS gamma_p25, quantile_cont(gamma, 0.75) AS gamma_p75, quantile_cont(gamma, 0.95) AS gamma_p95, max(gamma) AS gamma_max, avg((gamma > 1)::INT) AS share_gamma_above_1, median(1 / gamma) AS supply_elasticity_median,
+ median(sigma) AS sigma_median, avg((sigma >= 9.999)::INT) AS share_sigma_at_cap, median(gamma_se) AS gamma_se_median, avg((gamma_se IS NOT NULL)::INT) AS share_gamma_se, median(CASE WHEN tier < 3 THEN gamma_se * 2 END) AS gamma_se_total_median, median(sigma_se) AS sigma_se_median, avg((tier = 1)::INT) AS share_sigma_robust"""
+
+
+@query("compare_runs", f"WITH {_EST}, o AS (SELECT {_RUNS} FROM est), w AS (SELECT {_RUNS} FROM est WHERE importer > 5), ol AS (UNPIVOT o ON COLUMNS(*) INTO NAME metric VALUE v), wl AS (UNPIVOT w ON COLUMNS(*) INTO NAME metric VALUE v) SELECT metric, round(ol.v, 6) AS old, round(wl.v, 6) AS new, round(wl.v - ol.v, 6) AS change FROM ol JOIN wl USING (metric)")
+def _(s, d):
+    est = estimates(s, d).withColumns({"gamma_se_total": F.when(F.col("tier") < 3, F.col("gamma_se") * 2), "sigma_robust": F.col("tier") == 1})
+    return R.compare_runs(est, est.filter("importer > 5"))
+
+
+@query("distribution_union", f"WITH {_EST}, l AS (SELECT 'gamma_se_status' AS k, gamma_se_status AS level, gamma <= 20 AS o, gamma >= 1 AS w FROM est UNION ALL SELECT 'tier', tier::VARCHAR, gamma <= 20, gamma >= 1 FROM est), c AS (SELECT k, level, count(*) FILTER (WHERE o) AS a, count(*) FILTER (WHERE w) AS b FROM l GROUP BY ALL), t AS (SELECT *, a / sum(a) OVER (PARTITION BY k) AS x, b / sum(b) OVER (PARTITION BY k) AS y FROM c) SELECT k AS \"column\", level, round(x, 6)::DOUBLE AS old, round(y, 6)::DOUBLE AS new, round(y - x, 6)::DOUBLE AS change FROM t")
+def _(s, d):
+    est = estimates(s, d)
+    return R.distributions(est.filter("gamma <= 20"), est.filter("gamma >= 1"), "gamma_se_status", "tier")
+
+
+@query("gap_totals", f"""WITH {_DIF}, g AS (SELECT p.*, q.t IS NULL AS fb, q.t IS NULL AND p.t <> min(p.t) OVER (PARTITION BY p.importer, p.exporter, p.good) AS st FROM prep p LEFT JOIN prep q ON q.importer = p.importer AND q.exporter = p.exporter AND q.good = p.good AND q.t = p.t - 1),
+ x AS (SELECT importer, exporter, good, count(*) AS n, count(*) FILTER (WHERE st) AS st, count(*) FILTER (WHERE fb) AS fb FROM g GROUP BY ALL), c AS (SELECT importer, good, count(*) AS ns, count(*) FILTER (WHERE st > 0) AS nh, sum(n) AS n, sum(st) AS st, sum(fb) AS fb FROM x GROUP BY ALL)
+ SELECT count(*) AS n_cells, count(*) FILTER (WHERE st > 0) AS n_cells_holed, sum(ns)::BIGINT AS n_series, sum(nh)::BIGINT AS n_series_holed, sum(n)::BIGINT AS n_rows, sum(st)::BIGINT AS n_stale_rows, sum(fb)::BIGINT AS n_fallback_rows,
+ round(count(*) FILTER (WHERE st > 0) / count(*), 6)::DOUBLE AS share_cells_holed, round(sum(nh) / sum(ns), 6)::DOUBLE AS share_series_holed, round(sum(st) / sum(n), 6)::DOUBLE AS share_rows_stale FROM c""")
+def _(s, d):
+    return R.gap_totals(R.gap_census(prepared(s, d)))
+
+
+_MAN = "f AS (SELECT DISTINCT good || '-' || importer AS local_path, importer, md5(good || importer) AS h, importer * 100 AS z FROM est)"
+
+
+@query("manifest_check", f"WITH {_EST}, {_MAN}, l AS (SELECT local_path, CASE WHEN importer % 6 = 0 THEN 'PLACEHOLDER' WHEN importer % 6 = 1 THEN upper(h) || ' ' ELSE h END AS h, CASE WHEN importer % 6 = 2 THEN z + 1 ELSE z END AS z FROM f WHERE importer < 20), p AS (SELECT local_path, CASE WHEN importer % 6 = 3 THEN 'x' ELSE h END AS h, z FROM f WHERE importer > 3), j AS (SELECT coalesce(l.local_path, p.local_path) AS local_path, CASE WHEN p.local_path IS NULL THEN 'missing' WHEN l.local_path IS NULL THEN 'unlisted' WHEN l.h = 'PLACEHOLDER' THEN 'no_checksum' WHEN l.z <> p.z THEN 'size' WHEN lower(trim(l.h)) <> p.h THEN 'checksum' END AS problem FROM l FULL JOIN p ON l.local_path = p.local_path) SELECT * FROM j WHERE problem IS NOT NULL")
+def _(s, d):
+    i = F.col("importer")
+    f = estimates(s, d).select("importer", F.concat_ws("-", "good", i.cast("string")).alias("local_path"), F.md5(F.concat("good", i.cast("string"))).alias("sha256"), (i * 100).alias("size_bytes")).distinct()
+    listed = f.filter("importer < 20").withColumns({"sha256": F.when(i % 6 == 0, "PLACEHOLDER").when(i % 6 == 1, F.concat(F.upper("sha256"), F.lit(" "))).otherwise(F.col("sha256")), "size_bytes": F.when(i % 6 == 2, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))})
+    present = f.filter("importer > 3").withColumn("sha256", F.when(i % 6 == 3, "x").otherwise(F.col("sha256")))
+    return T.verify_manifest(listed, present)

@@ -57,12 +57,6 @@ def optimal_tariff(gamma: Column, sigma: Column, weight: Column, where: Column |
     return F.try_divide(F.sum(F.when(ok, weight * gamma / (1 + gamma * sigma))), F.sum(F.when(ok, weight / (1 + gamma * sigma))))
 
 
-def mad(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Median absolute deviation from the group median (no normal-consistency factor), one row per group."""
-    centered = df.withColumn("__c", F.median(value).over(W.partitionBy(*by)))
-    return centered.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("__c"))).alias("mad"))
-
-
 def boundary_flags(edge: Column, sigma: Column, omega: Column, sigma_cap: float, omega_cap: float, tol: float = 1e-3) -> tuple[Column, Column]:
     def flag(name, x, cap):
         return F.coalesce(edge == name, F.lit(False)) | F.coalesce(x >= cap - tol, F.lit(False))

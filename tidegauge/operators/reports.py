@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as X
+from ..functions import keep
 
 CELL = ["importer", "good"]
 
@@ -16,13 +17,14 @@ def pct(c: str, p: float) -> Column:
 
 
 def country_table(est: DataFrame) -> DataFrame:
-    """Per importer and for the world (one grouping-sets pass): estimates, goods, medians and quartiles."""
+    """Per importer and for the world: estimates, goods, medians and quartiles. The world's quantiles are exact and come by
+    range partitions; a group of an aggregate would gather all values in one task."""
     named = est.withColumn("importer", F.col("importer").cast("string"))
-    table = named.groupingSets([["importer"], []], "importer").agg(
-        F.grouping_id().alias("__g"), F.count("*").alias("n"), F.countDistinct("good").alias("goods"), F.median("sigma").alias("sigma_median"), F.median("gamma").alias("gamma_median"),
-        pct("gamma", 0.25).alias("gamma_q25"), pct("gamma", 0.75).alias("gamma_q75"),
+    table = named.groupBy("importer").agg(
+        F.count("*").alias("n"), F.countDistinct("good").alias("goods"), F.median("sigma").alias("sigma_median"), F.median("gamma").alias("gamma_median"), pct("gamma", 0.25).alias("gamma_q25"), pct("gamma", 0.75).alias("gamma_q75"),
     )
-    return table.withColumn("importer", F.when(F.col("__g") == 1, "World").otherwise(F.col("importer"))).drop("__g")
+    world = dict(zip(("sigma_median", "gamma_median", "gamma_q25", "gamma_q75"), keep.quantiles(named, "sigma", [0.5]) + keep.quantiles(named, "gamma", [0.5, 0.25, 0.75]), strict=True))
+    return table.unionByName(named.agg(F.lit("World").alias("importer"), F.count("*").alias("n"), F.countDistinct("good").alias("goods")).withColumns({k: F.lit(v).cast("double") for k, v in world.items()}))
 
 
 def pair_stats(est: DataFrame) -> DataFrame:
@@ -68,7 +70,11 @@ def shares(df: DataFrame, *keys: str, within: tuple[str, ...] = ()) -> DataFrame
 
 
 def chapter_gamma(est: DataFrame) -> DataFrame:
-    return est.filter("gamma > 0").groupBy(F.substring("good", 1, 2).alias("chapter")).agg(F.count("*").alias("n"), F.median("gamma").alias("gamma_median"), pct("gamma", 0.25).alias("gamma_q25"), pct("gamma", 0.75).alias("gamma_q75"))
+    """By two-digit chapter: n, median and quartiles of gamma, and the median over its cells of the spread within a cell."""
+    chapter = F.substring("good", 1, 2).alias("chapter")
+    all_rows = est.filter("gamma > 0").groupBy(chapter).agg(F.count("*").alias("n"), F.median("gamma").alias("gamma_median"), pct("gamma", 0.25).alias("gamma_q25"), pct("gamma", 0.75).alias("gamma_q75"))
+    within = pair_stats(est).groupBy(chapter).agg(F.median("within_mad").alias("within_pair_mad"))
+    return all_rows.join(within, "chapter", "left")
 
 
 def gap_rows(panel: DataFrame) -> DataFrame:
@@ -87,6 +93,14 @@ def gap_census(panel: DataFrame) -> DataFrame:
     return series.groupBy(*CELL).agg(F.count("*").alias("n_series"), F.count_if(holed).alias("n_series_holed"), F.avg(holed.cast("double")).alias("share_holed"), F.sum("n_t").alias("n_rows"), F.sum("n_stale").alias("n_stale_rows"), F.sum("n_fallback").alias("n_fallback_rows"))
 
 
+def gap_totals(census: DataFrame) -> DataFrame:
+    """The census of the whole panel, one row: cells, those with a hole, sums and shares."""
+    total = lambda c: F.sum(c).alias(c)
+    out = census.agg(F.count("*").alias("n_cells"), F.count_if(F.col("n_stale_rows") > 0).alias("n_cells_holed"), *[total(c) for c in ("n_series", "n_series_holed", "n_rows", "n_stale_rows", "n_fallback_rows")])
+    share = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    return out.withColumns({"share_cells_holed": share("n_cells_holed", "n_cells"), "share_series_holed": share("n_series_holed", "n_series"), "share_rows_stale": share("n_stale_rows", "n_rows")})
+
+
 def survivorship_census(trade: DataFrame, min_exporters: list[int], min_pairs: list[int]) -> DataFrame:
     """Shares of cells, routes and value that stay estimable, for each level of codes and pair of guards."""
     coded = trade.withColumn("good6", X.pad_hs6(F.col("good")))
@@ -144,6 +158,54 @@ def run_comparison(old: DataFrame, new: DataFrame) -> DataFrame:
     return long(old, "old").join(long(new, "new"), "metric").withColumn("delta", F.col("new") - F.col("old"))
 
 
+def structural_ratios(est: DataFrame, *keys: str) -> DataFrame:
+    """Medians by key of gamma / (1 + gamma), 1 / (sigma - 1) and gamma / ((1 + gamma)(sigma - 1))."""
+    g, s = F.col("gamma"), F.col("sigma")
+    return est.groupBy(*keys).agg(F.median(g / (1 + g)).alias("pass_through"), F.median(F.try_divide(F.lit(1.0), s - 1)).alias("markup"), F.median(F.try_divide(g, (1 + g) * (s - 1))).alias("joint"))
+
+
+_RUN = {
+    "rows": lambda: F.count("*").cast("double"), "gamma_median": lambda: F.median("gamma"), "gamma_p25": lambda: pct("gamma", 0.25), "gamma_p75": lambda: pct("gamma", 0.75), "gamma_p95": lambda: pct("gamma", 0.95), "gamma_max": lambda: F.max("gamma"),
+    "share_gamma_above_1": lambda: F.avg((F.col("gamma") > 1).cast("double")), "supply_elasticity_median": lambda: F.median(F.try_divide(F.lit(1.0), F.col("gamma"))), "sigma_median": lambda: F.median("sigma"),
+    "share_sigma_at_cap": lambda: F.avg((F.col("sigma") >= 9.999).cast("double")), "gamma_se_median": lambda: F.median("gamma_se"), "share_gamma_se": lambda: F.avg(F.col("gamma_se").isNotNull().cast("double")),
+    "gamma_se_total_median": lambda: F.median("gamma_se_total"), "sigma_se_median": lambda: F.median("sigma_se"), "share_sigma_robust": lambda: F.avg(F.coalesce("sigma_robust", F.lit(False)).cast("double")),
+}
+
+
+def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(metric, old, new, change) of two stage 2b tables; a column that a table lacks counts as null."""
+    def long(df, n):
+        have = df.withColumns({c: F.lit(None).cast(t) for c, t in (("gamma_se", "double"), ("gamma_se_total", "double"), ("sigma_se", "double"), ("sigma_robust", "boolean")) if c not in df.columns})
+        return have.agg(*[f().alias(m) for m, f in _RUN.items()]).unpivot([], list(_RUN), "metric", n)
+
+    return long(old, "old").join(long(new, "new"), "metric").withColumn("change", F.col("new") - F.col("old"))
+
+
+def distributions(old: DataFrame, new: DataFrame, *cols: str) -> DataFrame:
+    """(column, level, old, new, change): shares of every level that either table has, sorted; a table that lacks the
+    column or any row with a value has null shares, one that lacks the level 0."""
+    def side(df, n):
+        out = None
+        for c in cols:
+            has = df.filter(F.col(c).isNotNull()) if c in df.columns else df.withColumn(c, F.lit(None).cast("string")).limit(0)
+            part = has.groupBy(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")).agg(F.count("*").alias("__n")).withColumn(n, F.col("__n") / F.sum("__n").over(W.partitionBy("column"))).drop("__n")
+            out = part if out is None else out.unionByName(part)
+        return out.withColumn(f"__has_{n}", F.lit(True))
+
+    a, b = side(old, "old"), side(new, "new")
+    both = a.join(b, ["column", "level"], "full_outer")
+    known = lambda n: F.max(f"__has_{n}").over(W.partitionBy("column"))
+    both = both.withColumns({n: F.when(known(n), F.coalesce(n, F.lit(0.0))) for n in ("old", "new")})
+    return both.select("column", "level", "old", "new", (F.col("new") - F.col("old")).alias("change")).orderBy("column", "level")
+
+
+def patch_flags(stage1: DataFrame, cap: float = 10.0) -> DataFrame:
+    """Stage 1 with its cap flags of boundary cells set from the edge and the caps (boundary_flags); others as they are."""
+    hit = F.col("final_source") == "hliml_boundary"
+    s, o = X.boundary_flags(F.col("hliml_boundary_edge"), F.col("sigma"), F.col("omega"), cap, cap)
+    return stage1.withColumns({"sigma_capped": F.when(hit, s).otherwise(F.col("sigma_capped")), "omega_capped": F.when(hit, o).otherwise(F.col("omega_capped"))})
+
+
 def transitions(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Counts of (old, new) values of a column over common cells."""
     side = lambda df, n: df.select(*CELL, F.col(key).alias(n))
@@ -151,7 +213,8 @@ def transitions(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def failure_counts(stage1: DataFrame) -> DataFrame:
-    return stage1.filter("status <> 'ok'").groupBy("status").agg(F.count("*").alias("n"))
+    """The statuses that stopped cells, the most frequent first."""
+    return stage1.filter("status <> 'ok'").groupBy("status").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "status")
 
 
 def spike(est: DataFrame, cap: float = 10.0) -> DataFrame:
@@ -170,10 +233,3 @@ def pass_rates(stage1: DataFrame) -> DataFrame:
     tests = [c for c in ("stockyogo_pass", "stockyogo_pass_gs25", "sargan_pass", "sargan_pass_gs", "gs_pass_both") if c in stage1.columns]
     return stage1.filter("status = 'ok'").agg(F.count("*").alias("n_ok"), *[a for c in tests for a in (F.count(c).alias(f"n_{c}"), F.avg(F.col(c).cast("double")).alias(f"rate_{c}"))])
 
-
-def summary_text(rows: dict[str, DataFrame]) -> str:
-    """A plain report of small tables, for people."""
-    parts = []
-    for title, df in rows.items():
-        parts += [title, "-" * len(title), *["  ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in df.limit(1000).collect()], ""]
-    return "\n".join(parts)

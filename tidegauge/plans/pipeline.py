@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keep
-from ..operators.panel import Config, prepare, raw_panel, regional_panel
+from ..operators import summary as S
+from ..operators.panel import Config, prepare, quality_log, raw_panel, regional_panel
 from ..sources import trade as T
 from . import stage1 as S1
 from . import stage2 as S2
@@ -82,7 +83,18 @@ def main(argv: list[str] | None = None) -> None:
     cfg = Config(agg_level=o.agg_level, minyear=o.minyear, maxyear=o.maxyear, shrinkage=o.shrinkage_lambda, bw_lag=o.bw_lag, stage1_hliml=o.stage1_hliml, stage2_gradient=o.stage2_gradient)
     spark = SparkSession.builder.getOrCreate()
     regions = T.region_map(spark, o.regions) if o.regions else spark.createDataFrame([], "cty_code int, region string")
-    estimate(T.rename(T.read_trade(spark, o.data)), regions, f"{o.out_dir}/{T.output_prefix(o.data, cfg.agg_level, 'country')}", cfg, o.stage)
+    trade = T.rename(T.read_trade(spark, o.data))
+    prefix = f"{o.out_dir}/{T.output_prefix(o.data, cfg.agg_level, 'country')}"
+    found = estimate(trade, regions, prefix, cfg, o.stage)
+    report(found, trade, cfg, o.data, prefix)
+
+
+def report(found: dict[str, DataFrame], trade: DataFrame, cfg: Config, source: str, prefix: str) -> None:
+    """CSV files of the estimates in canonical order, and the summary's files for each scope."""
+    for stage, scope in (("stage2a", "regional"), ("stage2b", "country")):
+        if stage in found:
+            T.write_csv(T.canonical_order(found[stage]), f"{prefix}/{stage}_csv")
+            S.write(S.build(found[stage], cfg, source, scope, stage1=found["stage1"], quality=quality_log(trade, cfg)), f"{prefix}/{stage}_summary")
 
 
 if __name__ == "__main__":

@@ -35,9 +35,9 @@ def stock_yogo(spark: SparkSession) -> DataFrame:
 
 
 def with_critical(df: DataFrame, suppliers: str, size: str, out: str) -> DataFrame:
-    """Adds the critical value for a number of suppliers: null below 2, the last row above 30."""
+    """Adds the critical value for a number of suppliers: null below 2 or unknown, the last row above 30."""
     table = stock_yogo(df.sparkSession).select(F.col("suppliers").alias("__n"), F.col(size).alias(out))
-    return df.withColumn("__n", F.least(F.col(suppliers), F.lit(30))).join(F.broadcast(table), "__n", "left").drop("__n")
+    return df.withColumn("__n", F.when(F.col(suppliers).isNotNull(), F.least(F.col(suppliers), F.lit(30)))).join(F.broadcast(table), "__n", "left").drop("__n")
 
 
 _KINDS = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
@@ -72,7 +72,7 @@ def diagnostics(fits: DataFrame) -> DataFrame:
 
 def recompute_diagnostics(stage1: DataFrame) -> DataFrame:
     """The test columns of a stored stage 1 table computed anew from its statistics and exporter counts."""
-    n = F.col("n_exporters")
+    n = F.when(F.col("status").startswith("thin_panel"), None).otherwise(F.col("n_exporters"))
     made = ("gamma_common", "stockyogo_cv", "stockyogo_cv_gs25", "stockyogo_pass", "stockyogo_pass_gs25", "jstat_pval", "jstat_h_pval_gs", "sargan_pass", "sargan_pass_gs", "gs_pass_both")
     rows = stage1.drop(*made).withColumns({"sy_row": n - 1, "j_df": n - 3, "gs_row": n + 1, "gs_df": n - 2})
     return diagnostics(rows).select(*stage1.columns)

@@ -24,6 +24,13 @@ _FIT = (
 )
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str, out: str, default: float) -> DataFrame:
+    """rows plus ``out``: the table's value by keys, else the default. An equi-join that adaptive execution broadcasts
+    while the table is small."""
+    side = table.select(*keys, F.col(value).alias("__v"))
+    return rows.join(side, keys, "left").withColumn(out, F.coalesce("__v", F.lit(default))).drop("__v")
+
+
 def cell_inputs(panel: DataFrame, cfg: Config, sigma: DataFrame, sigma_default: float, priors: DataFrame, gamma_v: DataFrame, gamma_v_default: float, starts: DataFrame | None, start: float) -> DataFrame:
     """A row per (importer, good, exporter) with import moments, tier, weight, export moments of tier 1, and lookups.
 
@@ -33,13 +40,12 @@ def cell_inputs(panel: DataFrame, cfg: Config, sigma: DataFrame, sigma_default:
     base = M.exporter_weights(M.exporter_tiers(M.import_moments(rows, cfg), M.destination_counts(panel), cfg), cfg)
     exports = M.export_moments(panel, cfg)
     good_sigma = sigma.filter("sigma > 1")
-    side = exports.join(good_sigma.select(F.col("importer").alias("ref_dest"), "good", F.col("sigma").alias("sv")), ["ref_dest", "good"], "left")
-    side = side.join(gamma_v.filter("gamma > 0").select(F.col("importer").alias("ref_dest"), "good", F.col("gamma").alias("gv")), ["ref_dest", "good"], "left")
-    side = side.withColumns({"sv": F.coalesce("sv", F.lit(sigma_default)), "gv": F.coalesce("gv", F.lit(gamma_v_default))})
-    out = base.join(side, ["importer", "good", "exporter"], "left").join(good_sigma, ["importer", "good"], "left").withColumn("sigma", F.coalesce("sigma", F.lit(sigma_default)))
+    at_dest = lambda df: df.withColumnRenamed("importer", "ref_dest")
+    side = looked_up(exports, at_dest(good_sigma), ["ref_dest", "good"], "sigma", "sv", sigma_default)
+    side = looked_up(side, at_dest(gamma_v.filter("gamma > 0")), ["ref_dest", "good"], "gamma", "gv", gamma_v_default)
+    out = looked_up(base.join(side, ["importer", "good", "exporter"], "left"), good_sigma, M.CELL, "sigma", "sigma", sigma_default)
     out = out.join(priors, "good", "left")
-    out = out.join(starts.select("importer", "good", F.col("gamma").alias("__g")), ["importer", "good"], "left").withColumn("start", F.coalesce("__g", F.lit(start))).drop("__g") if starts is not None else out.withColumn("start", F.lit(start))
-    return out
+    return looked_up(out, starts, M.CELL, "gamma", "start", start) if starts is not None else out.withColumn("start", F.lit(start))
 
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}

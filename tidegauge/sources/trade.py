@@ -19,33 +19,73 @@ KEYS = ["good", "importer", "exporter"]
 def read_trade(spark: SparkSession, path: str, yearly: str = YEARLY) -> DataFrame:
     """A folder of yearly CSV files (else of any CSV files, with a warning), one CSV, Parquet, or a Stata file.
 
-    Files are listed and opened by Spark, so any store it reads will do; Stata files go through pandas, on the driver,
-    and are meant for small samples."""
-    kind = os.path.splitext(path)[1].lower()
+    Files are listed and opened by Spark, so any store it reads will do. A name with an unknown ending that holds no CSV
+    file is refused."""
+    kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind == ".csv":
         return spark.read.schema(TRADE_SCHEMA).option("header", True).csv(path)
     if kind == ".parquet":
         return spark.read.parquet(path)
     if kind == ".dta":
-        import pandas as pd
-
-        return spark.createDataFrame(pd.read_stata(path))
-    if kind:
-        raise ValueError(f"unsupported trade file: {path}")
+        return read_stata(spark, path)
     for pattern in (yearly, "*.csv"):
         found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
         if not found.isEmpty():
             if pattern != yearly:
                 warnings.warn(f"no file in {path} is named {yearly}; reading all CSV files", stacklevel=2)
             return spark.read.schema(TRADE_SCHEMA).option("header", True).option("pathGlobFilter", pattern).csv(path)
+    if kind:  # not a folder with a dot in its name
+        raise ValueError(f"unsupported trade file: {path}")
     raise FileNotFoundError(f"no CSV file in {path}")
 
 
+def read_stata(spark: SparkSession, path: str) -> DataFrame:
+    """One or more Stata files of one layout, each read inside a task in chunks; text stays text, numbers become double."""
+    import io
+
+    import pandas as pd
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def layout(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                with pd.read_stata(io.BytesIO(content), chunksize=1) as chunks:
+                    head = next(chunks)
+                yield pd.DataFrame({"at": range(len(head.columns)), "name": head.columns, "number": [pd.api.types.is_numeric_dtype(t) for t in head.dtypes]})
+
+    columns = [(r["name"], r["number"]) for r in files.limit(1).mapInPandas(layout, "at int, name string, number boolean").orderBy("at").collect()]
+
+    def rows(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                with pd.read_stata(io.BytesIO(content), chunksize=100_000) as chunks:
+                    for chunk in chunks:
+                        yield chunk.astype({n: "float64" if number else str for n, number in columns})
+
+    return files.mapInPandas(rows, ", ".join(f"`{n}` {'double' if number else 'string'}" for n, number in columns))
+
+
 def rename(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """Canonical names; absent columns are skipped."""
     return df.withColumnsRenamed({a: b for a, b in (names or RENAMES).items() if a in df.columns})
 
 
+#: Names that published tables give to the columns of trade.
+CANDIDATES = {
+    "year": ("year", "t", "yr"), "good": ("hs", "hs6", "k", "product"), "importer": ("importer", "iiso", "i", "i_iso"), "exporter": ("exporter", "eiso", "j", "j_iso"),
+    "cusval": ("value", "v", "value_kUSD"), "quantity": ("quantity", "q", "qty"),
+}
+
+
+def identify(df: DataFrame) -> DataFrame:
+    """The canonical columns of a table that names them in one of the usual ways; a missing one is an error."""
+    missing = [n for n, names in CANDIDATES.items() if not set(names) & set(df.columns)]
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)} among {', '.join(df.columns)}")
+    return df.select(*[F.col(first_of(df, *names)).alias(n) for n, names in CANDIDATES.items()])
+
+
 def first_of(df: DataFrame, *candidates: str) -> str:
     """The first of the names that the table has."""
     return next(c for c in candidates if c in df.columns)
@@ -76,7 +116,8 @@ def region_map(spark: SparkSession, path: str | None = None, rows: list[tuple[in
     """(cty_code, region): a dimension table from a CSV with these columns, or from rows; the first of repeats counts."""
     if path:
         df = spark.read.schema("cty_code int, region string").option("header", True).csv(path)
-        return df.groupBy("cty_code").agg(F.min("region").alias("region"))
+        placed = df.withColumn("__at", F.monotonically_increasing_id())  # in the order of the file's lines
+        return placed.groupBy("cty_code").agg(F.min_by("region", "__at").alias("region"))
     seen: dict[int, str] = {}
     for code, region in rows or []:
         seen.setdefault(code, region)
@@ -109,6 +150,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines, nulls kept, doubles in full precision."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def trade_source(path: str) -> str:
     """Name of the data set in a path, such as HS92_V202601; baci if there is none."""
     found = re.search(r"(HS\d{2})[_-]?(V\d{6}\w?)", path)
@@ -125,6 +171,19 @@ def manifest_drift(listed: DataFrame, present: DataFrame, key: str = "local_path
     return missing.unionByName(present.join(listed, key, "left_anti").select(key, F.lit("unlisted").alias("problem")))
 
 
+def verify_manifest(listed: DataFrame, present: DataFrame) -> DataFrame:
+    """(local_path, problem): files that are missing, unlisted, of another size or of another hash than the manifest says,
+    or listed without a real hash (empty or PLACEHOLDER). listed and present have local_path, sha256, size_bytes."""
+    tidy = lambda c: F.lower(F.trim(c))
+    a = listed.select("local_path", tidy(F.col("sha256")).alias("want"), F.col("size_bytes").cast("long").alias("want_size"), F.lit(True).alias("listed"))
+    b = present.select("local_path", tidy(F.col("sha256")).alias("have"), F.col("size_bytes").cast("long").alias("have_size"), F.lit(True).alias("present"))
+    problem = (
+        F.when(F.col("present").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when(F.coalesce("want", F.lit("")).isin("", "placeholder"), "no_checksum")
+        .when(F.col("want_size") != F.col("have_size"), "size").when(F.col("want") != F.col("have"), "checksum")
+    )
+    return a.join(b, "local_path", "full_outer").select("local_path", problem.alias("problem")).filter("problem is not null")
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, size_bytes) of every file under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
