@@ -115,12 +115,29 @@ def word_ngrams(hashes: np.ndarray, owners: np.ndarray, k: int, short: bool = Tr
     return acc[keep], owners[keep], at[keep]
 
 
+def _pack(low: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    raw = np.zeros((len(data) // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return raw.view("<u8").ravel()
+
+
 def pack5(low: np.ndarray) -> bytes:
     """40-bit numbers as 5 bytes each."""
-    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return _pack(low, 5)
 
 
 def unpack5(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 5, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return raw.view("<u8").ravel()
+    return _unpack(data, 5)
+
+
+def pack6(low: np.ndarray) -> bytes:
+    """48-bit numbers as 6 bytes each."""
+    return _pack(low, 6)
+
+
+def unpack6(data: bytes) -> np.ndarray:
+    return _unpack(data, 6)
