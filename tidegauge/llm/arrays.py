@@ -132,12 +132,3 @@ def pack5(low: np.ndarray) -> bytes:
 
 def unpack5(data: bytes) -> np.ndarray:
     return _unpack(data, 5)
-
-
-def pack6(low: np.ndarray) -> bytes:
-    """48-bit numbers as 6 bytes each."""
-    return _pack(low, 6)
-
-
-def unpack6(data: bytes) -> np.ndarray:
-    return _unpack(data, 6)
