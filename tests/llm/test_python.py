@@ -204,18 +204,19 @@ def test_entropy_finds_random_strings_of_each_class():
 
 
 def brute_ppm(train):
-    seen = [collections.defaultdict(collections.Counter) for _ in range(5)]
+    top = lm_score.ORDER
+    seen = [collections.defaultdict(collections.Counter) for _ in range(top + 1)]
     for b in train:
-        s = b"\0" * 4 + b + b"\0"
-        for i in range(4, len(s)):
-            for k in range(5):
+        s = b"\0" * top + b + b"\0"
+        for i in range(top, len(s)):
+            for k in range(top + 1):
                 seen[k][s[i - k : i]][s[i]] += 1
 
     def score(b):
-        s, total = b"\0" * 4 + b + b"\0", 0.0
-        for i in range(4, len(s)):
+        s, total = b"\0" * top + b + b"\0", 0.0
+        for i in range(top, len(s)):
             out = set()
-            for k in range(4, -1, -1):
+            for k in range(top, -1, -1):
                 counts = seen[k].get(s[i - k : i])
                 if not counts:
                     continue
@@ -264,7 +265,7 @@ def test_probabilities_sum_to_one():
     num, _ = lm_score.grams(text, np.array([0, 400]))
     keys, n = np.unique(num, return_counts=True)
     pairs = np.bincount(num & 0xFFFF, minlength=1 << 16)
-    for context in (int(keys[7]) >> 8, int.from_bytes(b"zzzz", "big"), int.from_bytes(b"zabc", "big"), int.from_bytes(b"zzza", "big")):
+    for context in (int(keys[7]) >> 8, int.from_bytes(b"zzzzzz", "big"), int.from_bytes(b"zzzabc", "big"), int.from_bytes(b"zzzzza", "big")):
         ask = (context << 8) + np.arange(256)
         every = np.union1d(keys[((keys >> 8) & 0xFFFF) == (context & 0xFFFF)], ask)
         have = np.zeros(len(every))

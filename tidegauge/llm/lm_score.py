@@ -13,7 +13,7 @@ from . import blocks as B
 from . import common as C
 from .arrays import U, chunks, utf8, word_hashes
 
-ORDER = 4  # context bytes
+ORDER = 6  # context bytes
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
 
     Documents whose crc32(id as text) mod 7 is 2 are held out; the others train. Texts have A-Z lower-cased. Tokens of
     the baseline are words and one end per document; base_score adds log10((c + 1) / (N + V + 1)). ``score`` is the log10
-    probability of the text's UTF-8 bytes and an end under prediction by partial matching of order 4, counted over all
+    probability of the text's UTF-8 bytes and an end under prediction by partial matching of order 6, counted over all
     training documents (log_probs). Words are compared by 64-bit hashes, byte contexts exactly.
 
     Blocks of documents exchange their distinct words and byte contexts for corpus-wide counts (module blocks); the trie
