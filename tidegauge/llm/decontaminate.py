@@ -37,8 +37,9 @@ def _stretches(rows: DataFrame, seeds: DataFrame, narrow: bool) -> DataFrame:
     near = F.slice("hs", F.greatest("start", F.lit(0)) + 1, F.col("item_tokens"))
     place = ["doc_id", "version", "item", "start"]
     if narrow:
-        hits = _seeds(rows, "doc_id", "version", "hs").join(F.broadcast(seeds), ["mask", "seed"])
-        return hits.withColumn("start", start).groupBy(*place).agg(F.first(near).alias("near"))
+        hits = _seeds(rows, "doc_id", "hs").join(F.broadcast(seeds), ["mask", "seed"])
+        return hits.withColumns({"start": start, "version": F.xxhash64("hs")}).groupBy(*place).agg(F.first(near).alias("near"))
+    rows = rows.withColumn("version", F.xxhash64("hs"))
     hits = _seeds(rows, "doc_id", "version").join(seeds, ["mask", "seed"])
     places = hits.select("doc_id", "version", "item", "item_tokens", start.alias("start")).distinct()
     named = places.withColumnRenamed("doc_id", "__id")
@@ -61,7 +62,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = C.checkpointed(benchmark.select(F.col(item_col).alias("item_id"), _hashes(F.col(item_text_col)).alias("hs")).filter(F.size("hs") >= SPAN).distinct().withColumn("item", F.monotonically_increasing_id()))
     narrow = len(MASKS) * (items.agg(F.sum(F.size("hs"))).first()[0] or 0) <= broadcast_seeds
     seeds = _seeds(items.withColumn("item_tokens", F.size("hs")), "item", "item_tokens").withColumnRenamed("pos", "item_pos")
-    rows = docs.select(F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("hs")).withColumn("version", F.xxhash64("hs"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("hs"))
     found = _stretches(rows, seeds, narrow)
     items = items.select("item", "item_id", F.col("hs").alias("item_hs"))
     near = found.join(F.broadcast(items) if narrow else items, "item").withColumn("skip", F.greatest(-F.col("start"), F.lit(0)))
