@@ -95,8 +95,9 @@ def test_leaks_with_substitutions_are_found_and_clean_ones_left(spark, odd, tabl
     again = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, broadcast_seeds=0).collect()}
     assert again == set(got)
     bench = spark.read.parquet(f"{tables}/benchmark.parquet")
-    both = [sorted(map(str, decontaminate.find_leaks(odd, bench, broadcast_seeds=n).collect())) for n in (0, 2_000_000)]
-    assert both[0] == both[1] and len(both[0]) == 4  # a null item, a repeated one and a line over and over, in documents 7 and 8
+    for n in (0, 2_000_000):  # an item without an id and one that comes twice; 9 tokens of a line are too few for its item of 27
+        found = decontaminate.find_leaks(odd, bench, broadcast_seeds=n).collect()
+        assert sorted(((r.doc_id, r.item_id, r.matched, r.start) for r in found), key=str) == [(7, 0, 20, 40), (7, None, 30, 700)]
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
@@ -106,7 +107,8 @@ def test_a_token_over_and_over_is_verified_once_a_place(spark):
     bench = spark.createDataFrame([(0, "la " * 300), (None, "da " * 30)], "item_id long, text string")
     for n in (0, 2_000_000):
         got = {(r.doc_id, r.item_id): (r.matched, r.start) for r in decontaminate.find_leaks(df, bench, broadcast_seeds=n).collect()}
-        assert got == {(1, 0): (300, 0), (2, None): (30, 20_000), (None, 0): (40, 0)}
+        # the short document lies anywhere in the long item: the earliest start puts it at the end of it
+        assert got == {(1, 0): (300, 0), (2, None): (30, 20_000), (None, 0): (40, -260)}
 
 
 def test_a_part_of_a_long_item_counts(spark):

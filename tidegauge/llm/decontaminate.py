@@ -42,8 +42,8 @@ def _stretches(rows: DataFrame, seeds: DataFrame, narrow: bool) -> DataFrame:
     rows = rows.withColumn("version", F.xxhash64("hs"))
     hits = _seeds(rows, "doc_id", "version").join(seeds, ["mask", "seed"])
     places = hits.select("doc_id", "version", "item", "item_tokens", start.alias("start")).distinct()
-    named = places.withColumnRenamed("doc_id", "__id")
-    return rows.join(named, (rows["version"] == named["version"]) & rows["doc_id"].eqNullSafe(named["__id"])).select("doc_id", rows["version"], "item", "start", near.alias("near"))
+    named = places.withColumnsRenamed({"doc_id": "__id", "version": "__v"})
+    return rows.join(named, (F.col("version") == F.col("__v")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select(*place, near.alias("near"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_seeds: int = 2_000_000) -> DataFrame:
