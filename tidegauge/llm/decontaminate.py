@@ -21,25 +21,39 @@ def _hashes(text) -> F.Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
+def _seed(pos, mask) -> F.Column:
+    """The seed of a mask (its number) at a position of hs."""
+    hashes = [F.xxhash64(*[F.get("hs", pos + o) for o in m]) for m in MASKS]
+    return F.when(mask == 0, hashes[0]).when(mask == 1, hashes[1]).otherwise(hashes[2])
+
+
 def _seeds(rows: DataFrame, *keep: str) -> DataFrame:
     """A row for each mask at each position: keep, pos, mask, seed. rows has the tokens' hashes, hs."""
     at = rows.select("*", F.posexplode("hs").alias("pos", "__x")).filter(F.col("pos") <= F.size("hs") - SPAN)
-    seeds = [F.xxhash64(*[F.get("hs", F.col("pos") + o) for o in mask]) for mask in MASKS]
+    seeds = [_seed(F.col("pos"), F.lit(m)) for m in range(len(MASKS))]
     return at.select(*keep, "pos", F.posexplode(F.array(*seeds)).alias("mask", "seed"))
 
 
+def _before(pos: str) -> F.Column:
+    """The same mask's seed one position earlier; null at the first position."""
+    return F.when(F.col(pos) > 0, _seed(F.col(pos) - 1, F.col("mask")))
+
+
 def _stretches(rows: DataFrame, seeds: DataFrame, narrow: bool) -> DataFrame:
     """(doc_id, version, item, start, near): each place where a seed puts an item, once, and the document's tokens there.
 
-    narrow: the seeds are broadcast and a hit takes its tokens along from the row that it is found in. Else seeds meet in
-    a shuffle of numbers only, and the tokens come back by a join for the places that are left."""
+    A hit one position after another hit of the same mask and place is dropped inside the join, so tokens that come over
+    and over don't give a row for each pair of positions. narrow: the seeds are broadcast and a hit takes its tokens
+    along from the row that it is found in. Else seeds meet in a shuffle of numbers only, and the tokens come back by a
+    join for the places that are left."""
     start = F.col("pos") - F.col("item_pos")  # of the item's first token in the document
     near = F.slice("hs", F.greatest("start", F.lit(0)) + 1, F.col("item_tokens"))
     place = ["doc_id", "version", "item", "start"]
+    first = lambda before: F.coalesce(before != F.col("item_before"), F.lit(True))
     if narrow:
-        hits = _seeds(rows, "doc_id", "version", "hs").join(F.broadcast(seeds), ["mask", "seed"])
+        hits = _seeds(rows, "doc_id", "version", "hs").join(F.broadcast(seeds), ["mask", "seed"]).filter(first(_before("pos")))
         return hits.withColumn("start", start).groupBy(*place).agg(F.first(near).alias("near"))
-    hits = _seeds(rows, "doc_id", "version").join(seeds, ["mask", "seed"])
+    hits = _seeds(rows, "doc_id", "version", "hs").withColumn("before", _before("pos")).drop("hs").join(seeds, ["mask", "seed"]).filter(first(F.col("before")))
     places = hits.select("doc_id", "version", "item", "item_tokens", start.alias("start")).distinct()
     named = places.withColumnsRenamed({"doc_id": "__id", "version": "__v"})
     return rows.join(named, (F.col("version") == F.col("__v")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select(*place, near.alias("near"))
@@ -60,7 +74,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     document ids are returned as null (all rows without an id as one document; the pipeline names its rows by text)."""
     items = C.checkpointed(benchmark.select(F.col(item_col).alias("item_id"), _hashes(F.col(item_text_col)).alias("hs")).filter(F.size("hs") >= SPAN).distinct().withColumn("item", F.monotonically_increasing_id()))
     narrow = len(MASKS) * (items.agg(F.sum(F.size("hs"))).first()[0] or 0) <= broadcast_seeds
-    seeds = _seeds(items.withColumn("item_tokens", F.size("hs")), "item", "item_tokens").withColumnRenamed("pos", "item_pos")
+    seeds = _seeds(items.withColumn("item_tokens", F.size("hs")), "item", "item_tokens", "hs").withColumn("item_before", _before("pos")).drop("hs").withColumnRenamed("pos", "item_pos")
     rows = docs.select(F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("hs")).withColumn("version", F.xxhash64("hs"))
     found = _stretches(rows, seeds, narrow)
     items = items.select("item", "item_id", F.col("hs").alias("item_hs"))
