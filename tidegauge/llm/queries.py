@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality_rules, secrets, substring_dedup, token_counts
+from . import chat_format, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality_rules, repair, secrets, substring_dedup, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_lm_score": lm_score.query,
     "op9_quality_rules": quality_rules.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_embedding_whitening": whitening.query,
+    "op12_conversation_repair": repair.query,
+    "op13_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
@@ -20,4 +23,5 @@ ORACLE_SQL = {
     "op5_source_mixing": mixing.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op12_conversation_repair": repair.SQL,
 }
