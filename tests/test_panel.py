@@ -93,6 +93,8 @@ def test_yearly_files(spark, tmp_path):
     assert dict(df.dtypes)["good"] == "string"
     with pytest.raises(ValueError):
         S.read_trade(spark, "x.xlsx")
+    with pytest.raises(FileNotFoundError):
+        S.read_trade(spark, str(tmp_path / "nowhere"))
     assert S.output_prefix("/data/HS92_V202601", "hs4", "country") == "HS92_V202601_hs4_country" and S.trade_source("/x") == "baci"
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "flows.csv").write_text(head + "2001,1,2,010121,1.5,2\n")

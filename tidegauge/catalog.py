@@ -426,7 +426,7 @@ def _(s, d):
     return R.shares(estimates(s, d), "tier", "gamma_se_status", within=("tier",))
 
 
-@query("hs_chapter_gamma", f"WITH {_EST}, {_PS} SELECT substr(good, 1, 2) AS chapter, count(*) AS n, round(median(gamma), 6) AS gamma_median, round(quantile_cont(gamma, 0.25), 6) AS gamma_q25, round(quantile_cont(gamma, 0.75), 6) AS gamma_q75, any_value(w) AS within_pair_mad FROM est, (SELECT round(median(within_mad), 6) AS w FROM ps) WHERE gamma > 0 GROUP BY 1")
+@query("hs_chapter_gamma", f"WITH {_EST}, {_PS} SELECT substr(good, 1, 2) AS chapter, count(*) AS n, round(median(gamma), 6) AS gamma_median, round(quantile_cont(gamma, 0.25), 6) AS gamma_q25, round(quantile_cont(gamma, 0.75), 6) AS gamma_q75, any_value(w) AS within_pair_mad, any_value(u) AS within_pair_mad_q75 FROM est, (SELECT round(median(within_mad), 6) AS w, round(quantile_cont(within_mad, 0.75), 6) AS u FROM ps) WHERE gamma > 0 GROUP BY 1")
 def _(s, d):
     return R.chapter_gamma(estimates(s, d))
 

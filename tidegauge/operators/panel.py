@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as X
-from ..functions import keep
+from ..functions import keep, order
 
 SERIES = ["importer", "exporter", "good"]
 
@@ -136,10 +136,9 @@ def viable_rows(panel: DataFrame, cfg: Config) -> DataFrame:
 
 def cell_stats(panel: DataFrame) -> DataFrame:
     cells = panel.groupBy("importer", "good").agg(F.countDistinct("exporter").alias("n_exp"), F.countDistinct("t").alias("n_per"))
-    return cells.agg(
-        F.count("*").alias("cells"), F.median("n_exp").alias("median_exporters"), F.avg("n_exp").alias("mean_exporters"),
-        F.median("n_per").alias("median_periods"), F.avg("n_per").alias("mean_periods"),
-    )
+    cells = keep.kept(cells)
+    plain = cells.agg(F.count("*").alias("cells"), F.avg("n_exp").alias("mean_exporters"), F.avg("n_per").alias("mean_periods"))
+    return order.same_keys(plain, order.quantiles(cells, [], {"median_exporters": (F.col("n_exp"), 0.5), "median_periods": (F.col("n_per"), 0.5)}), [])
 
 
 def quality_log(trade: DataFrame, cfg: Config) -> DataFrame:

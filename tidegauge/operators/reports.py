@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as X
-from ..functions import keep
+from ..functions import keep, order
 
 CELL = ["importer", "good"]
 
 
-def pct(c: str, p: float) -> Column:
-    return F.percentile(c, F.lit(p))
+def quartiles(name: str, col: Column | None = None) -> dict[str, tuple[Column, float]]:
+    """Median and quartiles of a column, by name, for ``order.quantiles``."""
+    c = F.col(name) if col is None else col
+    return {f"{name}_median": (c, 0.5), f"{name}_q25": (c, 0.25), f"{name}_q75": (c, 0.75)}
 
 
 def country_table(est: DataFrame) -> DataFrame:
-    """Per importer and for the world: estimates, goods, medians and quartiles. The world's quantiles are exact and come by
-    range partitions; a group of an aggregate would gather all values in one task."""
-    named = est.withColumn("importer", F.col("importer").cast("string"))
-    table = named.groupBy("importer").agg(
-        F.count("*").alias("n"), F.countDistinct("good").alias("goods"), F.median("sigma").alias("sigma_median"), F.median("gamma").alias("gamma_median"), pct("gamma", 0.25).alias("gamma_q25"), pct("gamma", 0.75).alias("gamma_q75"),
-    )
-    world = dict(zip(("sigma_median", "gamma_median", "gamma_q25", "gamma_q75"), keep.quantiles(named, "sigma", [0.5]) + keep.quantiles(named, "gamma", [0.5, 0.25, 0.75]), strict=True))
-    return table.unionByName(named.agg(F.lit("World").alias("importer"), F.count("*").alias("n"), F.countDistinct("good").alias("goods")).withColumns({k: F.lit(v).cast("double") for k, v in world.items()}))
+    """Per importer and for the world: estimates, goods, medians and quartiles. Every row counts for its importer and for
+    the world in one pass over the estimates (grouping sets); quantiles are exact, the world's like any other group's."""
+    rows = keep.kept(est.select(F.col("importer").cast("string").alias("importer"), "good", F.col("sigma").cast("double").alias("sigma"), F.col("gamma").cast("double").alias("gamma")))
+    table = rows.groupingSets([["importer"], []], "importer").agg(F.grouping("importer").alias("__all"), F.count("*").alias("n"), F.countDistinct("good").alias("goods"))
+    table = table.select(F.when(F.col("__all") == 1, "World").otherwise(F.col("importer")).alias("importer"), "n", "goods")
+    twice = rows.select(F.explode(F.array("importer", F.lit("World"))).alias("importer"), "sigma", "gamma")
+    g = F.col("gamma")
+    return order.same_keys(table, order.quantiles(twice, ["importer"], {"sigma_median": (F.col("sigma"), 0.5), "gamma_median": (g, 0.5), "gamma_q25": (g, 0.25), "gamma_q75": (g, 0.75)}), ["importer"])
 
 
 def pair_stats(est: DataFrame) -> DataFrame:
@@ -35,11 +37,10 @@ def pair_stats(est: DataFrame) -> DataFrame:
 
 
 def within_pair_summary(est: DataFrame) -> DataFrame:
-    stats = pair_stats(est)
-    aggs = [F.count("*").alias("n_pairs")]
-    for c in ("within_med", "within_sd", "within_mad"):
-        aggs += [F.median(c).alias(f"median_{c}"), pct(c, 0.25).alias(f"q25_{c}"), pct(c, 0.75).alias(f"q75_{c}")]
-    return stats.agg(*aggs)
+    """One row: pairs, and median and quartiles of their medians, deviations and median distances, all in one shuffle."""
+    stats = keep.kept(pair_stats(est))
+    wanted = {f"{n}_{c}": (F.col(c), p) for c in ("within_med", "within_sd", "within_mad") for n, p in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))}
+    return order.same_keys(stats.agg(F.count("*").alias("n_pairs")), order.quantiles(stats, [], wanted), [])
 
 
 def variance_decomposition(est: DataFrame, least: int = 10) -> DataFrame:
@@ -53,12 +54,15 @@ def variance_decomposition(est: DataFrame, least: int = 10) -> DataFrame:
 
 def calibration(est: DataFrame, lam: float, cutoff: float = 20.0) -> DataFrame:
     """One row of diagnostics for a shrinkage strength."""
-    ok = est.filter("gamma > 0")
-    tier = lambda k: F.when(F.count_if(F.col("tier") == k) > 10, F.median(F.when(F.col("tier") == k, F.col("gamma"))))
-    main = ok.agg(F.count("*").alias("n_estimates"), F.avg((F.col("gamma") > cutoff).cast("double")).alias("plateau_share"), tier(1).alias("tier1_gamma_median"), tier(3).alias("tier3_gamma_median"))
-    pairs = pair_stats(est).agg(F.count("*").alias("n_pairs"), F.median("within_mad").alias("within_pair_mad"))
+    ok = keep.kept(est.filter("gamma > 0").select(*CELL, "gamma", "tier"))
+    of = lambda k: F.when(F.col("tier") == k, F.col("gamma"))
+    main = ok.agg(F.count("*").alias("n_estimates"), F.avg((F.col("gamma") > cutoff).cast("double")).alias("plateau_share"), *[F.count(of(k)).alias(f"__n{k}") for k in (1, 3)])
+    main = order.same_keys(main, order.quantiles(ok, [], {f"__m{k}": (of(k), 0.5) for k in (1, 3)}), [])
+    main = main.select("n_estimates", "plateau_share", *[F.when(F.col(f"__n{k}") > 10, F.col(f"__m{k}")).alias(f"tier{k}_gamma_median") for k in (1, 3)])
+    stats = keep.kept(pair_stats(ok))
+    pairs = order.same_keys(stats.agg(F.count("*").alias("n_pairs")), order.quantiles(stats, [], {"within_pair_mad": (F.col("within_mad"), 0.5)}), [])
     one = F.broadcast  # single rows
-    joined = main.join(one(pairs), F.lit(True)).join(one(variance_decomposition(est).select("r_squared")), F.lit(True), "left")
+    joined = main.join(one(pairs), F.lit(True)).join(one(variance_decomposition(ok).select("r_squared")), F.lit(True), "left")
     return joined.select(F.lit(lam).alias("lambda"), "*", F.abs(F.log("tier1_gamma_median") - F.log("tier3_gamma_median")).alias("tier_distinctness"))
 
 
@@ -70,11 +74,13 @@ def shares(df: DataFrame, *keys: str, within: tuple[str, ...] = ()) -> DataFrame
 
 
 def chapter_gamma(est: DataFrame) -> DataFrame:
-    """By two-digit chapter: n, median and quartiles of gamma, and the median over its cells of the spread within a cell."""
-    chapter = F.substring("good", 1, 2).alias("chapter")
-    all_rows = est.filter("gamma > 0").groupBy(chapter).agg(F.count("*").alias("n"), F.median("gamma").alias("gamma_median"), pct("gamma", 0.25).alias("gamma_q25"), pct("gamma", 0.75).alias("gamma_q75"))
-    within = pair_stats(est).groupBy(chapter).agg(F.median("within_mad").alias("within_pair_mad"))
-    return all_rows.join(within, "chapter", "left")
+    """By two-digit chapter: n, median and quartiles of gamma, and median and upper quartile over its cells of the spread
+    within a cell."""
+    rows = keep.kept(est.filter("gamma > 0").select(*CELL, "gamma").withColumn("chapter", F.substring("good", 1, 2)))
+    spread = F.col("within_mad")
+    within = order.quantiles(pair_stats(rows).withColumn("chapter", F.substring("good", 1, 2)), ["chapter"], {"within_pair_mad": (spread, 0.5), "within_pair_mad_q75": (spread, 0.75)})
+    table = order.same_keys(rows.groupBy("chapter").agg(F.count("*").alias("n")), order.quantiles(rows, ["chapter"], quartiles("gamma")), ["chapter"])
+    return order.same_keys(table, within, ["chapter"])
 
 
 def gap_rows(panel: DataFrame) -> DataFrame:
@@ -142,41 +148,51 @@ def composition(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def pairing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """How two sets of gammas agree on their common keys: n, median absolute difference, squared correlation."""
-    both = a.select(*keys, F.col("gamma").alias("ga")).join(b.select(*keys, F.col("gamma").alias("gb")), keys)
-    return both.agg(F.count("*").alias("n"), F.median(F.abs(F.col("ga") - F.col("gb"))).alias("mad"), F.pow(F.corr("ga", "gb"), 2).alias("r_squared"))
+    both = keep.kept(a.select(*keys, F.col("gamma").alias("ga")).join(b.select(*keys, F.col("gamma").alias("gb")), keys).select("ga", "gb"))
+    plain = both.agg(F.count("*").alias("n"), F.pow(F.corr("ga", "gb"), 2).alias("r_squared"))
+    return order.same_keys(plain, order.quantiles(both, [], {"mad": (F.abs(F.col("ga") - F.col("gb")), 0.5)}), [])
 
 
-_METRICS = {
-    "n": lambda: F.count("*").cast("double"), "goods": lambda: F.countDistinct("good").cast("double"), "sigma_median": lambda: F.median("sigma"),
-    "gamma_median": lambda: F.median("gamma"), "gamma_q25": lambda: pct("gamma", 0.25), "gamma_q75": lambda: pct("gamma", 0.75), "plateau": lambda: F.avg((F.col("gamma") > 20).cast("double")),
-}
+def _metrics(df: DataFrame, plain: dict, quantiles: dict, value: str) -> DataFrame:
+    """(metric, value) of one table: plain aggregates, and quantiles of all columns by one shuffle."""
+    rows = keep.kept(df)
+    row = order.same_keys(rows.agg(*[f().alias(m) for m, f in plain.items()]), order.quantiles(rows, [], quantiles), [])
+    return row.unpivot([], [*plain, *quantiles], "metric", value)
+
+
+_METRICS = {"n": lambda: F.count("*").cast("double"), "goods": lambda: F.countDistinct("good").cast("double"), "plateau": lambda: F.avg((F.col("gamma") > 20).cast("double"))}
 
 
 def run_comparison(old: DataFrame, new: DataFrame) -> DataFrame:
     """(metric, old, new, delta) in long form."""
-    long = lambda df, n: df.agg(*[f().alias(m) for m, f in _METRICS.items()]).unpivot([], list(_METRICS), "metric", n)
+    long = lambda df, n: _metrics(df.select("good", "sigma", "gamma"), _METRICS, {"sigma_median": (F.col("sigma"), 0.5)} | quartiles("gamma"), n)
     return long(old, "old").join(long(new, "new"), "metric").withColumn("delta", F.col("new") - F.col("old"))
 
 
 def structural_ratios(est: DataFrame, *keys: str) -> DataFrame:
     """Medians by key of gamma / (1 + gamma), 1 / (sigma - 1) and gamma / ((1 + gamma)(sigma - 1))."""
     g, s = F.col("gamma"), F.col("sigma")
-    return est.groupBy(*keys).agg(F.median(g / (1 + g)).alias("pass_through"), F.median(F.try_divide(F.lit(1.0), s - 1)).alias("markup"), F.median(F.try_divide(g, (1 + g) * (s - 1))).alias("joint"))
+    ratios = {"pass_through": (g / (1 + g), 0.5), "markup": (F.try_divide(F.lit(1.0), s - 1), 0.5), "joint": (F.try_divide(g, (1 + g) * (s - 1)), 0.5)}
+    rows = keep.kept(est.select(*keys, "gamma", "sigma"))
+    return order.same_keys(rows.select(*keys).distinct(), order.quantiles(rows, list(keys), ratios), list(keys))
 
 
 _RUN = {
-    "rows": lambda: F.count("*").cast("double"), "gamma_median": lambda: F.median("gamma"), "gamma_p25": lambda: pct("gamma", 0.25), "gamma_p75": lambda: pct("gamma", 0.75), "gamma_p95": lambda: pct("gamma", 0.95), "gamma_max": lambda: F.max("gamma"),
-    "share_gamma_above_1": lambda: F.avg((F.col("gamma") > 1).cast("double")), "supply_elasticity_median": lambda: F.median(F.try_divide(F.lit(1.0), F.col("gamma"))), "sigma_median": lambda: F.median("sigma"),
-    "share_sigma_at_cap": lambda: F.avg((F.col("sigma") >= 9.999).cast("double")), "gamma_se_median": lambda: F.median("gamma_se"), "share_gamma_se": lambda: F.avg(F.col("gamma_se").isNotNull().cast("double")),
-    "gamma_se_total_median": lambda: F.median("gamma_se_total"), "sigma_se_median": lambda: F.median("sigma_se"), "share_sigma_robust": lambda: F.avg(F.coalesce("sigma_robust", F.lit(False)).cast("double")),
+    "rows": lambda: F.count("*").cast("double"), "gamma_max": lambda: F.max("gamma"), "share_gamma_above_1": lambda: F.avg((F.col("gamma") > 1).cast("double")),
+    "share_sigma_at_cap": lambda: F.avg((F.col("sigma") >= 9.999).cast("double")), "share_gamma_se": lambda: F.avg(F.col("gamma_se").isNotNull().cast("double")),
+    "share_sigma_robust": lambda: F.avg(F.coalesce("sigma_robust", F.lit(False)).cast("double")),
 }
+_RUN_COLUMNS = {"gamma": "double", "sigma": "double", "gamma_se": "double", "gamma_se_total": "double", "sigma_se": "double", "sigma_robust": "boolean"}
 
 
 def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     """(metric, old, new, change) of two stage 2b tables; a column that a table lacks counts as null."""
+    g = F.col("gamma")
+    middle = {"gamma_median": (g, 0.5), "gamma_p25": (g, 0.25), "gamma_p75": (g, 0.75), "gamma_p95": (g, 0.95), "supply_elasticity_median": (F.try_divide(F.lit(1.0), g), 0.5)}
+    middle |= {f"{c}_median": (F.col(c), 0.5) for c in ("sigma", "gamma_se", "gamma_se_total", "sigma_se")}
+
     def long(df, n):
-        have = df.withColumns({c: F.lit(None).cast(t) for c, t in (("gamma_se", "double"), ("gamma_se_total", "double"), ("sigma_se", "double"), ("sigma_robust", "boolean")) if c not in df.columns})
-        return have.agg(*[f().alias(m) for m, f in _RUN.items()]).unpivot([], list(_RUN), "metric", n)
+        return _metrics(df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in _RUN_COLUMNS.items()]), _RUN, middle, n)
 
     return long(old, "old").join(long(new, "new"), "metric").withColumn("change", F.col("new") - F.col("old"))
 
@@ -224,8 +240,8 @@ def spike(est: DataFrame, cap: float = 10.0) -> DataFrame:
 
 def provenance_medians(stage1: DataFrame) -> DataFrame:
     """n, median and quartiles of sigma by how it was found."""
-    named = stage1.withColumn("provenance", X.sigma_provenance(F.col("final_source"), F.col("adjust")))
-    return named.groupBy("provenance").agg(F.count("*").alias("n"), F.median("sigma").alias("sigma_median"), pct("sigma", 0.25).alias("sigma_q25"), pct("sigma", 0.75).alias("sigma_q75"))
+    named = keep.kept(stage1.select(X.sigma_provenance(F.col("final_source"), F.col("adjust")).alias("provenance"), "sigma"))
+    return order.same_keys(named.groupBy("provenance").agg(F.count("*").alias("n")), order.quantiles(named, ["provenance"], quartiles("sigma")), ["provenance"])
 
 
 def pass_rates(stage1: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import keep
+from ..functions import keep, order
 from ..sources import trade as T
 from . import reports as R
 from .panel import Config
@@ -21,20 +21,17 @@ def global_stats(est: DataFrame) -> DataFrame:
         F.count("*").alias("n_estimates"), *[F.countDistinct(c).alias(f"n_{n}") for c, n in (("good", "products"), ("importer", "importers"), ("exporter", "exporters"))],
         F.countDistinct("importer", "good").alias("n_sigma"), F.count("*").alias("n_gamma"), *[f(c).alias(f"{c}_{n}") for c in ("sigma", "gamma") for f, n in ((F.avg, "mean"), (F.stddev, "sd"))], F.avg("opt_tariff").alias("opt_tariff_mean"),
     )
-    out = {}
-    for c in ("sigma", "gamma"):
-        out |= dict(zip((f"{c}_q25", f"{c}_median", f"{c}_q75"), keep.quantiles(rows, c, [0.25, 0.5, 0.75]), strict=True))
-    out["opt_tariff_median"] = keep.quantiles(rows, "opt_tariff", [0.5])[0]
-    away = rows.select(F.abs(F.col("gamma") - F.lit(out["gamma_median"])).alias("d"))
-    out["gamma_mad"] = keep.quantiles(away, "d", [0.5])[0]
-    return plain.withColumns({k: F.lit(v).cast("double") for k, v in out.items()})
+    wanted = R.quartiles("sigma") | R.quartiles("gamma") | {"opt_tariff_median": (F.col("opt_tariff"), 0.5)}
+    return order.same_keys(order.same_keys(plain, order.quantiles(rows, [], wanted), []), order.mads_by(rows, [], "gamma", "gamma_mad"), [])
 
 
 def step_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: medians of two steps, their shifts, and correlations over the flows that both have (more than 10)."""
     have = lambda df: df.filter("sigma is not null and gamma is not null")
     a, b = have(before), have(after)
-    med = {f"step{i}_{c}_median": keep.quantiles(df, c, [0.5])[0] for i, df in ((1, a), (2, b)) for c in ("sigma", "gamma")}
+    both_steps = a.select(F.lit(1).alias("step"), "sigma", "gamma").unionByName(b.select(F.lit(2).alias("step"), "sigma", "gamma"))
+    middle = {r["step"]: r for r in order.quantiles(both_steps, ["step"], {c: (F.col(c), 0.5) for c in ("sigma", "gamma")}).collect()}
+    med = {f"step{i}_{c}_median": middle[i][c] if i in middle else None for i in (1, 2) for c in ("sigma", "gamma")}
     side = lambda df, i: df.select("importer", "exporter", "good", F.col("sigma").alias(f"s{i}"), F.col("gamma").alias(f"g{i}"))
     both = side(a, 1).join(side(b, 2), ["importer", "exporter", "good"])
     out = both.agg(F.count("*").alias("n_matched"), F.corr("s1", "s2").alias("__s"), F.corr("g1", "g2").alias("__g")).withColumns({k: F.lit(v).cast("double") for k, v in med.items()})

@@ -8,7 +8,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keep
+from ..functions import order
 from ..operators import summary as S
 from ..operators.panel import Config, prepare, quality_log, raw_panel, regional_panel
 from ..sources import trade as T
@@ -20,10 +20,10 @@ STAGES = ("1", "2a", "2b", "all")
 
 def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage: str = "all") -> dict[str, DataFrame]:
     """Runs the stages up to ``stage``. With "all", finished tables under ``out`` are reused if they were made with the same
-    settings, region map and input files; a named stage is computed anew and needs the tables before it."""
+    settings, region map and input files (paths, lengths, times); a named stage is computed anew and needs the tables before it."""
     spark = trade.sparkSession
     mapped = regions.agg(F.bit_xor(F.xxhash64("cty_code", "region")), F.count("*")).first()
-    made_of = hashlib.sha256(repr((cfg, tuple(mapped), trade.schema.simpleString(), sorted(trade.inputFiles()))).encode()).hexdigest()[:12]
+    made_of = hashlib.sha256(repr((cfg, tuple(mapped), trade.schema.simpleString(), T.files_fingerprint(trade))).encode()).hexdigest()[:12]
 
     def step(name: str, build, redo: bool) -> DataFrame:
         path = f"{out}/{name}-{made_of}"
@@ -35,7 +35,7 @@ def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage:
     found = {"stage1": step("stage1", lambda: S1.run_stage1(raw, cfg), stage == "1")}
     clean = S1.clean_sigma(found["stage1"])
     priors = S1.good_priors(found["stage1"])
-    middle = {"s": keep.quantiles(clean, "sigma", [0.5])[0], "g": keep.quantiles(clean, "gamma", [0.5])[0]}
+    middle = order.quantiles(clean, [], {"s": (F.col("sigma"), 0.5), "g": (F.col("gamma"), 0.5)}).first()
     if stage == "1" or middle["s"] is None:
         return found
 

@@ -29,8 +29,7 @@ def read_trade(spark: SparkSession, path: str, yearly: str = YEARLY) -> DataFram
     if kind == ".dta":
         return read_stata(spark, path)
     for pattern in (yearly, "*.csv"):
-        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
-        if not found.isEmpty():
+        if _holds_files(spark, path, pattern):
             if pattern != yearly:
                 warnings.warn(f"no file in {path} is named {yearly}; reading all CSV files", stacklevel=2)
             return spark.read.schema(TRADE_SCHEMA).option("header", True).option("pathGlobFilter", pattern).csv(path)
@@ -39,6 +38,29 @@ def read_trade(spark: SparkSession, path: str, yearly: str = YEARLY) -> DataFram
     raise FileNotFoundError(f"no CSV file in {path}")
 
 
+def _missing(e: Exception) -> bool:
+    """Whether Spark says that a path is not there (it has no exception class of its own for that)."""
+    return "PATH_NOT_FOUND" in str(e)
+
+
+def _holds_files(spark: SparkSession, path: str, pattern: str) -> bool:
+    try:
+        return not spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").isEmpty()
+    except Exception as e:
+        if _missing(e):
+            return False
+        raise
+
+
+def files_fingerprint(df: DataFrame) -> tuple[int, int]:
+    """(hash, number) of the files that a table reads: their paths, lengths and modification times. No file is opened."""
+    paths = df.inputFiles()
+    if not paths:
+        return (0, 0)
+    listed = df.sparkSession.read.format("binaryFile").load(paths).select("path", "length", "modificationTime").distinct()
+    return tuple(listed.agg(F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0)), F.count("*")).first())
+
+
 def read_stata(spark: SparkSession, path: str) -> DataFrame:
     """One or more Stata files of one layout, each read inside a task in chunks; text stays text, numbers become double."""
     import io
@@ -140,8 +162,8 @@ def stage_exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished stage table is there, in whatever store Spark reads."""
     try:
         return bool(spark.read.parquet(path).columns)
-    except Exception as e:  # a missing path has no class of its own in PySpark
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+    except Exception as e:
+        if _missing(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return False
         raise
 
