@@ -214,10 +214,11 @@ def tag(tokens: Tokens, w: np.ndarray) -> np.ndarray:
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, toxic) of the rows whose labels may be learned."""
+    """(id, text, toxic) of the rows whose labels may be learned. Texts cross the network once, whatever the labels' size."""
     known = labels.filter("toxic is not null").select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null")
     known = known.filter(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(~held_out("id"))
+    return texts.join(known.hint("shuffle_hash"), "id")
 
 
 def held_out(id_col: str):
@@ -270,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts count once) are toxic, every other token is not. The weights minimise the ridge-penalised negative log likelihood of the sample's tags;
     each step is one pass in which tasks add up gradients of their own texts. Slope and offset are fitted to every fourth
     text of the sample, left out before, weighted to the classes' true numbers."""
-    known = _training(docs, labels, id_col, text_col).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    known = C.kept_table(_training(docs, labels, id_col, text_col).withColumn("toxic", (F.col("toxic") > 0).cast("int")))
     one_each = known.groupBy(F.xxhash64("text").alias("version"), "toxic").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     one_each = C.kept_table(one_each)
     n = {r["toxic"]: (r["n"], r["texts"]) for r in one_each.groupBy("toxic").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
