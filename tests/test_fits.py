@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from tests.one_cell import Stage2
 from tidegauge.plans import cell_fit as K
 
 
@@ -113,7 +114,7 @@ def test_degrees_of_freedom_and_rows_of_the_tables():
 
 
 def problem(rng, j=6, m=5, lam=0.1, prior=math.log(0.7)):
-    return K.Stage2(3.4, np.abs(rng.normal(0.3, 0.1, j)), rng.normal(0.2, 0.3, (j, 5)), rng.uniform(0.5, 2, j), np.abs(rng.normal(0.3, 0.1, m)), rng.normal(0.1, 0.2, (m, 9)), np.arange(m), np.full(m, 3.0), np.full(m, 0.9), prior, lam)
+    return Stage2(3.4, np.abs(rng.normal(0.3, 0.1, j)), rng.normal(0.2, 0.3, (j, 5)), rng.uniform(0.5, 2, j), np.abs(rng.normal(0.3, 0.1, m)), rng.normal(0.1, 0.2, (m, 9)), np.arange(m), np.full(m, 3.0), np.full(m, 0.9), prior, lam)
 
 
 def test_derivatives_equal_differences():

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.one_cell import Stage2
 from tests.test_fits import cell, simulate
 from tests.test_pipeline import FLOW, synthetic
 from tidegauge.functions import columns as X
@@ -95,7 +96,7 @@ def test_fixed_sigma_and_joint_fits_are_minima(spark):
 
 def test_a_fit_that_cannot_go_on_is_not_called_converged():
     y = np.array([1.0, 2.0])
-    p = K.Stage2(3.0, y, np.ones((2, 5)), np.ones(2), np.zeros(0), np.zeros((0, 9)), np.zeros(0, int), np.zeros(0), np.zeros(0), float("nan"), 0.0)
+    p = Stage2(3.0, y, np.ones((2, 5)), np.ones(2), np.zeros(0), np.zeros((0, 9)), np.zeros(0, int), np.zeros(0), np.zeros(0), float("nan"), 0.0)
     p.value = lambda gk, gj, first=[]: first.append(1) or float(len(first))  # noqa: B006  every step looks worse
     assert p.fit(0.7)[3] == 52
 

@@ -12,7 +12,7 @@ from ..functions import columns as X
 from ..functions import keep
 from ..operators import moments as M
 from ..operators.panel import Config, assign_regions, viable_rows
-from .cell_fit import Stage2, joint
+from .batch_fit import Batch
 
 COLUMNS = (
     "importer", "exporter", "good", "sigma", "gamma", "gamma_se", "gamma_se_status", "gamma_exposure", "gamma_shrink_wt", "gamma_se_total", "sigma_robust", "sigma_se",
@@ -49,76 +49,111 @@ def cell_inputs(panel: DataFrame, cfg: Config, sigma: DataFrame, sigma_default:
 
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+#: Rows of whole cells that are solved together.
+BATCH_ROWS = 20_000
 
 
-def _by_cell(inputs: DataFrame, one, schema: str) -> DataFrame:
-    """one(key, numpy columns) -> list of dicts, for each (importer, good), its exporters in order of tier and code. Cells
-    are dealt into a fixed number of partitions, so that adaptive execution does not merge fits by their few bytes."""
+def _in_batches(inputs: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve(columns, of) -> columns`` for batches of whole cells; of: the cell number of each row. Cells are dealt by key,
+    sorted and streamed; a task holds one batch, and a cell at least. Their number of partitions is fixed, so that
+    adaptive execution does not merge fits by their few bytes."""
     fields = [c.split() for c in schema.split(", ")]
 
-    def fit(key, rows):
-        rows = rows.sort_by([("tier", "ascending"), ("exporter", "ascending")])
-        out = one(tuple(k.as_py() for k in key), {c: rows[c].to_numpy() for c in rows.column_names})
-        plain = lambda v: v.item() if hasattr(v, "item") else v
-        return pa.table([pa.array([plain(r.get(n)) for r in out], _KINDS[k]) for n, k in fields], names=[n for n, _ in fields])
-
-    solved = inputs.repartition(keep.width(inputs.sparkSession), "importer", "good").groupBy("importer", "good").applyInArrow(fit, schema)
-    return solved.select(*[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in solved.dtypes])
-
-
-def _problem(cell: dict, rows: np.ndarray, side: np.ndarray, weight: np.ndarray, prior: float, lam: float, numeric: bool) -> Stage2:
-    """The cell's second-stage problem over these rows; side: those of them with an export side."""
-    col = lambda c: cell[c][rows].astype(float)
+    def solved(table):
+        columns = {c: table[c].to_numpy(zero_copy_only=False) for c in table.column_names}
+        change = (columns["importer"][1:] != columns["importer"][:-1]) | (columns["good"][1:] != columns["good"][:-1])
+        out = solve(columns, np.r_[0, np.cumsum(change)])
+        return pa.RecordBatch.from_arrays([pa.array(out[n], _KINDS[k], from_pandas=True) for n, k in fields], names=[n for n, _ in fields])
+
+    def part(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BATCH_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                last = (table["importer"].to_numpy() == table["importer"][-1].as_py()) & (table["good"].to_numpy() == table["good"][-1].as_py())
+                cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+                if cut:
+                    yield solved(table.slice(0, cut))
+                held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        if rows:
+            yield solved(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = inputs.repartition(keep.width(inputs.sparkSession), "importer", "good").sortWithinPartitions("importer", "good", "tier", "exporter")
+    return dealt.mapInArrow(part, schema)
+
+
+def _problem(cols: dict, rows: np.ndarray, of: np.ndarray, side: np.ndarray, weight: np.ndarray, heads: np.ndarray, prior: np.ndarray, lam, numeric: bool = False) -> Batch:
+    """The second-stage problems over these rows, ``of`` their cell; side: those of them with an export side; heads: a row
+    of each cell."""
+    col = lambda c: cols[c][rows].astype(float)
     many = lambda cs: np.column_stack([col(c) for c in cs])
-    return Stage2(
-        float(cell["sigma"][0]), col("imp_y"), many(M.IMPORT_MOMENTS[1:]), weight, col("exp_y")[side], many(M.EXPORT_MOMENTS[1:])[side], side, col("sv")[side], col("gv")[side], prior, lam, numeric,
-    )
+    return Batch(of, cols["sigma"][heads].astype(float), col("imp_y"), many(M.IMPORT_MOMENTS[1:]), weight, side, col("exp_y")[side], many(M.EXPORT_MOMENTS[1:])[side], col("sv")[side], col("gv")[side], prior, lam, numeric)
 
 
-def solve_cells(inputs: DataFrame, lam: float, gradient: str = "analytic") -> DataFrame:
-    """Fits each cell; the reference exporter is returned with tier 0, exporters of tier 3 with the prior (else the
-    median of the cell's estimates), a cell with only tier 3 with the prior throughout, or nothing without one."""
+def solve_cells(inputs: DataFrame, lam: float | str, gradient: str = "analytic") -> DataFrame:
+    """Fits every cell; the reference exporter is returned with tier 0, exporters of tier 3 with the prior (else the
+    median of the cell's estimates), a cell with only tier 3 with the prior throughout, or nothing without one. Cells that
+    a descent can't finish get a second try without derivatives. lam: a number, or a column that is constant by cell."""
 
-    def one(key, cell):
-        (imp, good), ref, tiers = key, cell["ref_exporter"][0], cell["tier"]
-        sigma, prior = float(cell["sigma"][0]), float(cell["ln_gamma_prior"].astype(float)[0])
-        blank = {"importer": imp, "good": good, "ref_exporter": ref, "sigma": sigma}
+    def solve(cols, of):
+        heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        tiers, prior = cols["tier"].astype(int), cols["ln_gamma_prior"][heads].astype(float)
         est, rest = np.flatnonzero(tiers < 3), np.flatnonzero(tiers == 3)
-        known = prior == prior
-        left_to_prior = lambda g, who: [blank | {"exporter": e, "tier": t, "gamma": g, "convergence": -1} | ({"gamma_se_status": "tier3_prior"} if len(est) else {}) for e, t in who]
-        if not len(est):
-            return left_to_prior(float(np.exp(prior)), [*[(cell["exporter"][i], 3) for i in rest], (ref, 0)]) if known else []
-        side = np.flatnonzero((tiers[est] == 1) & ~np.isnan(cell["exp_y"].astype(float)[est]))
-        p = _problem(cell, est, side, cell["weight"][est].astype(float), prior, lam, gradient == "numeric")
-        gk, gj, value, code = p.fit(float(cell["start"][0]))
-        k = len(gj) + 1
-        if code == 0:
-            se, status, exposure, shrink = p.errors(gk, gj)
-            slope = p.slopes(gk, gj)
-        else:
-            se, status, exposure, shrink, slope = np.full(k, np.nan), ["non_converged"] * k, [None] * k, np.full(k, np.nan), np.full(k, np.nan)
-        who = [(ref, 0, gk), *zip(cell["exporter"][est], tiers[est], gj, strict=True)]
-        out = [
-            blank | {"exporter": e, "tier": t, "gamma": g, "gamma_se": se[i], "gamma_se_status": status[i], "gamma_exposure": exposure[i], "gamma_shrink_wt": shrink[i], "dgamma_dsigma": slope[i], "convergence": code, "obj_value": value}
-            for i, (e, t, g) in enumerate(who)
-        ]
-        return out + left_to_prior(float(np.exp(prior)) if known else float(np.median(gj)), [(cell["exporter"][i], 3) for i in rest])
-
-    return _by_cell(inputs, one, _FIT)
+        fitted = np.unique(of[est])
+        mine = np.searchsorted(fitted, of[est])
+        heads_f = heads[fitted]
+        side = np.flatnonzero((tiers[est] == 1) & ~np.isnan(cols["exp_y"].astype(float)[est]))
+        strength = cols[lam][heads_f].astype(float) if isinstance(lam, str) else lam
+        p = _problem(cols, est, mine, side, cols["weight"][est].astype(float), heads_f, prior[fitted], strength, gradient == "numeric")
+        gk, gj, value, code = p.fit_or_search(cols["start"][heads_f].astype(float))
+        middle = np.full(len(heads), np.nan)
+        middle[fitted] = [np.median(x) for x in np.split(gj, np.flatnonzero(np.diff(mine)) + 1)] if len(est) else []
+        (sk, how_k, ek, wk), (sj, how_j, ej, wj) = p.errors(gk, gj)
+        dk, dj = p.slopes(gk, gj)
+        known, has = ~np.isnan(prior), np.isin(np.arange(len(heads)), fitted)
+        fill = np.where(known, np.exp(prior), middle)
+        rest = rest[has[of[rest]] | known[of[rest]]]  # a cell without estimates and prior has no rows
+        lone = np.flatnonzero(~has & known)
+        good, goods = code == 0, (code == 0)[mine]
+
+        def of_kind(k, j, r, one):
+            """A column over references of fitted cells, estimates, rows left to the prior, references of other cells."""
+            return np.concatenate([np.asarray(x, object) for x in (k, j, r, one)])
+
+        null = lambda at: np.full(len(at), None, object)
+        when = lambda ok, x, other=None: np.where(ok, np.asarray(x, object), other)
+        number = lambda x: when(~np.isnan(x), x)
+        where = np.r_[heads_f, est, rest, heads[lone]]
+        return {c: cols[c][where] for c in ("importer", "good", "ref_exporter")} | {
+            "exporter": of_kind(cols["ref_exporter"][heads_f], cols["exporter"][est], cols["exporter"][rest], cols["ref_exporter"][heads[lone]]),
+            "tier": of_kind(np.zeros(len(fitted), int), tiers[est], np.full(len(rest), 3), np.zeros(len(lone), int)),
+            "sigma": number(cols["sigma"][where].astype(float)), "gamma": of_kind(number(gk), number(gj), number(fill[of[rest]]), number(fill[lone])),
+            "gamma_se": of_kind(when(good, number(sk)), when(goods, number(sj)), null(rest), null(lone)),
+            "gamma_se_status": of_kind(when(good, how_k, "non_converged"), when(goods, how_j, "non_converged"), when(has[of[rest]], np.full(len(rest), "tier3_prior", object)), null(lone)),
+            "gamma_exposure": of_kind(when(good, ek), when(goods, ej), null(rest), null(lone)), "gamma_shrink_wt": of_kind(when(good, number(wk)), when(goods, number(wj)), null(rest), null(lone)),
+            "dgamma_dsigma": of_kind(when(good, number(dk)), when(goods, number(dj)), null(rest), null(lone)),
+            "convergence": of_kind(code, code[mine], np.full(len(rest), -1), np.full(len(lone), -1)), "obj_value": of_kind(value, value[mine], null(rest), null(lone)),
+        }
+
+    return _in_batches(inputs, solve, _FIT)
 
 
 def solve_joint(inputs: DataFrame) -> DataFrame:
     """(importer, exporter, good, sigma, gamma, ref_exporter, convergence, obj_value): sigma and all gammas of a cell in one
     problem, every exporter with its export side, unweighted and without a prior. inputs as for solve_cells."""
 
-    def one(key, cell):
-        rows = np.arange(len(cell["exporter"]))
-        p = _problem(cell, rows, np.flatnonzero(~np.isnan(cell["exp_y"].astype(float))), np.ones(len(rows)), float("nan"), 0.0, False)
-        sigma, gk, gj, value, code = joint(p, float(cell["start"][0]))
-        who = [*zip(cell["exporter"], gj, strict=True), (cell["ref_exporter"][0], gk)]
-        return [{"importer": key[0], "good": key[1], "exporter": e, "sigma": sigma, "gamma": g, "ref_exporter": cell["ref_exporter"][0], "convergence": code, "obj_value": value} for e, g in who]
+    def solve(cols, of):
+        heads, rows = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), np.arange(len(of))
+        p = _problem(cols, rows, of, np.flatnonzero(~np.isnan(cols["exp_y"].astype(float))), np.ones(len(of)), heads, np.full(len(heads), np.nan), 0.0)
+        sigma, gk, gj, value, code = p.joint(cols["start"][heads].astype(float))
+        where, cell = np.r_[rows, heads], np.r_[of, np.arange(len(heads))]
+        return {c: cols[c][where] for c in ("importer", "good", "ref_exporter")} | {
+            "exporter": np.r_[cols["exporter"], cols["ref_exporter"][heads]], "sigma": sigma[cell], "gamma": np.r_[gj, gk], "convergence": code[cell], "obj_value": value[cell],
+        }
 
-    return _by_cell(inputs, one, "importer string, exporter string, good string, sigma double, gamma double, ref_exporter string, convergence int, obj_value double")
+    return _in_batches(inputs, solve, "importer string, exporter string, good string, sigma double, gamma double, ref_exporter string, convergence int, obj_value double")
 
 
 def with_sigma_errors(fits: DataFrame, sigma_se: DataFrame | None) -> DataFrame:
