@@ -213,12 +213,17 @@ def tag(tokens: Tokens, w: np.ndarray) -> np.ndarray:
     return forward_backward(weights[tokens.features()].sum(axis=1) + bias, tokens.heads(), moves)[0]
 
 
-def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, toxic) of the rows whose labels may be learned. Texts cross the network once, whatever the labels' size."""
-    known = labels.filter("toxic is not null").select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null")
-    known = known.filter(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(~held_out("id"))
-    return texts.join(known.hint("shuffle_hash"), "id")
+def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, known). known: (id, version, toxic, n), a row of each text and label among the rows whose labels may be
+    learned, n rows being equal to it; texts: (id, version, text, toxic) of these rows. Ids and hashes meet the labels first,
+    so texts cross the network once, whatever the sizes."""
+    said = labels.filter("toxic is not null").select(F.col(id_col).cast("long").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    said = said.filter(F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("id").isNotNull() & ~held_out("id"))
+    rows = rows.withColumn("version", F.xxhash64("text"))
+    joined = rows.select("id", "version").join(said.hint("shuffle_hash"), "id")
+    known = C.kept_table(joined.groupBy("version", "toxic").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    return C.kept_table(rows.join(known.select("id", "version", "toxic").hint("shuffle_hash"), ["id", "version"])), known
 
 
 def held_out(id_col: str):
@@ -271,24 +276,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts count once) are toxic, every other token is not. The weights minimise the ridge-penalised negative log likelihood of the sample's tags;
     each step is one pass in which tasks add up gradients of their own texts. Slope and offset are fitted to every fourth
     text of the sample, left out before, weighted to the classes' true numbers."""
-    known = C.kept_table(_training(docs, labels, id_col, text_col).withColumn("toxic", (F.col("toxic") > 0).cast("int")))
-    one_each = known.groupBy(F.xxhash64("text").alias("version"), "toxic").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    one_each = C.kept_table(one_each)
-    n = {r["toxic"]: (r["n"], r["texts"]) for r in one_each.groupBy("toxic").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
+    texts, known = _training(docs, labels, id_col, text_col)
+    n = {r["toxic"]: (r["n"], r["texts"]) for r in known.groupBy("toxic").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
     (n1, texts1), (n0, texts0) = n.get(1, (0, 0)), n.get(0, (0, 0))
     if not n1 or not n0:
         return None, 0.0, math.log((n1 + 0.5) / (n0 + 0.5))
-    order = F.xxhash64("id")
-    ids = one_each.select("id", "toxic").distinct()
-    known = known.join(ids, ["id", "toxic"], "left_semi")
-    picked = ids.filter("toxic > 0").orderBy(order, "id").limit(sample).union(ids.filter("toxic <= 0").orderBy(order, "id").limit(sample))
-    chosen = known.select("id", "text", "toxic").join(F.broadcast(picked.select("id")), "id", "left_semi")
-    parts = max(1, min(32, known.sparkSession.sparkContext.defaultParallelism))
+    order = F.xxhash64("id", "version")
+    some = lambda toxic: known.filter(F.col("toxic") == toxic).orderBy(order, "id", "version").limit(sample)
+    picked = some(1).union(some(0)).select("id", "version", "toxic")
+    chosen = texts.join(F.broadcast(picked), ["id", "version", "toxic"], "left_semi")
+    parts = max(1, min(32, docs.sparkSession.sparkContext.defaultParallelism))
     kept = C.kept_table(chosen.withColumn("check", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0).repartition(parts, order))
 
     said = kept.filter("toxic > 0").select("text", "toxic")
     words = word_counts(said).select("word")
-    found = marking_words(word_counts(known), texts1, texts0).join(words, "word", "left_semi").sort("word").collect()
+    found = marking_words(word_counts(texts), texts1, texts0).join(words, "word", "left_semi").sort("word").collect()
     marks, support = np.array([r["word"] for r in found], np.int64), np.array([r["toxic"] for r in found], np.int64)
 
     def coded(batches):
