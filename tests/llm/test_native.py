@@ -239,9 +239,12 @@ def test_small_sources_of_short_texts_meet_their_targets(spark):
     rows = [(i, sentence(rng, 8), "a") for i in range(200)] + [(1000 + i, sentence(rng, 600), "bc"[i % 2]) for i in range(200)] + [(2000 + i, sentence(rng, 3000), "d") for i in range(2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     by = {}
-    for r in mixing.mix(df, shard_words=800, by_source=True).collect():
+    for r in mixing.mix(df, shard_words=800).collect():
         assert 0 <= r.taken <= 3 * r.size
         by.setdefault(r.source, [r.source_size, r.target, 0])[2] += r.taken
     assert by["a"][1] == 3 * by["a"][0]
     for _, target, taken in by.values():
         assert abs(taken - target) <= 64, by
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert_same(mixing.mix(df, shard_words=800).drop("source"), mixing.sql(shard_words=800), con)

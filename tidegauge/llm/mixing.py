@@ -57,7 +57,7 @@ def sainte_lague(df: DataFrame, group: list[str], weight: str, seats: Column, or
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64,
-    repeats: int = 3, shard_words: int = 500_000, seed: str = "mix-1", by_source: bool = False,
+    repeats: int = 3, shard_words: int = 500_000, seed: str = "mix-1",
 ) -> DataFrame:
     """(id, source, size, source_size, target, taken, shard, quota): how many words of each document the mix takes.
 
@@ -66,8 +66,9 @@ def mix(
     (water_fill). Blocks of ``block_words`` go to sources by Sainte-Lague on the targets, then to each source's shards
     by Sainte-Lague on the shard sizes. A shard's documents, in the order of a seeded hash, form a stream of blocks that
     is taken from its start, once around after the other, until the shard's quota is full; so no document is taken
-    more than ``repeats`` times, and reruns agree. Shards follow from the corpus size, so one hot source is spread
-    over many tasks. Null ids (drawn by their texts) and repeated rows are documents of their own; an empty table gives
+    more than ``repeats`` times, and reruns agree. A source has a shard per ``shard_words`` of its own words, so a hot source
+    is spread over many tasks and a small one is not cut to pieces; words of a quota beyond what its shard can give go to
+    the source's shards that have room, in their order. Null ids (drawn by their texts) and repeated rows are documents of their own; an empty table gives
     no rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = C.checkpointed(docs.select(
@@ -76,11 +77,8 @@ def mix(
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.md5(text)))).alias("draw"),
     ))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    shards = F.lit(max(1, -(-total // shard_words)))
-    if by_source:
-        many = C.checkpointed(sized.groupBy("skey").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / shard_words)).alias("shards")))
-        sized, shards = sized.join(F.broadcast(many), "skey"), F.col("shards")
-    sized = sized.withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % shards)
+    many = C.checkpointed(sized.groupBy("skey").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / shard_words)).alias("shards")))
+    sized = sized.join(many, "skey").withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % F.col("shards"))
     cells = C.checkpointed(sized.groupBy("skey", "shard").agg(F.first("source").alias("source"), F.sum("size").alias("shard_size")))
     sources = cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum("shard_size").alias("source_size"))
     sources = sources.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))).withColumn("weight", (F.col("rank") - 1) % 3 + 1)
@@ -88,12 +86,11 @@ def mix(
     targets = sainte_lague(targets, ["all"], "target", F.lit((2 * total + block_words) // (2 * block_words)), ["rank"], "blocks")
     targets = C.checkpointed(targets.select("skey", "source_size", "target", "blocks"))
     quotas = sainte_lague(cells.drop("source").join(targets, "skey"), ["skey"], "shard_size", F.col("blocks"), ["shard"], "quota").withColumn("wanted", F.col("quota") * block_words)
-    if by_source:
-        room = repeats * F.col("shard_size") - F.col("wanted")
-        over, spare = F.greatest(-room, F.lit(0)), F.greatest(room, F.lit(0))
-        whole = W.partitionBy("skey")
-        ahead = F.coalesce(F.sum(spare).over(whole.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        quotas = quotas.withColumn("wanted", F.col("wanted") - over + F.greatest(F.lit(0), F.least(spare, F.sum(over).over(whole) - ahead)))
+    room = repeats * F.col("shard_size") - F.col("wanted")
+    over, spare = F.greatest(-room, F.lit(0)), F.greatest(room, F.lit(0))
+    whole = W.partitionBy("skey")
+    ahead = F.coalesce(F.sum(spare).over(whole.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    quotas = quotas.withColumn("wanted", F.col("wanted") - over + F.greatest(F.lit(0), F.least(spare, F.sum(over).over(whole) - ahead)))
     quotas = quotas.withColumn("rounds", F.when(F.col("shard_size") > 0, F.least(F.floor(F.col("wanted") / F.nullif("shard_size", F.lit(0))), F.lit(repeats))).otherwise(0).cast("long"))
     quotas = quotas.withColumn("rest", F.when(F.col("rounds") >= repeats, 0).otherwise(F.col("wanted") - F.col("rounds") * F.col("shard_size")).cast("long"))
     stream = W.partitionBy("skey", "shard").orderBy("draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
@@ -110,8 +107,9 @@ def sql(docs: str = "documents", block: int = 64, repeats: int = 3, shard_words:
     return f"""
 WITH RECURSIVE z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+'))::BIGINT AS size,
   md5('{seed}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS draw FROM {docs}),
-tot AS (SELECT coalesce(sum(size), 0)::BIGINT AS t, greatest(1, ceil(coalesce(sum(size), 0) / {shard_words}.0))::BIGINT AS shards FROM z),
-d AS (SELECT z.*, coalesce('s' || source, 'n') AS skey, (('0x' || substr(draw, 1, 8))::BIGINT) % (SELECT shards FROM tot) AS shard FROM z),
+tot AS (SELECT coalesce(sum(size), 0)::BIGINT AS t FROM z),
+ds AS (SELECT z.*, coalesce('s' || source, 'n') AS skey, greatest(1, ceil(sum(size) OVER (PARTITION BY source) / {shard_words}.0))::BIGINT AS shards FROM z),
+d AS (SELECT *, (('0x' || substr(draw, 1, 8))::BIGINT) % shards AS shard FROM ds),
 s0 AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY skey),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s0),
 s2 AS (SELECT *, (rank - 1) % 3 + 1 AS weight, {repeats} * source_size AS cap FROM s1),
@@ -133,10 +131,13 @@ cb AS (SELECT c.*, b.source_size, b.target, b.blocks FROM c JOIN b USING (skey))
 cq AS (SELECT skey, shard, row_number() OVER (PARTITION BY skey ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC, shard, k) AS r, blocks
   FROM (SELECT *, unnest(range(blocks + 1)) AS k FROM cb WHERE shard_size > 0)),
 u AS (SELECT cb.*, (SELECT count(*) FROM cq WHERE cq.skey = cb.skey AND cq.shard = cb.shard AND cq.r <= cq.blocks) AS quota FROM cb),
-v AS (SELECT *, CASE WHEN shard_size > 0 THEN least((quota * {block}) // shard_size, {repeats}) ELSE 0 END AS rounds FROM u),
+o AS (SELECT *, greatest(0, quota * {block} - {repeats} * shard_size) AS over, greatest(0, {repeats} * shard_size - quota * {block}) AS spare FROM u),
+x AS (SELECT *, quota * {block} - over + greatest(0, least(spare, sum(over) OVER (PARTITION BY skey)
+  - coalesce(sum(spare) OVER (PARTITION BY skey ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS wanted FROM o),
+v AS (SELECT *, CASE WHEN shard_size > 0 THEN least(wanted // shard_size, {repeats}) ELSE 0 END AS rounds FROM x),
 p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY skey, shard ORDER BY draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM d)
 SELECT p.doc_id, p.size, v.source_size, v.target,
-  (v.rounds * p.size + greatest(0, least(p.size, CASE WHEN v.rounds >= {repeats} THEN 0 ELSE v.quota * {block} - v.rounds * v.shard_size END - p.at)))::BIGINT AS taken,
+  (v.rounds * p.size + greatest(0, least(p.size, CASE WHEN v.rounds >= {repeats} THEN 0 ELSE v.wanted - v.rounds * v.shard_size END - p.at)))::BIGINT AS taken,
   p.shard, v.quota::BIGINT AS quota
 FROM p JOIN v USING (skey, shard)
 """
