@@ -73,7 +73,7 @@ def test_search_finds_the_minimum_and_never_rises():
     assert (v[code == 0] <= value[code == 0] * (1 + 1e-5) + 1e-7).all()  # a descent may end in a worse local minimum
     assert np.allclose(batch.value(k, j), v, rtol=1e-9)
     stuck = batch.take(np.arange(batch.cells) < 9)
-    stuck.fit = lambda start: (gk[:9] * 3, gj[batch.of < 9] * 3, stuck.value(gk[:9] * 3, gj[batch.of < 9] * 3), np.full(9, 52))
+    stuck.fit = lambda start, rows=None: (gk[:9] * 3, gj[batch.of < 9] * 3, stuck.value(gk[:9] * 3, gj[batch.of < 9] * 3), np.full(9, 52))
     worse = stuck.fit(None)[2]
     k, j, v, code = stuck.fit_or_search(starts[:9])
     assert (v <= worse).all() and (v < worse).any() and (code == 0).all() and np.allclose(stuck.value(k, j), v)
@@ -91,8 +91,13 @@ def test_cells_cut_into_batches_give_the_same_rows(spark, monkeypatch):
     cut = S2.solve_cells(inputs.coalesce(1), 0.1).toPandas().sort_values(key, ignore_index=True)
     assert len(whole) > 10
     pd.testing.assert_frame_equal(whole, cut, rtol=1e-6)
-    from pyspark.sql import functions as F
-
-    by_column = S2.solve_cells(inputs.withColumn("lam", F.lit(0.1)), "lam").toPandas().sort_values(key, ignore_index=True)
-    pd.testing.assert_frame_equal(whole, by_column, rtol=1e-9)
+    monkeypatch.undo()
+    path = S2.solve_path(inputs, [0.02, 0.1, 0.5])
+    for lam in (0.02, 0.1, 0.5):  # each as if fitted alone, from its own start
+        alone = S2.solve_cells(inputs, lam).toPandas().sort_values(key, ignore_index=True)
+        along = path.filter(f"lambda = {lam}").drop("lambda").toPandas().sort_values(key, ignore_index=True)
+        pd.testing.assert_frame_equal(alone[["gamma", "obj_value", "convergence", "tier"]], along[["gamma", "obj_value", "convergence", "tier"]], rtol=1e-3)
+    rows = {r["lambda"]: r for r in S2.lambda_sweep(inputs, [0.1, 0.5]).collect()}
+    gammas = whole[whole.gamma > 0].gamma
+    assert set(rows) == {0.1, 0.5} and rows[0.1].n_estimates == len(gammas) and math.isclose(rows[0.1].plateau_share, (gammas > 20).mean())
     assert S2.solve_cells(inputs.limit(0), 0.1).count() == 0

@@ -531,11 +531,7 @@ def _(s, d):
 def _(s, d):
     panel, sigma, priors, gamma = _stage2_inputs(s, d)
     inputs = keep.kept(S2.cell_inputs(keep.kept(panel), CFG, sigma, 2.88, priors, gamma, 0.69, None, 0.69))
-    out = None
-    for lam in (0.05, 0.1, 0.5):
-        row = R.calibration(keep.kept(S2.solve_cells(inputs, lam)), lam)
-        out = row if out is None else out.unionByName(row)
-    return out
+    return S2.lambda_sweep(inputs, [0.05, 0.1, 0.5])
 
 
 @query("stage1_both")

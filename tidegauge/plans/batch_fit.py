@@ -81,16 +81,17 @@ class Batch:
         x0 = np.where(s != 0, (g0 - self.by_cell(b * g / d)) / np.where(s != 0, s, 1), NAN)
         return x0, (g - b * x0[self.of]) / d
 
-    def fit(self, start: np.ndarray, rounds: int = 200, tol: float = 1e-10):
-        """Damped Gauss-Newton steps in log gamma, every cell with its own damping and end: (gamma_k by cell, gamma_j by
+    def fit(self, start: np.ndarray, start_rows: np.ndarray | None = None, rounds: int = 200, tol: float = 1e-10):
+        """Damped Gauss-Newton steps in log gamma from one start by cell, or from one by cell and one by row, every cell
+        with its own damping and end: (gamma_k by cell, gamma_j by
         row, value, code). Code 0: the steps or the slope have died down; 1: the rounds are over; 52: no step helps any
         more though the slope is steep. Cells that are done leave the arrays."""
         with np.errstate(all="ignore"):
-            return self._fit(np.log(np.maximum(start, 1e-6)), rounds, tol)
+            logs = lambda x: np.log(np.maximum(x, 1e-6))
+            return self._fit(logs(start), logs(start[self.of] if start_rows is None else start_rows), rounds, tol)
 
-    def _fit(self, tk, rounds, tol):
+    def _fit(self, tk, tj, rounds, tol):
         p, cells, rows = self, np.arange(self.cells), np.arange(self.rows)
-        tj = tk[self.of]
         out_k, out_j, out_v, code = tk.copy(), tj.copy(), np.empty(self.cells), np.ones(self.cells, int)
         damp, best = np.full(self.cells, 1e-3), p.value(np.exp(tk), np.exp(tj))
         out_v[:] = best
@@ -175,10 +176,10 @@ class Batch:
             tk, value = closing(self.cells, outer)
             return np.exp(tk), np.exp(inner(tk)[0]), value
 
-    def fit_or_search(self, start: np.ndarray):
+    def fit_or_search(self, start: np.ndarray, start_rows: np.ndarray | None = None):
         """fit, then a second try by ``search`` for the cells that it left with code 52; the better of both counts as
         converged, so a cell's value never rises."""
-        gk, gj, value, code = self.fit(start)
+        gk, gj, value, code = self.fit(start, start_rows)
         again = code == 52
         if again.any():
             k, j, v = self.take(again).search()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import Window as W
 from ..functions import columns as X
 from ..functions import keep
 from ..operators import moments as M
+from ..operators import reports as R
 from ..operators.panel import Config, assign_regions, viable_rows
 from .batch_fit import Batch
 
@@ -92,10 +95,16 @@ def _problem(cols: dict, rows: np.ndarray, of: np.ndarray, side: np.ndarray, wei
     return Batch(of, cols["sigma"][heads].astype(float), col("imp_y"), many(M.IMPORT_MOMENTS[1:]), weight, side, col("exp_y")[side], many(M.EXPORT_MOMENTS[1:])[side], col("sv")[side], col("gv")[side], prior, lam, numeric)
 
 
-def solve_cells(inputs: DataFrame, lam: float | str, gradient: str = "analytic") -> DataFrame:
-    """Fits every cell; the reference exporter is returned with tier 0, exporters of tier 3 with the prior (else the
+def solve_cells(inputs: DataFrame, lam: float, gradient: str = "analytic") -> DataFrame:
+    """solve_path for one shrinkage strength."""
+    return solve_path(inputs, [lam], gradient).drop("lambda")
+
+
+def solve_path(inputs: DataFrame, lams: list[float], gradient: str = "analytic") -> DataFrame:
+    """Fits every cell for every strength (column lambda), in one pass: the strongest shrinkage first, each weaker one from
+    the solution of the one before, which lies near. The reference exporter is returned with tier 0, exporters of tier 3 with the prior (else the
     median of the cell's estimates), a cell with only tier 3 with the prior throughout, or nothing without one. Cells that
-    a descent can't finish get a second try without derivatives. lam: a number, or a column that is constant by cell."""
+    a descent can't finish get a second try without derivatives."""
 
     def solve(cols, of):
         heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -105,16 +114,23 @@ def solve_cells(inputs: DataFrame, lam: float | str, gradient: str = "analytic")
         mine = np.searchsorted(fitted, of[est])
         heads_f = heads[fitted]
         side = np.flatnonzero((tiers[est] == 1) & ~np.isnan(cols["exp_y"].astype(float)[est]))
-        strength = cols[lam][heads_f].astype(float) if isinstance(lam, str) else lam
-        p = _problem(cols, est, mine, side, cols["weight"][est].astype(float), heads_f, prior[fitted], strength, gradient == "numeric")
-        gk, gj, value, code = p.fit_or_search(cols["start"][heads_f].astype(float))
+        known, has = ~np.isnan(prior), np.isin(np.arange(len(heads)), fitted)
+        rest = rest[has[of[rest]] | known[of[rest]]]  # a cell without estimates and prior has no rows
+        at, found = (cols["start"][heads_f].astype(float), None), []
+        for lam in sorted(set(lams), reverse=True):
+            p = _problem(cols, est, mine, side, cols["weight"][est].astype(float), heads_f, prior[fitted], lam, gradient == "numeric")
+            solved = p.fit_or_search(*at)
+            at = solved[:2]
+            found.append(rows_of(cols, of, heads, tiers, prior, est, rest, fitted, mine, known, has, p, *solved) | {"lambda": np.full(len(heads_f) + len(est) + len(rest) + (~has & known).sum(), lam)})
+        return {c: np.concatenate([f[c] for f in found]) for c in found[0]}
+
+    def rows_of(cols, of, heads, tiers, prior, est, rest, fitted, mine, known, has, p, gk, gj, value, code):
+        heads_f = heads[fitted]
         middle = np.full(len(heads), np.nan)
         middle[fitted] = [np.median(x) for x in np.split(gj, np.flatnonzero(np.diff(mine)) + 1)] if len(est) else []
         (sk, how_k, ek, wk), (sj, how_j, ej, wj) = p.errors(gk, gj)
         dk, dj = p.slopes(gk, gj)
-        known, has = ~np.isnan(prior), np.isin(np.arange(len(heads)), fitted)
         fill = np.where(known, np.exp(prior), middle)
-        rest = rest[has[of[rest]] | known[of[rest]]]  # a cell without estimates and prior has no rows
         lone = np.flatnonzero(~has & known)
         good, goods = code == 0, (code == 0)[mine]
 
@@ -137,7 +153,15 @@ def solve_cells(inputs: DataFrame, lam: float | str, gradient: str = "analytic")
             "convergence": of_kind(code, code[mine], np.full(len(rest), -1), np.full(len(lone), -1)), "obj_value": of_kind(value, value[mine], null(rest), null(lone)),
         }
 
-    return _in_batches(inputs, solve, _FIT)
+    return _in_batches(inputs, solve, f"{_FIT}, lambda double")
+
+
+def lambda_sweep(inputs: DataFrame, lams: list[float], cutoff: float = 20.0) -> DataFrame:
+    """One row of diagnostics (reports.calibration) for each shrinkage strength. inputs as for solve_cells; all strengths
+    come from one pass over the cells."""
+    fits = keep.kept(solve_path(inputs, lams))
+    rows = [R.calibration(fits.filter(F.col("lambda") == lam), lam, cutoff) for lam in lams]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def solve_joint(inputs: DataFrame) -> DataFrame:
