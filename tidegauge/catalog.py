@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
-from .functions import keep
+from .functions import keep, order
 from .operators import census as N
 from .operators import feenstra as H
 from .operators import moments as M
 from .operators import panel as P
 from .operators import reports as R
+from .operators import selection as L
 from .operators import summary as S
 from .plans import bootstrap as B
 from .plans import stage1 as S1
@@ -699,3 +700,72 @@ def _(s, d):
     listed = f.filter("importer < 20").withColumns({"sha256": F.when(i % 6 == 0, "PLACEHOLDER").when(i % 6 == 1, F.concat(F.upper("sha256"), F.lit(" "))).otherwise(F.col("sha256")), "size_bytes": F.when(i % 6 == 2, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))})
     present = f.filter("importer > 3").withColumn("sha256", F.when(i % 6 == 3, "x").otherwise(F.col("sha256")))
     return T.verify_manifest(listed, present)
+
+
+_MAIN = "gamma_se_status = 'ok' AND gamma_se < 0.5 * gamma"
+
+
+@query("cv_filter_tiers", f"""WITH {_EST}, x AS (SELECT sigma, gamma, CASE WHEN {_MAIN} AND final_source = 'hliml' AND (importer + exporter) % 9 >= 5 THEN 4 WHEN {_MAIN} AND final_source = 'hliml' THEN 3 WHEN {_MAIN} THEN 2 ELSE 1 END AS top FROM est)
+ SELECT k::INT AS cv_tier, count(*) AS n, round(median(sigma), 6) AS sigma_median, round(median(gamma), 6) AS gamma_median FROM x, range(1, 5) AS r(k) WHERE k <= top GROUP BY k""")
+def _(s, d):
+    return L.cv_tiers(estimates(s, d).withColumn("gamma_exposure", (F.col("importer") + F.col("exporter")) % 9))
+
+
+@query("weighted_spearman", f"""WITH {_EST}, x AS (SELECT sigma AS a, gamma AS b, (1 + importer % 5)::DOUBLE AS w FROM est WHERE exporter > 2),
+ y AS (SELECT w, sum(w) OVER (ORDER BY a) - sum(w) OVER (PARTITION BY a) / 2 AS ra, sum(w) OVER (ORDER BY b) - sum(w) OVER (PARTITION BY b) / 2 AS rb FROM x),
+ m AS (SELECT sum(w * ra) / sum(w) AS ma, sum(w * rb) / sum(w) AS mb FROM y)
+ SELECT count(*) AS n, round(sum(w * (ra - ma) * (rb - mb)) / sqrt(sum(w * (ra - ma) ** 2) * sum(w * (rb - mb) ** 2)), 6) AS spearman FROM y, m""")
+def _(s, d):
+    return order.weighted_spearman(estimates(s, d).filter("exporter > 2").withColumn("w", (1 + F.col("importer") % 5).cast("double")), "sigma", "gamma", "w")
+
+
+@query("ridge_analysis")
+def _(s, d):
+    est = estimates(s, d).withColumns({"gamma_exposure": F.lit(5), "good": F.concat(F.lpad(((F.col("importer") * 3 + F.col("exporter")) % 4 * 25 + 3).cast("string"), 2, "0"), F.substring("good", 3, 2)), "region": F.concat(F.lit("R"), (F.col("exporter") % 3).cast("string"))})
+    return L.ridge_analysis(est)
+
+
+_ROUTE_SQL = " UNION ALL ".join(f"SELECT 'routing', '{name}', count(*) FILTER (WHERE adjust = {code}), count(*) FROM z" for code, name in R.ROUTES.items())
+_STATUS_SQL = " UNION ALL ".join(f"SELECT 'status', '{x}', count(*) FILTER (WHERE status = '{x}'), count(*) FROM z" for x in R.STATUSES)
+
+
+@query("stage1_report", f"""WITH {_BOTH}, z AS (SELECT importer, good, status, CASE WHEN status = 'ok' THEN adjust END AS adjust, gamma / 1000 - 0.0012::DOUBLE AS omega, f > 4 AS stockyogo_pass, CASE WHEN nx % 3 > 0 THEN f > 6 END AS sargan_pass FROM bc)
+ SELECT 'size' AS section, 'cells' AS metric, count(*) AS n, count(*) AS denominator FROM z UNION ALL SELECT 'size', 'products', count(DISTINCT good), count(*) FROM z UNION ALL SELECT 'size', 'importers', count(DISTINCT importer), count(*) FROM z
+ UNION ALL SELECT 'tests', 'stockyogo_pass', count(*) FILTER (WHERE stockyogo_pass), count(stockyogo_pass) FROM z UNION ALL SELECT 'tests', 'sargan_pass', count(*) FILTER (WHERE sargan_pass), count(sargan_pass) FROM z
+ UNION ALL {_ROUTE_SQL} UNION ALL SELECT 'routing', 'pre_discard', count(*) FILTER (WHERE adjust IS NULL), count(*) FROM z UNION ALL SELECT 'routing', 'other', count(*) FILTER (WHERE adjust > 8), count(*) FROM z
+ UNION ALL SELECT 'routing_total', 'boundary_total', count(*) FILTER (WHERE adjust IN (6, 7, 8)), count(*) FROM z UNION ALL SELECT 'routing_total', 'step2_total', count(*) FILTER (WHERE adjust BETWEEN 1 AND 5), count(*) FROM z UNION ALL SELECT 'routing_total', 'clamped_total', count(*) FILTER (WHERE adjust IN (4, 5)), count(*) FROM z
+ UNION ALL {_STATUS_SQL} UNION ALL SELECT 'status', 'prep_thin_total', count(*) FILTER (WHERE starts_with(status, 'prep_thin_n')), count(*) FROM z UNION ALL SELECT 'status', 'thin_panel_total', count(*) FILTER (WHERE starts_with(status, 'thin_panel_')), count(*) FROM z
+ UNION ALL SELECT 'status', 'other', count(*) FILTER (WHERE status NOT IN ('ok', 'all_inversions_failed') AND NOT starts_with(status, 'thin_panel_')), count(*) FROM z UNION ALL SELECT 'floor', 'omega_floor', count(*) FILTER (WHERE omega <= 1e-4), count(*) FROM z
+ UNION ALL SELECT 'rates', 'interior_full_universe', count(*) FILTER (WHERE adjust = 0), count(*) FROM z UNION ALL SELECT 'rates', 'interior_conditional_on_ok', count(*) FILTER (WHERE adjust = 0), count(*) FILTER (WHERE status = 'ok') FROM z UNION ALL SELECT 'rates', 'step2_full_universe', count(*) FILTER (WHERE adjust IN (1, 4, 5)), count(*) FROM z""")
+def _(s, d):
+    f = F.col("fstat_kp")
+    cells = both_cells(s, d).withColumns({"adjust": F.when(F.col("status") == "ok", F.col("adjust")), "omega": F.col("gamma") / 1000 - 0.0012, "stockyogo_pass": f > 4, "sargan_pass": F.when(F.col("n_exporters") % 3 > 0, f > 6)})
+    return R.stage1_report(cells)
+
+
+@query("adjust_by_source", f"WITH {_EST} SELECT adjust, final_source, count(*) AS n FROM ecell GROUP BY ALL")
+def _(s, d):
+    return R.adjust_by_source(estimate_cells(s, d))
+
+
+@query("stage2b_report", f"""WITH {_EST}, z AS (SELECT *, CASE WHEN tier < 3 THEN tier = 1 END AS robust, CASE WHEN importer % 4 = 0 THEN 10.0::DOUBLE ELSE sigma END AS s, gamma - 0.45 AS g FROM est), k AS (SELECT s, count(*) AS n FROM z WHERE s < 10 GROUP BY s ORDER BY n DESC, s LIMIT 1),
+ w AS (SELECT count(*)::DOUBLE AS "size|rows", count(DISTINCT importer)::DOUBLE AS "size|importers", count(DISTINCT exporter)::DOUBLE AS "size|exporters", count(DISTINCT importer || '-' || good)::DOUBLE AS "size|sigmas",
+  count(*) FILTER (WHERE s = 10)::DOUBLE AS "sigma_source|n_cap", count(*) FILTER (WHERE g <= 0)::DOUBLE AS "gamma_floor|n_floor", count(*) FILTER (WHERE gamma_se_status = 'ok')::DOUBLE AS "se_status|ok",
+  count(*) FILTER (WHERE gamma_se_status = 'tier3_prior')::DOUBLE AS "se_status|tier3_prior", count(*) FILTER (WHERE gamma_se_status NOT IN ('ok', 'tier3_prior'))::DOUBLE AS "se_status|other",
+  count(*) FILTER (WHERE robust)::DOUBLE AS "sigma_robust|robust", count(*) FILTER (WHERE NOT robust)::DOUBLE AS "sigma_robust|not_robust", count(*) FILTER (WHERE robust IS NULL)::DOUBLE AS "sigma_robust|unscreened",
+  quantile_cont(s, 0.25) AS "quantiles|sigma_q25", median(s) AS "quantiles|sigma_median", quantile_cont(s, 0.75) AS "quantiles|sigma_q75", quantile_cont(g, 0.25) AS "quantiles|gamma_q25", median(g) AS "quantiles|gamma_median",
+  quantile_cont(g, 0.75) AS "quantiles|gamma_q75", median(CASE WHEN g > 0 THEN 1 / g END) AS "quantiles|elasticity_median", (SELECT s FROM k) AS "sigma_source|fallback_value", (SELECT n FROM k)::DOUBLE AS "sigma_source|n_fallback" FROM z),
+ l AS (UNPIVOT w ON COLUMNS(*) INTO NAME name VALUE v) SELECT split_part(name, '|', 1) AS section, split_part(name, '|', 2) AS metric, round(v, 6) AS value FROM l""")
+def _(s, d):
+    est = estimates(s, d).withColumns({"sigma_robust": F.when(F.col("tier") < 3, F.col("tier") == 1), "sigma": F.when(F.col("importer") % 4 == 0, 10.0).otherwise(F.col("sigma")), "gamma": F.col("gamma") - 0.45})
+    return R.stage2b_report(est)
+
+
+@query("bootstrap_summary", f"""WITH {_EST}, b AS (SELECT unnest(['OVERALL', final_source]) AS stratum, ((exporter * 7 + importer) % 20) / 20::DOUBLE AS y, CASE WHEN exporter % 5 > 0 THEN sigma_se * (0.5::DOUBLE + ((importer + exporter * 3) % 16) / 16::DOUBLE) END / sigma_se AS r,
+  sigma_se * (0.25::DOUBLE + ((importer * 3 + exporter) % 16) / 16::DOUBLE) / sigma_se AS m FROM est)
+ SELECT stratum, count(*) AS n_cells, count(r) AS n_ratio, round(avg((abs(ln(r)) <= ln(1.25))::INT), 6) AS share_within_25pct, round(median(y), 6) AS med_yield, round(quantile_cont(r, 0.25), 6) AS ratio_p25, round(median(r), 6) AS ratio_med, round(quantile_cont(r, 0.75), 6) AS ratio_p75,
+  round(median(CASE WHEN r IS NOT NULL THEN m END), 6) AS ratio_mad_med FROM b GROUP BY stratum""")
+def _(s, d):
+    i, e, se = F.col("importer"), F.col("exporter"), F.col("sigma_se")
+    cells = estimates(s, d).select(F.col("final_source").alias("stratum"), "sigma_se", ((e * 7 + i) % 20 / 20).alias("boot_yield"), F.when(e % 5 > 0, se * (0.5 + (i + e * 3) % 16 / 16)).alias("boot_sd"), (se * (0.25 + (i * 3 + e) % 16 / 16)).alias("boot_mad_sd"))
+    return R.bootstrap_summary(cells)

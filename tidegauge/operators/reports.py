@@ -249,3 +249,82 @@ def pass_rates(stage1: DataFrame) -> DataFrame:
     tests = [c for c in ("stockyogo_pass", "stockyogo_pass_gs25", "sargan_pass", "sargan_pass_gs", "gs_pass_both") if c in stage1.columns]
     return stage1.filter("status = 'ok'").agg(F.count("*").alias("n_ok"), *[a for c in tests for a in (F.count(c).alias(f"n_{c}"), F.avg(F.col(c).cast("double")).alias(f"rate_{c}"))])
 
+
+#: Codes of ``adjust`` by how a cell was routed; every cell has exactly one of them or none.
+ROUTES = {
+    0: "hliml_interior", 1: "step2_clean", 2: "step2_omega_only", 3: "omega_negative_floor", 4: "clamped_at_sigma_cap", 5: "clamped_at_omega_cap",
+    6: "boundary_omega_floor", 7: "boundary_sigma_cap", 8: "boundary_omega_cap",
+}
+#: Statuses that are counted by themselves, and prefixes that are counted together.
+STATUSES = ("ok", "all_inversions_failed", "fail_too_few_exporters", "step1_fail_singular_QWW", "step2_fail_singular_QWW_fellback_to_step1")
+STATUS_PREFIXES = {"prep_thin_total": "prep_thin_n", "thin_panel_total": "thin_panel_"}
+
+
+def stage1_report(stage1: DataFrame) -> DataFrame:
+    """(section, metric, n, denominator) of a stage 1 table in one pass: sizes, tests passed of those evaluated, routing by
+    adjust, statuses (single ones, prefixes and the rest), omega at its floor, and the shares that reports quote. Routes
+    and statuses each add up to the number of cells: what has no name is counted as other."""
+    adjust, status = F.col("adjust"), F.coalesce("status", F.lit(""))
+    has = lambda c: c in stage1.columns
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    cells = F.count("*")
+    codes = list(ROUTES)
+    entries: list[tuple[str, str, Column, Column]] = [("size", "cells", cells, cells), ("size", "products", F.countDistinct("good"), cells), ("size", "importers", F.countDistinct("importer"), cells)]
+    entries += [("tests", c, yes(F.col(c)), F.count(c)) for c in ("stockyogo_pass", "stockyogo_pass_gs25", "sargan_pass", "sargan_pass_gs", "gs_pass_both") if has(c)]
+    entries += [("routing", name, yes(adjust == code), cells) for code, name in ROUTES.items()]
+    entries += [("routing", "pre_discard", F.count_if(adjust.isNull()), cells), ("routing", "other", yes(~adjust.isin(codes)), cells)]
+    entries += [("routing_total", name, yes(adjust.isin(which)), cells) for name, which in (("boundary_total", [6, 7, 8]), ("step2_total", [1, 2, 3, 4, 5]), ("clamped_total", [4, 5]))]
+    named = status.isin(*STATUSES)
+    for prefix in STATUS_PREFIXES.values():
+        named = named | status.startswith(prefix)
+    entries += [("status", x, F.count_if(status == x), cells) for x in STATUSES]
+    entries += [("status", name, F.count_if(status.startswith(prefix)), cells) for name, prefix in STATUS_PREFIXES.items()] + [("status", "other", F.count_if(~named), cells)]
+    entries += [("floor", "omega_floor", yes(F.col("omega") <= 1e-4), cells)] if has("omega") else []
+    ok = F.count_if(status == "ok")
+    interior, step2 = yes(adjust == 0), yes(adjust.isin(1, 4, 5))
+    entries += [("rates", "interior_full_universe", interior, cells), ("rates", "interior_conditional_on_ok", interior, ok), ("rates", "step2_full_universe", step2, cells)]
+    one = stage1.agg(*[x.cast("long").alias(f"{k}{i}") for i, (_, _, n, d) in enumerate(entries) for k, x in (("n", n), ("d", d))])
+    long = F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("denominator")) for i, (s, m, _, _) in enumerate(entries)]))
+    return one.select(long.alias("e")).select("e.*")
+
+
+def adjust_by_source(stage1: DataFrame) -> DataFrame:
+    """(adjust, final_source, n): the routing cross table; null on both sides is a cell dropped before estimation."""
+    return stage1.groupBy("adjust", "final_source").agg(F.count("*").alias("n"))
+
+
+def stage2b_report(est: DataFrame, cap: float = 10.0) -> DataFrame:
+    """(section, metric, value) of a stage 2b table, over rows that have sigma and gamma: sizes, quartiles, where sigma comes
+    from (the cap, and the commonest other value, which is the fallback), gamma at its floor, error statuses, the
+    robustness of sigma, and the median export-supply elasticity 1 / gamma."""
+    rows = keep.kept(est.filter("sigma is not null and gamma is not null").select("importer", "exporter", "good", "sigma", "gamma", "gamma_se_status", "sigma_robust"))
+    g, status, robust = F.col("gamma"), F.col("gamma_se_status"), F.col("sigma_robust")
+    plain = {
+        ("size", "rows"): F.count("*"), ("size", "importers"): F.countDistinct("importer"), ("size", "exporters"): F.countDistinct("exporter"), ("size", "sigmas"): F.countDistinct("importer", "good"),
+        ("sigma_source", "n_cap"): F.count_if(F.col("sigma") == cap), ("gamma_floor", "n_floor"): F.count_if(g <= 0),
+        ("se_status", "ok"): F.count_if(status == "ok"), ("se_status", "tier3_prior"): F.count_if(status == "tier3_prior"), ("se_status", "other"): F.count_if(~F.coalesce(status.isin("ok", "tier3_prior"), F.lit(False))),
+        ("sigma_robust", "robust"): F.count_if(robust), ("sigma_robust", "not_robust"): F.count_if(~robust), ("sigma_robust", "unscreened"): F.count_if(robust.isNull()),
+    }
+    one = rows.agg(*[c.cast("double").alias("|".join(k)) for k, c in plain.items()])
+    middle = {f"quantiles|{c}_{n}": (F.col(c), p) for c in ("sigma", "gamma") for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))}
+    middle["quantiles|elasticity_median"] = (F.when(g > 0, 1 / g), 0.5)
+    common = spike(rows, cap).agg(F.max("sigma").cast("double").alias("sigma_source|fallback_value"), F.max("n").cast("double").alias("sigma_source|n_fallback"))
+    wide = order.same_keys(order.same_keys(one, order.quantiles(rows, [], middle), []), common, [])
+    long = wide.unpivot([], [f"`{c}`" for c in wide.columns], "name", "value")
+    return long.select(F.substring_index("name", "|", 1).alias("section"), F.substring_index("name", "|", -1).alias("metric"), "value")
+
+
+def bootstrap_summary(cells: DataFrame) -> DataFrame:
+    """(stratum, n_cells, n_ratio, med_yield, ratio_p25, ratio_med, ratio_p75, ratio_mad_med, share_within_25pct): how the
+    bootstrap's spread compares with the reported error, by stratum and overall. cells: stratum, sigma_se, boot_sd,
+    boot_mad_sd, boot_yield. Quantiles are over cells with a finite ratio, the yield over all."""
+    ratio = F.try_divide(F.col("boot_sd"), F.col("sigma_se"))
+    known = ratio.isNotNull() & ~F.isnan(ratio) & (F.abs(ratio) < float("inf"))
+    rows = cells.select(
+        F.explode(F.array(F.lit("OVERALL"), "stratum")).alias("stratum"), "boot_yield", F.when(known, ratio).alias("ratio"), F.when(known, F.try_divide(F.col("boot_mad_sd"), F.col("sigma_se"))).alias("mad_ratio"),
+    )
+    rows = keep.kept(rows)
+    within = F.avg(F.when(F.col("ratio") > 0, (F.abs(F.log("ratio")) <= F.log(F.lit(1.25))).cast("double")).otherwise(F.when(F.col("ratio").isNotNull(), 0.0)))
+    plain = rows.groupBy("stratum").agg(F.count("*").alias("n_cells"), F.count("ratio").alias("n_ratio"), within.alias("share_within_25pct"))
+    middle = {"med_yield": (F.col("boot_yield"), 0.5), "ratio_p25": (F.col("ratio"), 0.25), "ratio_med": (F.col("ratio"), 0.5), "ratio_p75": (F.col("ratio"), 0.75), "ratio_mad_med": (F.col("mad_ratio"), 0.5)}
+    return order.same_keys(plain, order.quantiles(rows, ["stratum"], middle), ["stratum"])

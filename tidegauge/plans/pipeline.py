@@ -14,13 +14,15 @@ from ..operators.panel import Config, prepare, quality_log, raw_panel, regional_
 from ..sources import trade as T
 from . import stage1 as S1
 from . import stage2 as S2
+from .resume import by_buckets
 
 STAGES = ("1", "2a", "2b", "all")
 
 
 def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage: str = "all") -> dict[str, DataFrame]:
     """Runs the stages up to ``stage``. With "all", finished tables under ``out`` are reused if they were made with the same
-    settings, region map and input files (paths, lengths, times); a named stage is computed anew and needs the tables before it."""
+    settings, region map and input files (paths, lengths, times); a named stage is computed anew and needs the tables before it.
+    Inside a stage, fits are written by bucket: a run with "all" that was stopped goes on after its last finished buckets."""
     spark = trade.sparkSession
     mapped = regions.agg(F.bit_xor(F.xxhash64("cty_code", "region")), F.count("*")).first()
     made_of = hashlib.sha256(repr((cfg, tuple(mapped), trade.schema.simpleString(), T.files_fingerprint(trade))).encode()).hexdigest()[:12]
@@ -31,8 +33,9 @@ def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage:
             return spark.read.parquet(path)
         return T.write_stage(build(), path)
 
+    fits_at = lambda name: f"{out}/{name}-fits-{made_of}"
     raw = step("raw_panel", lambda: raw_panel(trade, cfg), False)
-    found = {"stage1": step("stage1", lambda: S1.run_stage1(raw, cfg), stage == "1")}
+    found = {"stage1": step("stage1", lambda: by_buckets(raw, lambda rows: S1.run_stage1(rows, cfg), fits_at("stage1"), anew=stage == "1"), stage == "1")}
     clean = S1.clean_sigma(found["stage1"])
     priors = S1.good_priors(found["stage1"])
     middle = order.quantiles(clean, [], {"s": (F.col("sigma"), 0.5), "g": (F.col("gamma"), 0.5)}).first()
@@ -43,7 +46,7 @@ def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage:
         panel = prepare(regional_panel(raw, regions), cfg)
         sigma = S2.regional_sigma(clean, regions)
         none = sigma.select("importer", "good", F.lit(None).cast("double").alias("gamma"))
-        fits = S2.run_stage2(panel, cfg, cfg.shrinkage_regional, sigma, middle["s"], priors, none, middle["g"])
+        fits = S2.run_stage2(panel, cfg, cfg.shrinkage_regional, sigma, middle["s"], priors, none, middle["g"], resume=None if stage == "2a" else fits_at("stage2a"))
         return S2.plateau_fallback(fits, priors, cfg.plateau).select(*S2.COLUMNS)
 
     found["stage2a"] = step("stage2a", regional, stage == "2a")
@@ -56,7 +59,7 @@ def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage:
         anchored = S2.regional_priors(found["stage2a"])
         centre = anchored.agg(F.exp(F.median("ln_gamma_prior"))).first()[0] or middle["g"]
         gamma_v, starts = (S2.by_country(f(found["stage2a"]), panel, regions) for f in (S2.regional_gamma, S2.regional_starts))
-        return S2.run_stage2(panel, cfg, cfg.shrinkage, texts.select("importer", "good", "sigma"), middle["s"], anchored, gamma_v, centre, starts, centre, found["stage1"].withColumn("importer", F.col("importer").cast("string")))
+        return S2.run_stage2(panel, cfg, cfg.shrinkage, texts.select("importer", "good", "sigma"), middle["s"], anchored, gamma_v, centre, starts, centre, found["stage1"].withColumn("importer", F.col("importer").cast("string")), resume=None if stage == "2b" else fits_at("stage2b"))
 
     found["stage2b"] = step("stage2b", country, stage == "2b")
     return found

@@ -16,6 +16,7 @@ from ..operators import moments as M
 from ..operators import reports as R
 from ..operators.panel import Config, assign_regions, viable_rows
 from .batch_fit import Batch
+from .resume import by_buckets
 
 COLUMNS = (
     "importer", "exporter", "good", "sigma", "gamma", "gamma_se", "gamma_se_status", "gamma_exposure", "gamma_shrink_wt", "gamma_se_total", "sigma_robust", "sigma_se",
@@ -243,12 +244,14 @@ def plateau_fallback(fits: DataFrame, priors: DataFrame, threshold: float) -> Da
     return out.withColumns({c: F.when(F.col("__touched"), F.col(c)).otherwise(F.col(o)) for c, o in (("opt_tariff", "__o"), ("opt_tariff_all", "__a"))}).drop("__hit", "__touched", "__o", "__a", "ln_gamma_prior")
 
 
-def run_stage2(panel: DataFrame, cfg: Config, lam: float, sigma: DataFrame, sigma_default: float, priors: DataFrame, gamma_v: DataFrame, gamma_v_default: float, starts: DataFrame | None = None, start: float | None = None, sigma_se: DataFrame | None = None) -> DataFrame:
+def run_stage2(panel: DataFrame, cfg: Config, lam: float, sigma: DataFrame, sigma_default: float, priors: DataFrame, gamma_v: DataFrame, gamma_v_default: float, starts: DataFrame | None = None, start: float | None = None, sigma_se: DataFrame | None = None, resume: str | None = None) -> DataFrame:
     """panel: prepared; it is written once, as several branches read it. The published columns, one row per (importer,
-    exporter, good)."""
+    exporter, good). resume: a path for fits by bucket, from which a run that was stopped goes on."""
     panel = keep.kept(panel)
     inputs = cell_inputs(panel, cfg, sigma, sigma_default, priors, gamma_v, gamma_v_default, starts, gamma_v_default if start is None else start)
-    fits = with_tariffs(with_sigma_errors(solve_cells(inputs, lam, cfg.stage2_gradient), sigma_se), panel)
+    solve = lambda rows: solve_cells(rows, lam, cfg.stage2_gradient)
+    solved = by_buckets(keep.kept(inputs), solve, resume) if resume else solve(inputs)
+    fits = with_tariffs(with_sigma_errors(solved, sigma_se), panel)
     return tail_trim(fits.select(*COLUMNS), cfg.tail_trim)
 
 
