@@ -77,7 +77,7 @@ def mix(
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.md5(text)))).alias("draw"),
     ))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    many = C.checkpointed(sized.groupBy("skey").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / shard_words)).alias("shards")))
+    many = C.kept_table(sized.groupBy("skey").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / shard_words)).alias("shards")))
     sized = sized.join(many, "skey").withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % F.col("shards"))
     cells = C.checkpointed(sized.groupBy("skey", "shard").agg(F.first("source").alias("source"), F.sum("size").alias("shard_size")))
     sources = cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum("shard_size").alias("source_size"))
