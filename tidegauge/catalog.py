@@ -12,6 +12,7 @@ from .functions import columns as X
 from .functions import keep, order
 from .operators import census as N
 from .operators import feenstra as H
+from .operators import liml as I
 from .operators import moments as M
 from .operators import panel as P
 from .operators import reports as R
@@ -769,3 +770,40 @@ def _(s, d):
     i, e, se = F.col("importer"), F.col("exporter"), F.col("sigma_se")
     cells = estimates(s, d).select(F.col("final_source").alias("stratum"), "sigma_se", ((e * 7 + i) % 20 / 20).alias("boot_yield"), F.when(e % 5 > 0, se * (0.5 + (i + e * 3) % 16 / 16)).alias("boot_sd"), (se * (0.25 + (i * 3 + e) % 16 / 16)).alias("boot_mad_sd"))
     return R.bootstrap_summary(cells)
+
+
+_VARS = ("y", "x1", "x2")
+_SYM = [(a, b) for i, a in enumerate(_VARS) for b in _VARS[i:]]
+_T = ", ".join(f"sum(s_{a}_{b}) AS t_{a}_{b}, sum(s_{a} * s_{b} / n) AS b_{a}_{b}" for a, b in _SYM)
+_WA = ", ".join(f"t_{a}_{b} - b_{a}_{b} AS w_{a}_{b}, t_{a}_{b} - c_{a} * c_{b} / n AS a_{a}_{b}" for a, b in _SYM)
+_LIML = f"""{_M1}, lc AS (SELECT importer, good, sum(n)::DOUBLE AS n, count(*) AS l, sum(s_y) AS c_y, sum(s_x1) AS c_x1, sum(s_x2) AS c_x2, {_T} FROM gs GROUP BY importer, good HAVING sum(n) >= 5 AND count(*) >= 3),
+ lw AS (SELECT *, {_WA} FROM lc),
+ lp AS (SELECT *, w_x1_x1 - w_y_x1 ** 2 / w_y_y AS p2, w_x1_x2 - w_y_x2 * w_y_x1 / w_y_y AS p23, a_x1_x1 * a_x2_x2 - a_x1_x2 ** 2 AS f00, a_y_x2 * a_x1_x2 - a_y_x1 * a_x2_x2 AS f01, a_y_x1 * a_x1_x2 - a_y_x2 * a_x1_x1 AS f02,
+  a_y_y * a_x2_x2 - a_y_x2 ** 2 AS f11, a_y_x1 * a_y_x2 - a_y_y * a_x1_x2 AS f12, a_y_y * a_x1_x1 - a_y_x1 ** 2 AS f22 FROM lw WHERE w_y_y > 0),
+ lq AS (SELECT *, a_y_y * f00 + a_y_x1 * f01 + a_y_x2 * f02 AS da FROM lp WHERE p2 > 1e-11 * w_x1_x1 AND w_x2_x2 - w_y_x2 ** 2 / w_y_y - p23 ** 2 / p2 > 1e-11 * w_x2_x2),
+ ln AS (SELECT *, (f00 * w_y_y + f01 * w_y_x1 + f02 * w_y_x2) / da AS n00, (f00 * w_y_x1 + f01 * w_x1_x1 + f02 * w_x1_x2) / da AS n01, (f00 * w_y_x2 + f01 * w_x1_x2 + f02 * w_x2_x2) / da AS n02,
+  (f01 * w_y_y + f11 * w_y_x1 + f12 * w_y_x2) / da AS n10, (f01 * w_y_x1 + f11 * w_x1_x1 + f12 * w_x1_x2) / da AS n11, (f01 * w_y_x2 + f11 * w_x1_x2 + f12 * w_x2_x2) / da AS n12,
+  (f02 * w_y_y + f12 * w_y_x1 + f22 * w_y_x2) / da AS n20, (f02 * w_y_x1 + f12 * w_x1_x1 + f22 * w_x1_x2) / da AS n21, (f02 * w_y_x2 + f12 * w_x1_x2 + f22 * w_x2_x2) / da AS n22 FROM lq),
+ lm AS (SELECT *, (n00 + n11 + n22) / 3 AS m FROM ln),
+ lr AS (SELECT *, ((n00 - m) ** 2 + (n11 - m) ** 2 + (n22 - m) ** 2 + 2 * (n01 * n10 + n02 * n20 + n12 * n21)) / 6 AS p, ((n00 - m) * ((n11 - m) * (n22 - m) - n12 * n21) - n01 * (n10 * (n22 - m) - n12 * n20) + n02 * (n10 * n21 - (n11 - m) * n20)) / 2 AS h FROM lm),
+ ll AS (SELECT *, 1 / (m + 2 * sqrt(p) * cos(acos(greatest(-1, least(1, h / p ** 1.5))) / 3)) AS low FROM lr),
+ lk AS (SELECT *, low - 1 / (n - l) AS kappa FROM ll),
+ lv AS (SELECT *, t_x1_x1 - kappa * w_x1_x1 AS k11, t_x1_x2 - kappa * w_x1_x2 AS k12, t_x2_x2 - kappa * w_x2_x2 AS k22, t_y_x1 - kappa * w_y_x1 AS r1, t_y_x2 - kappa * w_y_x2 AS r2 FROM lk),
+ lx AS (SELECT *, k11 - c_x1 ** 2 / n AS d11, k12 - c_x1 * c_x2 / n AS d12, k22 - c_x2 ** 2 / n AS d22, r1 - c_x1 * c_y / n AS e1, r2 - c_x2 * c_y / n AS e2 FROM lv),
+ ly AS (SELECT *, (e1 * d22 - e2 * d12) / (d11 * d22 - d12 ** 2) AS eta1, (e2 * d11 - e1 * d12) / (d11 * d22 - d12 ** 2) AS eta2 FROM lx),
+ lz AS (SELECT *, (c_y - eta1 * c_x1 - eta2 * c_x2) / n AS eta0 FROM ly),
+ lf AS (SELECT *, b_x1_x1 - c_x1 ** 2 / n AS g11, b_x1_x2 - c_x1 * c_x2 / n AS g12, b_x2_x2 - c_x2 ** 2 / n AS g22, w_x1_x1 / (n - l) AS h11, w_x1_x2 / (n - l) AS h12, w_x2_x2 / (n - l) AS h22,
+  t_y_y + eta1 ** 2 * t_x1_x1 + eta2 ** 2 * t_x2_x2 + eta0 ** 2 * n - 2 * eta1 * t_y_x1 - 2 * eta2 * t_y_x2 - 2 * eta0 * c_y + 2 * eta1 * eta2 * t_x1_x2 + 2 * eta0 * eta1 * c_x1 + 2 * eta0 * eta2 * c_x2 AS qt,
+  b_y_y + eta1 ** 2 * b_x1_x1 + eta2 ** 2 * b_x2_x2 + eta0 ** 2 * n - 2 * eta1 * b_y_x1 - 2 * eta2 * b_y_x2 - 2 * eta0 * c_y + 2 * eta1 * eta2 * b_x1_x2 + 2 * eta0 * eta1 * c_x1 + 2 * eta0 * eta2 * c_x2 AS qb FROM lz),
+ lo AS (SELECT *, (g11 * h22 + g22 * h11 - 2 * g12 * h12) / (h11 * h22 - h12 ** 2) AS tr, (g11 * g22 - g12 ** 2) / (h11 * h22 - h12 ** 2) AS de FROM lf)"""
+
+
+@query("liml_step1", f"WITH {_LIML} SELECT importer, good, n::BIGINT AS n, l AS n_exporters, round(kappa, 5) AS kappa, round(eta1, 5) AS eta1, round(eta2, 5) AS eta2, round((tr - sqrt(greatest(tr ** 2 / 4 - de, 0)) * 2) / 2 / (l - 1), 5) AS fstat, round(qb / qt * n, 5) AS jstat FROM lo WHERE n - l >= 8", places=5)
+def _(s, d):
+    found = I.step_one(M.stage1_moments(raw(s, d)))
+    return found.filter("kappa is not null and n - n_exporters >= 8").select("importer", "good", "n", "n_exporters", "kappa", "eta1", "eta2", "fstat", "jstat")
+
+
+@query("liml_step2")
+def _(s, d):
+    return I.step_two(keep.kept(M.stage1_moments(raw(s, d))))
