@@ -101,3 +101,43 @@ def test_cells_cut_into_batches_give_the_same_rows(spark, monkeypatch):
     gammas = whole[whole.gamma > 0].gamma
     assert set(rows) == {0.1, 0.5} and rows[0.1].n_estimates == len(gammas) and math.isclose(rows[0.1].plateau_share, (gammas > 20).mean())
     assert S2.solve_cells(inputs.limit(0), 0.1).count() == 0
+
+
+def exporter_moments(rng, sigma, sv, gv, gammas, years=20_000):
+    """Export moments of flows simulated from the structural equations: supply and demand of each exporter here and at its
+    reference destination, shocks apart."""
+    share = lambda g: g / (1 + g)
+    y, x = np.empty(len(gammas)), np.empty((len(gammas), 9))
+    for k, g in enumerate(gammas):
+        pv = rng.normal(0, 0.4, years)
+        lv = 0.8 * pv + rng.normal(0, 0.5, years)
+        demand, supply = rng.normal(0, 0.5, years), rng.normal(0, 0.4, years)
+        here = ((1 + (sigma - 1) * share(gv)) * lv + (sv - sigma) * pv - (sigma - 1) * supply + demand) / (1 + (sigma - 1) * share(g))
+        price = pv + share(g) * here - share(gv) * lv + supply
+        pairs = ((here, here), (here, price), (lv, lv), (lv, price), (lv, pv), (here, pv), (here, lv), (pv, pv), (pv, price))
+        y[k], x[k] = ((price - pv) ** 2).mean(), [(a * b).mean() for a, b in pairs]
+    return y, x
+
+
+def test_implied_signs_fit_the_moments_and_printed_ones_do_not():
+    from tidegauge.plans.cell_fit import export_side
+
+    gammas = np.array([0.4, 0.8, 1.5])
+    y, x = exporter_moments(np.random.default_rng(5), 3.0, 4.5, 0.9, gammas)
+    miss = {p: np.sqrt((export_side(gammas, 3.0, y, x, np.full(3, 4.5), np.full(3, 0.9), p)[0] ** 2).mean()) / y.mean() for p in (False, True)}
+    assert miss[False] < 0.05 and miss[True] > 0.15 and miss[True] > 5 * miss[False]
+    for printed in (False, True):
+        at = lambda g: export_side(g, 3.0, y, x, np.full(3, 4.5), np.full(3, 0.9), printed)  # noqa: B023, E731
+        assert np.allclose((at(gammas + 1e-6)[0] - at(gammas - 1e-6)[0]) / 2e-6, at(gammas)[1], atol=1e-6)
+
+
+def test_printed_signs_reach_the_fits_and_defaults_follow_a_pass(spark):
+    from tidegauge.plans.pipeline import next_defaults
+
+    _, batch, starts = ragged(seed=3, cells=10)
+    other = Batch(batch.of, batch.sigma, batch.y, batch.x, batch.w, batch.on, batch.ey, batch.ex, batch.sv, batch.gv, batch.prior, batch.lam, printed=True)
+    assert not np.allclose(batch.fit(starts)[2], other.fit(starts)[2])
+    assert np.allclose(other.take(np.arange(10) < 4).fit(starts[:4])[2], other.fit(starts)[2][:4])
+    fits = spark.createDataFrame([(2.0, 0.5), (3.0, 0.7), (9.0, None)], "sigma double, gamma double")
+    cfg = next_defaults(fits, Config())
+    assert (cfg.sigma_start, cfg.gamma_start) == (3.0, 0.6) and next_defaults(fits.limit(0), Config()) == Config()

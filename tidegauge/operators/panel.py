@@ -39,6 +39,7 @@ class Config:
     plateau: float = 20.0
     stage1_hliml: str = "closed"
     stage2_gradient: str = "analytic"
+    printed_signs: bool = False
 
     def with_(self, **changes) -> Config:
         return replace(self, **changes)

@@ -17,10 +17,11 @@ class Batch:
     prior (log, NaN if unknown) and lam are by cell. A residual depends on its cell's gamma_k and on one gamma_j, so the
     normal equations of every cell are an arrow, and all arrows are solved in the same few array operations."""
 
-    def __init__(self, of, sigma, y, x, w, on, ey, ex, sv, gv, prior, lam, numeric=False):
+    def __init__(self, of, sigma, y, x, w, on, ey, ex, sv, gv, prior, lam, numeric=False, printed=False):
         self.of, self.sigma, self.y, self.x, self.w = of, sigma, y, x, w
         self.on, self.ey, self.ex, self.sv, self.gv = on, ey, ex, sv, gv
         self.prior, self.lam, self.numeric = prior, np.broadcast_to(lam, sigma.shape), numeric
+        self.printed = printed  # signs of the export equation as published
         self.cells, self.rows = len(sigma), len(of)
         self.pull = np.where((self.lam > 0) & ~np.isnan(prior), self.lam, 0.0)
         self.centre = np.where(np.isnan(prior), 0.0, prior)
@@ -31,7 +32,7 @@ class Batch:
         side = rows[self.on]
         at, row = np.cumsum(cells) - 1, np.cumsum(rows) - 1
         return Batch(
-            at[self.of[rows]], self.sigma[cells], self.y[rows], self.x[rows], self.w[rows], row[self.on[side]], self.ey[side], self.ex[side], self.sv[side], self.gv[side], self.prior[cells], self.lam[cells], self.numeric,
+            at[self.of[rows]], self.sigma[cells], self.y[rows], self.x[rows], self.w[rows], row[self.on[side]], self.ey[side], self.ex[side], self.sv[side], self.gv[side], self.prior[cells], self.lam[cells], self.numeric, self.printed,
         )
 
     def by_cell(self, v: np.ndarray) -> np.ndarray:
@@ -44,7 +45,7 @@ class Batch:
         """Residuals and derivatives of the import rows (gamma_k and gamma_j by row) and of the export rows."""
         s = (self.sigma if sigma is None else sigma)[self.of]
         imp = lambda k, j: import_side(k, j, s, self.y, self.x)
-        exp = lambda j: export_side(j[self.on], s[self.on], self.ey, self.ex, self.sv, self.gv)
+        exp = lambda j: export_side(j[self.on], s[self.on], self.ey, self.ex, self.sv, self.gv, self.printed)
         (r, dk, dj), (re, de) = imp(gk, gj), exp(gj)
         if self.numeric:  # central differences
             hk, hj = 1e-6 * gk, 1e-6 * gj
@@ -58,7 +59,7 @@ class Batch:
         r = import_side(gk, gj, s, self.y, self.x)[0]
         out = self.w * r**2 + self.pull[self.of] * (np.log(gj) - self.centre[self.of]) ** 2
         if len(self.on):
-            re = export_side(gj[self.on], s[self.on], self.ey, self.ex, self.sv, self.gv)[0]
+            re = export_side(gj[self.on], s[self.on], self.ey, self.ex, self.sv, self.gv, self.printed)[0]
             out = out + self.by_row(self.w[self.on] * re**2)
         return out
 
@@ -197,7 +198,7 @@ class Batch:
         each = lambda v: np.concatenate([v] * k)
         return Batch(
             each(self.of) + shift * self.cells, sigmas.T.ravel(), each(self.y), each(self.x), each(self.w), each(self.on) + np.arange(k).repeat(len(self.on)) * self.rows,
-            each(self.ey), each(self.ex), each(self.sv), each(self.gv), each(self.prior), each(self.lam), self.numeric,
+            each(self.ey), each(self.ex), each(self.sv), each(self.gv), each(self.prior), each(self.lam), self.numeric, self.printed,
         )
 
     def joint(self, start: np.ndarray, low: float = 1 + 1e-6, high: float = 200.0, points: int = 13, rounds: int = 7):

@@ -65,6 +65,12 @@ def estimate(trade: DataFrame, regions: DataFrame, out: str, cfg: Config, stage:
     return found
 
 
+def next_defaults(fits: DataFrame, cfg: Config) -> Config:
+    """Settings of another pass: it starts from the medians of a finished one; where there are none, from the same."""
+    middle = order.quantiles(fits, [], {"s": (F.col("sigma"), 0.5), "g": (F.col("gamma"), 0.5)}).first()
+    return cfg.with_(sigma_start=cfg.sigma_start if middle["s"] is None else middle["s"], gamma_start=cfg.gamma_start if middle["g"] is None else middle["g"])
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Estimate import-demand and export-supply elasticities from trade files.")
     p.add_argument("--data", required=True)
@@ -77,13 +83,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--bw-lag", choices=("calendar", "legacy"), default="calendar")
     p.add_argument("--stage1-hliml", choices=("closed", "bfgs", "both"), default="closed")
     p.add_argument("--stage2-gradient", choices=("analytic", "numeric"), default="analytic")
+    p.add_argument("--printed-signs", action="store_true", help="signs of the export equation as published")
     p.add_argument("--stage", choices=STAGES, default="all")
     return p
 
 
 def main(argv: list[str] | None = None) -> None:
     o = parser().parse_args(argv)
-    cfg = Config(agg_level=o.agg_level, minyear=o.minyear, maxyear=o.maxyear, shrinkage=o.shrinkage_lambda, bw_lag=o.bw_lag, stage1_hliml=o.stage1_hliml, stage2_gradient=o.stage2_gradient)
+    cfg = Config(agg_level=o.agg_level, minyear=o.minyear, maxyear=o.maxyear, shrinkage=o.shrinkage_lambda, bw_lag=o.bw_lag, stage1_hliml=o.stage1_hliml, stage2_gradient=o.stage2_gradient, printed_signs=o.printed_signs)
     spark = SparkSession.builder.getOrCreate()
     regions = T.region_map(spark, o.regions) if o.regions else spark.createDataFrame([], "cty_code int, region string")
     trade = T.rename(T.read_trade(spark, o.data))

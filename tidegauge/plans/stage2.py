@@ -88,24 +88,24 @@ def _in_batches(inputs: DataFrame, solve, schema: str) -> DataFrame:
     return dealt.mapInArrow(part, schema)
 
 
-def _problem(cols: dict, rows: np.ndarray, of: np.ndarray, side: np.ndarray, weight: np.ndarray, heads: np.ndarray, prior: np.ndarray, lam, numeric: bool = False) -> Batch:
+def _problem(cols: dict, rows: np.ndarray, of: np.ndarray, side: np.ndarray, weight: np.ndarray, heads: np.ndarray, prior: np.ndarray, lam, numeric: bool = False, printed: bool = False) -> Batch:
     """The second-stage problems over these rows, ``of`` their cell; side: those of them with an export side; heads: a row
     of each cell."""
     col = lambda c: cols[c][rows].astype(float)
     many = lambda cs: np.column_stack([col(c) for c in cs])
-    return Batch(of, cols["sigma"][heads].astype(float), col("imp_y"), many(M.IMPORT_MOMENTS[1:]), weight, side, col("exp_y")[side], many(M.EXPORT_MOMENTS[1:])[side], col("sv")[side], col("gv")[side], prior, lam, numeric)
+    return Batch(of, cols["sigma"][heads].astype(float), col("imp_y"), many(M.IMPORT_MOMENTS[1:]), weight, side, col("exp_y")[side], many(M.EXPORT_MOMENTS[1:])[side], col("sv")[side], col("gv")[side], prior, lam, numeric, printed)
 
 
-def solve_cells(inputs: DataFrame, lam: float, gradient: str = "analytic") -> DataFrame:
+def solve_cells(inputs: DataFrame, lam: float, gradient: str = "analytic", printed: bool = False) -> DataFrame:
     """solve_path for one shrinkage strength."""
-    return solve_path(inputs, [lam], gradient).drop("lambda")
+    return solve_path(inputs, [lam], gradient, printed).drop("lambda")
 
 
-def solve_path(inputs: DataFrame, lams: list[float], gradient: str = "analytic") -> DataFrame:
+def solve_path(inputs: DataFrame, lams: list[float], gradient: str = "analytic", printed: bool = False) -> DataFrame:
     """Fits every cell for every strength (column lambda), in one pass: the strongest shrinkage first, each weaker one from
     the solution of the one before, which lies near. The reference exporter is returned with tier 0, exporters of tier 3 with the prior (else the
     median of the cell's estimates), a cell with only tier 3 with the prior throughout, or nothing without one. Cells that
-    a descent can't finish get a second try without derivatives."""
+    a descent can't finish get a second try without derivatives. printed: signs of the export equation as published."""
 
     def solve(cols, of):
         heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -119,7 +119,7 @@ def solve_path(inputs: DataFrame, lams: list[float], gradient: str = "analytic")
         rest = rest[has[of[rest]] | known[of[rest]]]  # a cell without estimates and prior has no rows
         at, found = (cols["start"][heads_f].astype(float), None), []
         for lam in sorted(set(lams), reverse=True):
-            p = _problem(cols, est, mine, side, cols["weight"][est].astype(float), heads_f, prior[fitted], lam, gradient == "numeric")
+            p = _problem(cols, est, mine, side, cols["weight"][est].astype(float), heads_f, prior[fitted], lam, gradient == "numeric", printed)
             solved = p.fit_or_search(*at)
             at = solved[:2]
             found.append(rows_of(cols, of, heads, tiers, prior, est, rest, fitted, mine, known, has, p, *solved) | {"lambda": np.full(len(heads_f) + len(est) + len(rest) + (~has & known).sum(), lam)})
@@ -249,7 +249,7 @@ def run_stage2(panel: DataFrame, cfg: Config, lam: float, sigma: DataFrame, sigm
     exporter, good). resume: a path for fits by bucket, from which a run that was stopped goes on."""
     panel = keep.kept(panel)
     inputs = cell_inputs(panel, cfg, sigma, sigma_default, priors, gamma_v, gamma_v_default, starts, gamma_v_default if start is None else start)
-    solve = lambda rows: solve_cells(rows, lam, cfg.stage2_gradient)
+    solve = lambda rows: solve_cells(rows, lam, cfg.stage2_gradient, cfg.printed_signs)
     solved = by_buckets(keep.kept(inputs), solve, resume) if resume else solve(inputs)
     fits = with_tariffs(with_sigma_errors(solved, sigma_se), panel)
     return tail_trim(fits.select(*COLUMNS), cfg.tail_trim)
