@@ -35,13 +35,15 @@ def _of_reference(c: str):
     return F.max(F.when(F.col("exporter") == F.col("ref_exporter"), F.col(c))).over(W.partitionBy(*CELL, "t"))
 
 
-def stage1_moments(panel: DataFrame) -> DataFrame:
+def stage1_moments(panel: DataFrame, dealt: bool = False) -> DataFrame:
     """(importer, good, exporter, ref_exporter, t, y, x1, x2) from the raw panel (year, good, importer, exporter,
     cusval, quantity): squares and products of log unit value and log share, differenced over successive years and
-    against the cell's reference exporter. Rows without a partner and all-zero rows go."""
+    against the cell's reference exporter. Rows without a partner and all-zero rows go. dealt: the panel is a table in
+    buckets of cells, so nothing is exchanged."""
     rows = panel.filter(X.finite_positive(F.col("cusval")) & X.finite_positive(F.col("quantity")))
     rows = rows.groupBy(*CELL, "exporter", F.col("year").alias("t")).agg(F.sum("cusval").alias("cusval"), F.sum("quantity").alias("quantity"))
-    rows = rows.repartition(keep.width(panel.sparkSession), *CELL).withColumns({"lp": X.log_ratio(F.col("cusval"), F.col("quantity")), "ls": X.log_ratio(F.col("cusval"), F.sum("cusval").over(W.partitionBy(*CELL, "t")))})
+    rows = rows if dealt else rows.repartition(keep.width(panel.sparkSession), *CELL)
+    rows = rows.withColumns({"lp": X.log_ratio(F.col("cusval"), F.col("quantity")), "ls": X.log_ratio(F.col("cusval"), F.sum("cusval").over(W.partitionBy(*CELL, "t")))})
     series = [*CELL, "exporter"]
     rows = with_reference(rows).withColumns({f"{c}_dif": X.consecutive_diff(c, series) for c in ("lp", "ls")})
     rows = rows.withColumns({"p": F.col("lp_dif") - _of_reference("lp_dif"), "s": F.col("ls_dif") - _of_reference("ls_dif")})

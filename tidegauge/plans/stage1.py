@@ -85,12 +85,12 @@ def estimate_elasticities(trade: DataFrame, exporter: str = "exporter", t: str =
     return run_stage1(panel, Config(stage1_hliml=method, min_exporters=2, min_periods=2)).drop("importer", "good")
 
 
-def run_stage1(panel: DataFrame, cfg: Config) -> DataFrame:
-    """panel: the raw panel. Every cell comes back, thin ones with the status that stopped them."""
+def run_stage1(panel: DataFrame, cfg: Config, dealt: bool = False) -> DataFrame:
+    """panel: the raw panel (dealt: in buckets of cells). Every cell comes back, thin ones with the status that stopped them."""
     cells = panel.groupBy("importer", "good").agg(F.countDistinct("exporter").alias("__e"), F.countDistinct("year").alias("__t"), F.count("*").alias("__rows"))
     thin = (F.col("__e") < cfg.min_exporters) | (F.col("__t") < cfg.min_periods)
     cells = cells.withColumn("__thin", F.when(thin, F.format_string("thin_panel_e%d_t%d", "__e", "__t")))
-    fits = diagnostics(fit_cells(M.stage1_moments(panel), cfg.stage1_hliml))
+    fits = diagnostics(fit_cells(M.stage1_moments(panel, dealt), cfg.stage1_hliml))
     joined = cells.join(fits, ["importer", "good"], "left")
     few = F.coalesce("n_obs", F.lit(0)) < 5
     joined = joined.withColumn("status", F.coalesce("__thin", F.when(few, F.format_string("prep_thin_n%d", F.coalesce("n_obs", F.lit(0)))), "status"))
