@@ -47,4 +47,9 @@ def tables(spark, odd, tmp_path_factory):
     long = max((r.text or "" for r in odd.collect()), key=len).split()
     items = [(0, sentence(rng, 30)), (1, None), (2, "too short"), (3, ""), (0, sentence(rng, 40)), (None, sentence(rng, 20)), (None, " ".join(long[700:730])), (0, " ".join(long[40:60])), (0, " ".join(long[40:60])), (4, "same line here " * 9)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    nan, inf = float("nan"), float("inf")
+    vectors = [(None, [0.5, 0.25, 1.0], 1), (1, [0.5, 0.25, 1.0], None), (1, [-3.0, 2.0, 0.1], 2), (2, None, 1), (3, [nan, 1.0, 1.0], 1), (4, [1.0, -inf, 1.0], 1), (5, [None, 0.0, 0.0], 1), (6, [], 1), (7, [1e30], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    marks = [(4, 1, 1), (5, 0, 0), (5, 1, 1), (6, 0, 0), (7, 1, 0), (8, None, 1), (9, 1, None), (None, 1, 1), (99, 0, 1)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d
