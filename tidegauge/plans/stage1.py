@@ -49,6 +49,7 @@ def fit_cells(moments: DataFrame, method: str = "closed") -> DataFrame:
     kinds = [_KINDS[c.split()[1]] for c in _FIT.split(", ")]
 
     def one(key, rows):
+        rows = rows.sort_by([("exporter", "ascending"), ("t", "ascending")])  # sums in one order, whatever order rows came in
         row = fit_cell(*(rows[c].to_numpy() for c in ("y", "x1", "x2")), rows["exporter"].to_numpy(), rows["ref_exporter"][0].as_py(), method=method)
         row = {"importer": key[0].as_py(), "good": key[1].as_py()} | row
         plain = lambda v: v.item() if hasattr(v, "item") else v
