@@ -496,3 +496,64 @@ def test_substituted_passages_are_found(spark, share):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id - 100 for r in substring_dedup.repeated_passages(df).collect() if r.first_doc_id == r.doc_id - 100 and r.start <= 95 and r.stop >= 125}
     assert len(found) >= (38 if share == 0.2 else 40)
+
+
+def mosaic(rng, piece, share, gaps, n, words=60):
+    """[(early, whole, again, copy)] of n passages: documents with its pieces, one with all of it, documents with its
+    pieces again, and one with a copy in which a share of words is replaced and another one is left out or put in."""
+    out = []
+    for _ in range(n):
+        base = sentence(rng, words)
+        w = base.split()
+        parts = lambda: [f"{sentence(rng, 40)} {' '.join(w[k : k + piece])} {sentence(rng, 40)}" for k in range(0, words, piece)]  # noqa: B023, E731
+        e = edited(rng, base, round(share * words)).split()
+        for k in sorted(rng.sample(range(words), round(gaps * words)), reverse=True):
+            e[k : k + rng.randint(0, 1)] = [] if rng.random() < 0.5 else [sentence(rng, 1), e[k]][:2]
+        out.append((parts(), f"{sentence(rng, 50)} {base} {sentence(rng, 50)}", parts(), f"{sentence(rng, 30)} {' '.join(e)} {sentence(rng, 30)}"))
+    return out
+
+
+def test_fuzzy_copies_meet_the_whole_though_its_pieces_lie_before_and_after(spark):
+    rng = random.Random(15)
+    kinds = [(p, s, g) for p in (10, 20, 30) for s, g in ((0.1, 0), (0.15, 0), (0.2, 0), (0, 0.05), (0, 0.1))]
+    each = {k: mosaic(rng, *k, n=40) for k in kinds}
+    rows = [(1_000_000 * t + 1000 * j + 10 * i + c, text) for j, k in enumerate(kinds) for i, one in enumerate(each[k]) for t, part in enumerate(one) for c, text in enumerate([part] if isinstance(part, str) else part)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.first_doc_id) for r in substring_dedup.repeated_passages(df).collect()}
+    for j, k in enumerate(kinds):
+        got = sum((3_000_000 + 1000 * j + 10 * i, 1_000_000 + 1000 * j + 10 * i) in found for i in range(40))
+        assert got >= 36, (k, got)
+
+
+def local_scores(b, others):
+    """Best local alignment (match 1, else -1) of the words b with each of the padded rows of others."""
+    cols = np.arange(others.shape[1] + 1)
+    row, best = np.zeros((len(others), len(cols)), int), np.zeros(len(others), int)
+    for w in b:
+        new = np.maximum(row - 1, 0)
+        new[:, 1:] = np.maximum(new[:, 1:], row[:, :-1] + np.where(others == w, 1, -1))
+        row = np.maximum.accumulate(new + cols, 1) - cols
+        best = np.maximum(best, row.max(1))
+    return best
+
+
+def test_partners_equal_brute_force_local_alignment(spark):
+    rng = random.Random(16)
+    texts = [t for k in ((15, 0.1, 0), (20, 0.1, 0.05), (30, 0.15, 0)) for early, whole, again, copy in mosaic(rng, *k, n=9) for t in (*early, whole, *again, copy)]
+    texts += [sentence(rng, rng.randint(1, 140)) for _ in range(300 - len(texts))]
+    rng.shuffle(texts)
+    number = {}
+    coded = [[number.setdefault(w, len(number)) for w in t.split()] for t in texts]
+    width = max(map(len, coded))
+    padded = np.array([c + [-1] * (width - len(c)) for c in coded])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in substring_dedup.repeated_passages(df).collect():
+        found[r.doc_id].add(r.first_doc_id)
+    wanted = missed = 0
+    for i in range(1, len(texts)):
+        score = local_scores(coded[i], padded[:i])
+        assert all(score[j] >= 25 for j in found[i])
+        wanted += (score >= 30).any()
+        missed += (score >= 30).any() and not any(score[j] >= 30 for j in found[i])
+    assert wanted >= 20 and missed <= wanted // 10
