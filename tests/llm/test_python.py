@@ -554,6 +554,6 @@ def test_partners_equal_brute_force_local_alignment(spark):
     for i in range(1, len(texts)):
         score = local_scores(coded[i], padded[:i])
         assert all(score[j] >= 25 for j in found[i])
-        wanted += (score >= 30).any()
-        missed += (score >= 30).any() and not any(score[j] >= 30 for j in found[i])
+        wanted += (score >= 36).any()  # a piece of 30 words, too short for a passage, scores little more than 30
+        missed += (score >= 36).any() and not any(score[j] >= 36 for j in found[i])
     assert wanted >= 20 and missed <= wanted // 10
