@@ -82,3 +82,18 @@ def test_sections_and_tiers(spark):
     est = spark.createDataFrame([(2.0, 1.0, 0.1, "ok", "hliml", 0, 7), (2.0, 1.0, 0.1, "ok", "hliml", 0, 2), (2.0, 1.0, 0.1, "ok", "step2_weighted", 1, 9), (2.0, 1.0, 0.6, "ok", "hliml", 0, 9), (2.0, 1.0, None, None, None, None, None)],
                                 "sigma double, gamma double, gamma_se double, gamma_se_status string, final_source string, adjust int, gamma_exposure int")
     assert {r.cv_tier: r.n for r in L.cv_tiers(est).collect()} == {1: 5, 2: 3, 3: 2, 4: 1}
+
+
+def test_ridge_analysis_tests_estimates_not_the_rows_they_are_made_of(spark, monkeypatch):
+    """Estimates may be aggregates of trade: what they are filtered by is worked out once an estimate, after them."""
+    trade = spark.range(400).select((F.col("id") % 40).cast("int").alias("importer"), (F.col("id") % 7).cast("int").alias("exporter"), (F.col("id") + 1.0).alias("cusval"))
+    est = trade.groupBy("importer", "exporter").agg(F.avg("cusval").alias("avg_trade")).withColumns({
+        "good": F.when(F.col("importer") % 2 == 0, "0101").otherwise("8501"), "sigma": 1 + F.col("importer") / 8, "gamma": 1 + F.col("exporter") / 4, "gamma_se": F.lit(0.1), "gamma_se_status": F.lit("ok"), "gamma_exposure": F.lit(6),
+        "final_source": F.when((F.col("importer") + F.col("exporter")) % 3 == 0, "hliml").otherwise("step2_weighted"), "adjust": F.when((F.col("importer") + F.col("exporter")) % 3 == 0, 0).otherwise(1), "region": F.lit("R1"),
+    })
+    plans, kept = [], L.keep.kept
+    monkeypatch.setattr(L.keep, "kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    got = {r["sample"]: r.n for r in L.ridge_analysis(est).collect()}
+    assert got["strict"] == est.count()
+    made = [p for p in plans if "Range (0, 400" in p]
+    assert len(made) == 1 and "Filter" not in made[0]

@@ -43,9 +43,10 @@ def ridge_analysis(est: DataFrame, region: str = "region", cap: float = 0.99) ->
 
     est: importer, exporter, good, sigma, gamma, gamma_se, gamma_se_status, gamma_exposure, final_source, adjust, avg_trade
     and the region. Rows without sigma, gamma, section, region or positive trade are left out."""
-    rows = est.withColumns({"__t": cv_tier(), "section": logit.hs_section(F.col("good")), "log_trade": F.when(F.col("avg_trade") > 0, F.log("avg_trade"))})
-    strict = rows.filter("__t >= 2").select("sigma", "gamma", "section", F.col(region).alias("region"), "log_trade", (F.col("__t") >= 3).alias("main")).dropna()
-    strict = keep.kept(strict)
+    log_trade = F.when(F.col("avg_trade") > 0, F.log("avg_trade"))
+    # kept before it is filtered: a filter on tier and section would move below est's own aggregates and meet every trade row
+    rows = keep.kept(est.select("sigma", "gamma", logit.hs_section(F.col("good")).alias("section"), F.col(region).alias("region"), log_trade.alias("log_trade"), cv_tier().alias("__t")))
+    strict = rows.filter("__t >= 2").select("sigma", "gamma", "section", "region", "log_trade", (F.col("__t") >= 3).alias("main")).dropna()
     weighted, model = inverse_propensity(strict, "main", ["section", "region"], ["log_trade"], cap)
     samples = {"strict": strict.withColumn("w", F.lit(1.0)), "main": strict.filter("main").withColumn("w", F.lit(1.0)), "main_weighted": weighted.withColumnRenamed("ipw", "w")}
     out = []
