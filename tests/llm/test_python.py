@@ -557,3 +557,38 @@ def test_partners_equal_brute_force_local_alignment(spark):
         wanted += (score >= 36).any()  # a piece of 30 words, too short for a passage, scores little more than 30
         missed += (score >= 36).any() and not any(score[j] >= 36 for j in found[i])
     assert wanted >= 20 and missed <= wanted // 10
+
+
+def test_seeds_of_a_short_line_stay_apart_and_those_of_a_fuzzy_passage_meet():
+    """A line of ten words can't be a passage of fifty; with one bit a word nearly half of its seeds met by chance."""
+    rng = np.random.default_rng(17)
+    draw = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+
+    def met_share(shared, changed, inner):
+        near = []
+        for _ in range(300):
+            line = draw(shared)
+            copy = np.where(np.arange(shared) % 5 == 4, draw(shared), line) if changed else line
+            x, y = (np.concatenate([draw(40), t, draw(40)]) for t in (line, copy))
+            at = np.array([40 + k for k in range(inner[0], inner[1]) if (x[40 + k : 44 + k] == y[40 + k : 44 + k]).all()])
+            near.append(substring_dedup.alike(substring_dedup.surroundings(x)[at], substring_dedup.surroundings(y)[at]).mean())
+        return np.mean(near)
+
+    assert met_share(10, False, (0, 7)) < 0.2
+    assert met_share(60, True, (0, 57)) > 0.97
+
+
+def test_exact_way_meets_every_pair_of_occurrences(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    key, node, pos = rng.integers(0, 9, 200), rng.integers(0, 30, 200), np.arange(200)
+    want = sorted((node[i], node[j], pos[i], pos[j]) for i in range(200) for j in range(200) if key[i] == key[j] and node[j] < node[i])
+    monkeypatch.setattr(substring_dedup, "PAIRS", 50)
+    batches = list(substring_dedup.all_met(key, node, pos))
+    assert sorted(x for batch in batches for x in zip(*batch[:4], strict=True)) == want
+    assert len(batches) > 3 and max(len(x[0]) for x in batches) <= 200
+    text = random.Random(19)
+    shared = sentence(text, 55)
+    df = spark.createDataFrame([(i, f"{sentence(text, 20 + 3 * i)} {shared} {sentence(text, 90 - 5 * i)}") for i in range(10)], "doc_id long, text string")
+    every = {(r.doc_id, r.first_doc_id) for r in substring_dedup.repeated_passages(df, exact=True).collect()}
+    assert every == {(i, j) for i in range(10) for j in range(i)}
+    assert {(r.doc_id, r.first_doc_id) for r in substring_dedup.repeated_passages(df).collect()} <= every
