@@ -2,8 +2,10 @@
 
 import collections
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,9 +13,10 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import sentence
-from tidegauge.llm import graph, lm_score, near_dedup, secrets, substring_dedup, token_counts
+from tidegauge.llm import common, graph, lm_score, near_dedup, secrets, substring_dedup, token_counts
 from tidegauge.llm.arrays import pack5, unpack5, utf8, word_hashes, word_ngrams
 
 SF = "/root/testdata/sf0.001"
@@ -350,6 +353,29 @@ def test_merged_regions_give_the_same_signatures_and_scores(spark):
     assert len(plain) == len(tree) and all(x[:5] == y[:5] and all(math.isclose(p, q, rel_tol=1e-9) for p, q in zip(x[5:], y[5:], strict=True)) for x, y in zip(plain, tree, strict=True))
 
 
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {name: os.path.getsize(f"{d}/{name}") for top in folders for d, _, names in os.walk(top.getPath()) for name in names if re.match(r"shuffle_.*\.data$", name) and os.path.exists(f"{d}/{name}")}
+
+
+def test_kept_rows_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    counted = spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = [common.checkpointed(counted), common.kept_table(counted), common.checkpointed(counted)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    found = near_dedup.signatures(docs, docs.select("node").limit(0), 1000, fan=3, block_bytes=20_000)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()  # the questions have been answered by now
+    kept.append(common.kept_table(found))
+    for _ in range(50):  # they go in the background
+        left = sum(n for name, n in shuffle_files(spark).items() if name not in before)
+        if left < 1000:
+            break
+        time.sleep(0.1)
+    assert left < 1000  # that of sums which were collected
+    assert all({tuple(r) for r in x.collect()} == {(k, 1429 - (k > 3)) for k in range(7)} for x in kept[:3])
+    assert kept[3].count() == docs.count()
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(1)
     hits, total = 0.0, 0

@@ -139,7 +139,7 @@ def signatures(rows: DataFrame, copies: DataFrame, n_texts: int, block_bytes: in
             "weights": pa.array([first[a : a + k].tobytes() for a, k in zip(stops[:-1], n_special, strict=True)], pa.binary()),
         })
 
-    return B.ask_and_answer(blocked, ask, answer, use, "node long, bands array<long>, samples binary, hashes binary, weights binary", n_blocks, merge, fan, 4)
+    return B.ask_and_answer(blocked, ask, answer, use, "node long, bands array<long>, samples binary, hashes binary, weights binary", n_blocks, merge, fan, 4, apart=True)
 
 
 def jaccard(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
